@@ -42,8 +42,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("n_lost_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_bpe, op4_exact_dedup, op5_token_counts)
+    f.__name__: f for f in (op1_mix_sources, op2_bpe, op4_exact_dedup, op5_token_counts, op6_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}
@@ -87,3 +93,30 @@ g as (select doc_id, first_value(doc_id) over (partition by norm order by len de
              sha256(norm) as text_sha256 from n)
 select doc_id, keep_id, cast(group_size as bigint) as group_size, rn = 1 as kept, text_sha256 from g
 """
+
+ORACLE["op6_quality_rules"] = r"""
+with d as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select k, i, list_slice(words, i, i + 4) as g from (select k, words, unnest(range(1, len(words) - 3)) as i from d)),
+rep as (select k, i from (select k, i, count(*) over (partition by k, g) as c from win) where c > 1),
+cov as (select k, count(distinct i + o) as n_repeat_words from rep, (select unnest(range(0, 5)) as o) group by k),
+l0 as (select k, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+l1 as (select k, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l0),
+l2 as (select *, row_number() over (partition by k, line order by i) > 1 as again,
+              len(regexp_extract_all(line, '[#*$%&|<>]')) as sym,
+              regexp_matches(line, '[.!?"'':;)…”’»。！？][\x20\x09-\x0D]*$') as closed,
+              len(regexp_extract_all(line, '[A-ZÀ-Þ]')) as up, len(regexp_extract_all(line, '[a-zß-ÿ]')) as low
+       from l1 where n > 0),
+l3 as (select k, sum(again::int) as n_dup_lines,
+              sum(case when sym * 5 > n or (n <= 3 and not closed) or (n >= 4 and up > low) or again then n else 0 end) as lost from l2 group by k),
+f as (
+  select doc_id, cast(len(words) as bigint) as n_words, cast(len(list_aggregate(words, 'string_agg', '')) as bigint) as word_chars,
+         cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+         cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, coalesce(lost, 0) as lost
+  from d left join cov using (k) left join l3 using (k))
+select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * lost <= 50 * n_words as kept
+from f
+"""
