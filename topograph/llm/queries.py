@@ -48,8 +48,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lost_words")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.warc import archive
+
+    records = archive(table(spark, sf_dir, "pages")).filter(F.col("gap_start").isNull())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_bpe, op4_exact_dedup, op5_token_counts, op6_quality_rules)
+    f.__name__: f for f in (op1_mix_sources, op2_bpe, op4_exact_dedup, op5_token_counts, op6_quality_rules, op8_html_extract, op9_warc)
 }
 
 ORACLE: dict[str, str] = {}
@@ -120,3 +133,12 @@ select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_
        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * lost <= 50 * n_words as kept
 from f
 """
+
+ORACLE["op9_warc"] = r"""
+with p as (select page_id, coalesce(html, '') as html, cast(octet_length(encode(coalesce(html, ''))) as bigint) as n from pages),
+r as (select *, max(page_id) over (partition by html) as head, row_number() over (partition by html order by page_id desc nulls last) as rn from p)
+select page_id, n as payload_bytes, sha1(html) as payload_digest,
+       case when n >= 1000 and rn > 1 then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and rn > 1 then head end as refers_to
+from r
+"""
