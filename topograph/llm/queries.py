@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topograph.llm.exact_dedup import exact_dedup
 
@@ -61,8 +67,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_bpe, op4_exact_dedup, op5_token_counts, op6_quality_rules, op8_html_extract, op9_warc)
+    f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_quality_rules, op8_html_extract, op9_warc, op10_substring_dedup)
 }
 
 ORACLE: dict[str, str] = {}
@@ -142,3 +154,17 @@ select page_id, n as payload_bytes, sha1(html) as payload_digest,
        case when n >= 1000 and rn > 1 then head end as refers_to
 from r
 """
+
+ORACLE["op10_substring_dedup"] = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select k, doc_id, unnest(words) as word, generate_subscripts(words, 1) as i, len(words) as n from d),
+win as (select k, doc_id, i, md5(list_aggregate(list_slice(words, i, i + 19), 'string_agg', chr(10))) as g
+        from (select k, doc_id, words, unnest(range(1, len(words) - 18)) as i from d)),
+dup as (select k, i from (select k, i, row_number() over (partition by g order by doc_id, i) as rn from win) where rn > 1),
+ends as (select k, i, max(i) over (partition by k order by i rows between unbounded preceding and current row) as upto from dup),
+cov as (select w.k, w.doc_id, w.word, w.i, e.upto is not null and w.i <= e.upto + 19 as gone
+        from w asof left join ends e on w.k = e.k and w.i >= e.i)
+select doc_id, cast(count(i) as bigint) as n_words, cast(coalesce(sum(gone::int), 0) as bigint) as n_removed,
+       sha256(coalesce(string_agg(word, ' ' order by i) filter (where not gone), '')) as kept_sha256
+from (select d.k, d.doc_id, c.word, c.i, c.gone from d left join cov c using (k)) group by k, doc_id
+"""
