@@ -54,6 +54,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lost_words")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topograph.llm.html_extract import extract
 
@@ -74,7 +80,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_quality_rules, op8_html_extract, op9_warc, op10_substring_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_quality_rules, op7_near_dedup, op8_html_extract, op9_warc, op10_substring_dedup)
 }
 
 ORACLE: dict[str, str] = {}
@@ -168,3 +174,18 @@ select doc_id, cast(count(i) as bigint) as n_words, cast(coalesce(sum(gone::int)
        sha256(coalesce(string_agg(word, ' ' order by i) filter (where not gone), '')) as kept_sha256
 from (select d.k, d.doc_id, c.word, c.i, c.gone from d left join cov c using (k)) group by k, doc_id
 """
+
+ORACLE["op7_near_dedup"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, unnest(list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [words]
+             else list_transform(range(1, len(words) - 3), lambda i: list_slice(words, i, i + 4)) end)) as g from d),
+n as (select d.doc_id, count(g) as n from d left join s using (doc_id) group by d.doc_id),
+e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+      join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+      group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+l as (select a as u, b as v from e union all select b, a from e),
+c as (select doc_id as u, doc_id as r from n union select l.v, c.r from c join l on l.u = c.u where c.r < l.v),
+m as (select u, min(r) as component_id from c group by u)
+select n.doc_id, cast(n.n as bigint) as n_shingles, m.component_id, n.doc_id = m.component_id as kept from n join m on m.u = n.doc_id
+"""
