@@ -1,7 +1,7 @@
 """Runs of equal keys in a table that is range-partitioned and sorted.
 
-Sampled splitters deal the rows out by (key, order); each task sorts its range externally, so equal keys
-are neighbours and a comparison of each row with the one before finds the runs.  A key may fill many
+Sampled splitters deal the rows out by (prefix and hash of the key, order); each task sorts its range externally,
+in the same order and then by the whole key, so equal keys are neighbours and a comparison of each row with the one before finds the runs.  A key may fill many
 ranges: the splitters also cut inside a run, and the pieces are put together from two boundary rows per
 range.  No task ever holds a whole group; a task keeps the rows of the run it is in, without their keys.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from topograph.llm.common import materialize
 
+#: Characters of a key that order it before its hash does.
+PREFIX = 32
 ADDED = "run_head {head}, run_size long, is_head boolean, key_sha256 string, __part int, __first boolean, __last boolean"
 
 
@@ -95,7 +97,10 @@ def equal_runs(df: DataFrame, key: Column, order: list[Column], head: str, name:
     drop = drop or []
     kept = [f for f in df.schema.fields if f.name not in drop]
     head_at = [f.name for f in kept].index(head)
-    ranged = df.repartitionByRange(key, *order).withColumn("__key", key).drop(*drop).sortWithinPartitions("__key", *order)
+    # Splitters are sampled on the driver: they hold a prefix and a hash of the key, not keys of any length.
+    short, number = F.substring(key, 1, PREFIX), F.xxhash64(key)
+    ranged = df.repartitionByRange(short, number, *order).withColumns({"__short": short, "__number": number, "__key": key}).drop(*drop)
+    ranged = ranged.sortWithinPartitions("__short", "__number", "__key", *order).drop("__short", "__number")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = _Marker(TaskContext.get().partitionId(), head_at)
