@@ -17,7 +17,17 @@ _made: list[tuple[SparkSession, str]] = []
 _own_root: dict[str, str] = {}
 
 
+#: Most bytes of an Arrow batch on its way to a Python worker; rows of any length still pass, one at a time.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, as a row count alone bounds nothing where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,4 +95,5 @@ def without_space(text: Column) -> Column:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of an input can't clash with those added later."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])

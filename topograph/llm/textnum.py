@@ -105,7 +105,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes, or one longer row: bounds working memory."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -114,7 +114,7 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = j
 
 
-def each_slice(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def each_slice(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     data, offsets = texts(column)
     for i, j in slices(offsets, limit):
         yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
