@@ -8,9 +8,12 @@ that distance always meet.  Texts at the similarity threshold of 0.75 differ in
 they miss each other only if every chunk has two errors: with probability 6e-6 (1e-7 at 0.8, 1e-10 at 0.85).
 
 Texts with equal sets are one class from the start (runs.py), so copies never multiply.  In each index
-bucket all classes are first compared with the bucket's smallest one; texts that meet the threshold on their full
-sets are linked, and connected components follow.  Buckets that still hold several components are compared
-completely across components, in blocks of bounded size; only pairs within the signature distance leave a block.
+bucket all classes are first compared with the bucket's smallest one (its hub); texts that meet the threshold on
+their full sets are linked, and connected components follow.  Buckets that still hold several components are
+compared completely across components, in blocks of bounded size.  A pair is judged only in the first bucket that
+it shares, and leaves its block only if it can still meet the threshold: by signature distance, by set sizes, and by
+an exact bound on the intersection.  For sets x, y and the hub h, with x' the shingles of x that any other of
+these texts holds,  |x & y| <= min(|x & h|, |y & h|) + min(|x' - h|, |y' - h|).
 
 Null texts count as empty; texts without words have no set, link with nothing and are kept.  Repeated rows and
 rows without an identifier are rows of their class: the representative is the smallest identifier.
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topograph.llm import textnum
+from topograph.llm.blocks import answer, answered, ask, cut, finish
 from topograph.llm.common import materialize, materialize_bucketed, partitions
 from topograph.llm.graph import components
 from topograph.llm.runs import equal_runs
@@ -70,7 +74,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def index_keys(signature: np.ndarray) -> np.ndarray:
-    """Keys of each signature: per chunk the patterns with one symbol left out."""
+    """Keys of each signature: per chunk the patterns with one symbol left out; the low 6 bits hold the pattern's number."""
     chunks = signature.reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64)
     out = np.empty((len(chunks), CHUNKS, SYMBOLS), np.uint64)
     for left_out in range(SYMBOLS):
@@ -78,8 +82,8 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
         for s in range(SYMBOLS):
             if s != left_out:
                 key = (key << np.uint64(16)) | chunks[:, :, s]
-        salt = textnum.mix(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(SYMBOLS) + np.uint64(left_out) + _SALT)
-        out[:, :, left_out] = textnum.mix(key ^ salt)
+        slot = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(SYMBOLS) + np.uint64(left_out)
+        out[:, :, left_out] = (textnum.mix(key ^ textnum.mix(slot + _SALT)) & ~np.uint64(63)) | slot
     return out.reshape(len(chunks), -1)
 
 
@@ -125,7 +129,7 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and both bodies -> the pairs whose full sets meet the threshold."""
+    """a, b and both bodies -> the pairs, how many shingles they share, and whether their full sets meet the threshold."""
     unpress = zstandard.ZstdDecompressor()
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
@@ -141,41 +145,53 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
             common = np.bincount(row[1:][same], minlength=n)
             ok = 100 * common >= PERCENT * (sizes[:n] + sizes[n:] - common)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common.astype(np.int64)), pa.array(ok)], names=["u", "v", "common", "linked"])
 
 
 def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b), distinct -> links (u, v). texts is bucketed by uid and isn't shuffled; only near pairs fetch theirs."""
+    """pairs (a, b), distinct -> those that can meet the threshold: u, v, common, linked. texts is bucketed by uid and isn't shuffled; only near pairs fetch theirs."""
     one = lambda side: sketches.select(F.col("uid").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
     joined = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     near = materialize(joined.mapInArrow(_near, "a long, b long"), f"{name}_near")
     body = lambda side: near.join(texts.select(F.col("uid").alias(side), "text"), side).select("a", "b", "text").mapInArrow(_press, "a long, b long, body binary").withColumnRenamed("body", f"body_{side}")
-    return materialize(body("a").join(body("b"), ["a", "b"]).mapInArrow(_linked, "u long, v long"), f"{name}_links")
+    return materialize(body("a").join(body("b"), ["a", "b"]).mapInArrow(_linked, "u long, v long, common long, linked boolean"), f"{name}_links")
+
+
+def _compare(rows: pa.Table) -> pa.RecordBatch | None:
+    """Rows of a pair of blocks of one bucket -> its pairs across components that may meet the threshold."""
+    slot = rows.column("key")[0].as_py() & 63
+    side, uid, comp, n, shared, common, hub = (rows.column(c).to_numpy() for c in ("side", "uid", "component", "n_shingles", "with_hub", "common", "hub"))
+    sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, LENGTH)
+    # A text whose overlap with the hub was not counted is taken to share all it can.
+    known = shared >= 0
+    inside = np.where(known, shared, common)
+    outside = np.where(known, common - shared, common)
+    second = np.flatnonzero((side != 1) & (uid != hub))
+    out_a, out_b = [], []
+    for p in np.flatnonzero((side != 2) & (uid != hub)).tolist():  # at most BLOCK rounds over at most BLOCK rows
+        q = second[comp[second] != comp[p]]
+        if side[p] == 0:
+            q = q[q > p]
+        most = np.minimum(np.minimum(inside[q], inside[p]) + np.minimum(outside[q], outside[p]), np.minimum(common[q], common[p]))
+        q = q[100 * most >= PERCENT * (n[q] + n[p] - most)]
+        if len(q):
+            differ = (sig[q] != sig[p]).reshape(-1, CHUNKS, SYMBOLS)
+            errors = differ.sum(axis=2)
+            chunk = np.argmax(errors <= 1, axis=1)
+            first = chunk * SYMBOLS + np.argmax(differ[np.arange(len(q)), chunk], axis=1)
+            q = q[(errors.sum(axis=1) <= MAX_DISTANCE) & (first == slot)]
+            out_a.append(np.full(len(q), uid[p]))
+            out_b.append(uid[q])
+    if not sum(map(len, out_a)):
+        return None
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): side, uid, component, n_shingles, signature of a pair of blocks -> near pairs across components."""
+    """Rows sorted by (key, i, j), the members of pairs of blocks -> candidate pairs."""
     held: list[pa.RecordBatch] = []
     now = None
-
-    def compare(rows: pa.Table) -> pa.RecordBatch | None:
-        side, uid, comp, n = (rows.column(c).to_numpy() for c in ("side", "uid", "component", "n_shingles"))
-        sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, LENGTH)
-        first = np.flatnonzero(side != 2)
-        second = np.flatnonzero(side != 1)
-        out_a, out_b = [], []
-        for p in first.tolist():  # at most BLOCK rounds over at most BLOCK rows
-            q = second[(comp[second] != comp[p]) & (100 * np.minimum(n[second], n[p]) >= PERCENT * np.maximum(n[second], n[p]))]
-            if side[p] == 0:
-                q = q[q > p]
-            q = q[(sig[q] != sig[p]).sum(axis=1) <= MAX_DISTANCE]
-            out_a.append(np.full(len(q), uid[p]))
-            out_b.append(uid[q])
-        if not out_a or not sum(map(len, out_a)):
-            return None
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -183,14 +199,44 @@ def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
         for s, e in zip(cuts, cuts[1:]):
             if (group := tuple(ids[s].tolist())) != now:
-                if held and (got := compare(pa.Table.from_batches(held))) is not None:
+                if held and (got := _compare(pa.Table.from_batches(held))) is not None:
                     yield got
                 now, held = group, []
             held.append(batch.slice(s, e - s))
-    if held and (got := compare(pa.Table.from_batches(held))) is not None:
+    if held and (got := _compare(pa.Table.from_batches(held))) is not None:
         yield got
 
 
+def _common_shingles(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uid, common: how many of a text's shingles occur in another of the wanted texts too."""
+    blocks = cut(texts.join(wanted, "uid", "left_semi"), ["uid", "text"], "text", "near_open")
+    buckets = partitions(texts.sparkSession)
+
+    def sets_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, _, words in textnum.each_slice(block.column(1), lower=True):
+            own, bounds = shingle_sets(words)
+            sets.append(own)
+            owner.append(i + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+        return np.concatenate(sets), np.concatenate(owner)
+
+    def gather(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        keys, counts = np.unique(sets_of(block)[0], return_counts=True)
+        return keys, textnum.mix(keys ^ _SALT), [counts]
+
+    def resolve(keys: np.ndarray, of: np.ndarray, values: list[np.ndarray], blocks: np.ndarray):
+        _, inverse = np.unique(keys, return_inverse=True)
+        return [([np.bincount(inverse, weights=values[0].astype(np.float64))[inverse] > 1], None)], np.zeros(3, np.int64)
+
+    def total(block: pa.Table, answers: pa.Table) -> pa.Table:
+        sets, owner = sets_of(block)
+        keys, inverse = np.unique(sets, return_inverse=True)
+        (shared,) = answered(answers, keys, textnum.mix(keys ^ _SALT), buckets, 1)
+        return pa.table({"uid": block.column(0), "common": pa.array(np.bincount(owner, weights=shared[inverse].astype(np.float64), minlength=block.num_rows).astype(np.int64))})
+
+    return finish(blocks, materialize(answer(ask(blocks, gather), resolve, 1), "near_common"), total, "uid long, common long")
+
+
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs: identifier, carried columns, n_shingles, component_id, kept, is_representative.
 
@@ -214,25 +260,28 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     buckets = materialize(keys.join(shared, "key").select("key", "uid", "hub", "members"), "buckets")
 
     stars = buckets.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    links = _verify(stars, classes, texts, "star")
-    labels = components(links)
+    met = _verify(stars, classes, texts, "star")
+    labels = components(met.filter("linked").select("u", "v"))
 
     label = F.coalesce("v", "uid")
-    open_members = buckets.filter("members > 2").join(labels.withColumnRenamed("u", "uid"), "uid", "left").select("key", "uid", "members", label.alias("component"))
-    open_members = materialize(open_members, "members")
-    mixed = open_members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    members = materialize(buckets.filter("members > 2").join(labels.withColumnRenamed("u", "uid"), "uid", "left").select("key", "uid", "hub", "members", label.alias("component")), "members")
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    members = materialize(members.join(mixed, "key", "left_semi"), "open_members")
+    common = _common_shingles(texts, members.select("uid").distinct())
+    facts = materialize(classes.join(common, "uid"), "facts")
     n = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("uid"), n).cast("int")
     spread = (
-        open_members.join(mixed, "key", "left_semi").join(classes, "uid")
+        members.join(facts, "uid").join(met.select(F.col("u").alias("hub"), F.col("v").alias("uid"), F.col("common").alias("with_hub")), ["hub", "uid"], "left")
         .withColumn("n", n).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "uid", "component", "n_shingles", "signature")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+                "uid", "hub", "component", "n_shingles", "common", F.coalesce("with_hub", F.lit(-1)).cast("long").alias("with_hub"), "signature")
     )
     across = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_blocks, "a long, b long").distinct()
-    more = _verify(materialize(across, "across"), classes, texts, "across")
+    more = _verify(materialize(across, "across"), classes, texts, "across").filter("linked").select("u", "v")
     if not more.isEmpty():
-        labels = components(labels.union(more.select("u", "v")))
+        labels = components(labels.union(more))
 
     # One row per class: its component's smallest identifier and the row that stands for it.
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))).alias("best")
