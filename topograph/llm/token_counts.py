@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from topograph.llm.common import materialize, pick, scratch_path
 
 CACHE = "tokenizer_digest binary, content_digest binary, n_tokens long"
-MEMO_ENTRIES, MEMO_CHUNK = 300_000, 64
+MEMO_ENTRIES, MEMO_CHUNK = 250_000, 64
 
 
 def tokenizer_digest(path: str) -> bytes:
@@ -47,24 +48,37 @@ class ChunkCounter:
             self.library = Tokenizer.from_file(path)
             self.library.no_truncation()
             self.library.no_padding()
-            self.whole = len(self.library.encode("a  b\n", add_special_tokens=False).ids) != sum(len(self.library.encode(x, add_special_tokens=False).ids) for x in ("a", "b"))
-            self._counts = lambda texts: [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            size = lambda text: len(self.library.encode(text, add_special_tokens=False).ids)
+            self.whole = size("a  b\n") != size("a") + size("b")
+            self._counts = lambda texts: [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def counts(self, texts: list[bytes]) -> list[int]:
         if self.whole:
             return self._counts([t.decode("utf-8") for t in texts])
-        split = [t.split() for t in texts]
-        memo = self.memo
+        split, memo = [t.split() for t in texts], self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        local = memo
-        misses = list({c for chunks in split for c in chunks if c not in memo})
-        if misses:
-            got = dict(zip(misses, self._counts([m.decode("utf-8") for m in misses])))
-            memo.update((c, n) for c, n in got.items() if len(c) <= MEMO_CHUNK)
-            if any(len(c) > MEMO_CHUNK for c in misses):
-                local = {**memo, **got}
-        return [sum(map(local.__getitem__, chunks)) for chunks in split]
+        misses = list({c for chunks in split for c in chunks}.difference(memo))
+        for at in range(0, len(misses), 10_000):
+            some = misses[at : at + 10_000]
+            memo.update(zip(some, self._counts([m.decode("utf-8") for m in some])))
+        out = [sum(map(memo.__getitem__, chunks)) for chunks in split]
+        for c in misses:
+            if len(c) > MEMO_CHUNK:
+                del memo[c]
+        return out
+
+
+@lru_cache(maxsize=1)
+def counter_for(path: str, version: bytes) -> ChunkCounter:
+    """One per worker process, so that tasks share the tokenizer and the remembered chunks."""
+    return ChunkCounter(path)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _normal(text: bytes, whole: bool) -> bytes:
@@ -82,7 +96,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     slim = pick(docs, id_column, text_column)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_pydict({
                 id_column: batch.column(0),
@@ -100,7 +114,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct content of the task once, compressed for the shuffle."""
         press, seen = zstandard.ZstdCompressor(level=3), set()
-        for batch in batches:
+        for batch in _pieces(batches):
             keys, packed = [], []
             for text in pc.fill_null(batch.column(0), "").cast(pa.binary()).to_pylist():
                 if (key := hashlib.sha256(body := _normal(text, whole)).digest()) not in seen:
@@ -110,8 +124,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             yield pa.RecordBatch.from_pydict({"content_digest": pa.array(keys, pa.binary()), "body": pa.array(packed, pa.binary())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, unpress, before = ChunkCounter(tokenizer_path), zstandard.ZstdDecompressor(), None
-        for batch in batches:
+        counter, unpress, before = counter_for(tokenizer_path, version), zstandard.ZstdDecompressor(), None
+        for batch in _pieces(batches):
             keys, texts, size = [], [], 0
             out: list[tuple[list[bytes], list[int]]] = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -120,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
                     keys.append(key)
                     texts.append(unpress.decompress(body.as_py()))
                     size += len(texts[-1])
-                    if size > 4 << 20:
+                    if size > 1 << 20:
                         out.append((keys, counter.counts(texts)))
                         keys, texts, size = [], [], 0
             out.append((keys, counter.counts(texts)))
