@@ -92,11 +92,13 @@ def ask(blocks: DataFrame, gather: Callable[[pa.Table], tuple[np.ndarray, np.nda
     return blocks.groupBy("block").applyInArrow(run, ASKS)
 
 
-def answer(asks: DataFrame, resolve: Callable[[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray], tuple[list[np.ndarray], np.ndarray]], n_values: int) -> DataFrame:
-    """resolve(keys, block of each key, value columns, block numbers) -> answer columns, and three totals of the bucket.
+def answer(asks: DataFrame, resolve: Callable[[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray], tuple[list[tuple[list[np.ndarray], np.ndarray | None]], np.ndarray]], n_values: int, n_answers: int = 1) -> DataFrame:
+    """resolve(keys, block of each key, value columns, block numbers) -> answers, and three totals of the bucket.
 
-    A row per block and bucket; the totals are in a row without a block.
+    An answer is a list of columns and a mask of the keys that it covers (None: all).  A row per block and bucket, with each
+    answer packed in a column of its own; the totals are in a row without a block.
     """
+    names = [f"answer_{i}" for i in range(n_answers)]
 
     def run(bucket: pa.Table) -> pa.Table:
         blocks = bucket.column("block").to_numpy()
@@ -105,28 +107,31 @@ def answer(asks: DataFrame, resolve: Callable[[np.ndarray, np.ndarray, list[np.n
         values = [unpack(v.as_py()).reshape(n_values, -1) for v in bucket.column("values")] if n_values else []
         columns = [np.concatenate([v[i] for v in values]) for i in range(n_values)]
         got, totals = resolve(np.concatenate(keys), np.repeat(np.arange(len(blocks)), sizes), columns, blocks)
-        ends = np.cumsum(sizes)
-        packed = [pack(np.concatenate([g[e - n : e].astype(np.uint64) for g in got])) for e, n in zip(ends.tolist(), sizes.tolist())]
-        own = bucket.column("bucket")[0].as_py()
-        n = len(packed)
+        ends = np.cumsum(sizes).tolist()
+        packed = {}
+        for name, (parts, mask) in zip(names, got):
+            at = [slice(e - n, e) if mask is None else np.arange(e - n, e)[mask[e - n : e]] for e, n in zip(ends, sizes.tolist())]
+            packed[name] = pa.array([*[pack(np.concatenate([g[i].astype(np.uint64) for g in parts])) for i in at], None], pa.binary())
+        own, n = bucket.column("bucket")[0].as_py(), len(blocks)
         return pa.table({
-            "block": pa.array([*blocks.tolist(), None], pa.int64()), "bucket": pa.array([own] * (n + 1), pa.int32()), "answers": pa.array([*packed, None], pa.binary()),
+            "block": pa.array([*blocks.tolist(), None], pa.int64()), "bucket": pa.array([own] * (n + 1), pa.int32()), **packed,
             **{f"total_{i}": pa.array([None] * n + [int(totals[i])], pa.int64()) for i in range(3)},
         })
 
-    return asks.groupBy("bucket").applyInArrow(run, "block long, bucket int, answers binary, total_0 long, total_1 long, total_2 long")
+    return asks.groupBy("bucket").applyInArrow(run, f"block long, bucket int, {', '.join(f'{n} binary' for n in names)}, total_0 long, total_1 long, total_2 long")
 
 
-def answered(answers: pa.Table, keys: np.ndarray, second: np.ndarray, buckets: int, n_answers: int) -> list[np.ndarray]:
-    """The answer columns in the order of a block's keys."""
-    out = [np.zeros(len(keys), np.uint64) for _ in range(n_answers)]
+def answered(answers: pa.Table, keys: np.ndarray, second: np.ndarray, buckets: int, n_columns: int, mask: np.ndarray | None = None) -> list[np.ndarray]:
+    """The columns of an answer in the order of a block's keys; mask marks the keys that the answer covers."""
+    out = [np.zeros(len(keys), np.uint64) for _ in range(n_columns)]
     parts = split(keys, second, buckets)
-    for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("answers")):
-        for column, values in zip(out, unpack(data.as_py()).reshape(n_answers, -1)):
-            column[parts[bucket]] = values
+    for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("answer")):
+        at = parts[bucket] if mask is None else parts[bucket][mask[parts[bucket]]]
+        for column, values in zip(out, unpack(data.as_py()).reshape(n_columns, -1)):
+            column[at] = values
     return out
 
 
-def finish(blocks: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """run(texts of a block, its answers) for every block, where the texts are."""
-    return blocks.groupBy("block").cogroup(answers.filter(F.col("block").isNotNull()).select("block", "bucket", "answers").groupBy("block")).applyInArrow(run, schema)
+def finish(blocks: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, which: int = 0) -> DataFrame:
+    """run(texts of a block, one of its answers) for every block, where the texts are."""
+    return blocks.groupBy("block").cogroup(answers.filter(F.col("block").isNotNull()).select("block", "bucket", F.col(f"answer_{which}").alias("answer")).groupBy("block")).applyInArrow(run, schema)

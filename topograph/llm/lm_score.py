@@ -71,7 +71,10 @@ class _Block:
         # The start of a document is asked about too: its count as a context is the number of documents.
         self.start_key = textnum.mix(np.array([START ^ _WORD], np.uint64))
         seconds = np.concatenate([textnum.mix(other ^ _PAIR), textnum.mix(other * _WORD + textnum.mix(before(other)))])
-        self.keys, first, inverse = np.unique(np.concatenate([keys, self.start_key]), return_index=True, return_inverse=True)
+        # The lowest bit of a key tells words from pairs.
+        keys = np.concatenate([keys & ~np.uint64(1), self.start_key & ~np.uint64(1)])
+        keys[: len(word)] |= np.uint64(1)
+        self.keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.second = np.concatenate([seconds, self.start_key])[first]
         n = len(word)
         self.word, self.pair, self.start = inverse[:n], inverse[n : 2 * n], int(inverse[2 * n])
@@ -88,24 +91,19 @@ class _Block:
         return out
 
 
-def _is_word(own: _Block) -> np.ndarray:
-    out = np.zeros(len(own.keys), np.int64)
-    out[own.word] = 1
-    return out
-
-
 def _gather(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     own = _Block(block)
     train, deleted = own.folds != 0, own.folds == DELETED
-    return own.keys, own.second, [own.tally(train), own.tally(deleted), _is_word(own)]
+    return own.keys, own.second, [own.tally(train), own.tally(deleted)]
 
 
-def _resolve(keys: np.ndarray, of: np.ndarray, values: list[np.ndarray], blocks: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    train, deleted = (np.bincount(inverse, weights=v.astype(np.float64)).astype(np.int64) for v in values[:2])
-    word = values[2][first] == 1
+def _resolve(keys: np.ndarray, of: np.ndarray, values: list[np.ndarray], blocks: np.ndarray) -> tuple[list[tuple[list[np.ndarray], np.ndarray | None]], np.ndarray]:
+    """Every key's training count; for keys of a block's deleted documents also the count without all deleted ones."""
+    known, inverse = np.unique(keys, return_inverse=True)
+    train, deleted = (np.bincount(inverse, weights=v.astype(np.float64)).astype(np.int64) for v in values)
+    word = (known & np.uint64(1)) == 1
     totals = np.array([train[word].sum(), (train[word] > 0).sum(), deleted[word].sum()])
-    return [train[inverse], deleted[inverse]], totals
+    return [([train[inverse]], None), ([(train - deleted)[inverse]], values[1] > 0)], totals
 
 
 def fit_weights(events: DataFrame, totals: tuple[int, int], rounds: int = ROUNDS) -> list[list[float]]:
@@ -135,27 +133,26 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
     buckets = partitions(spark)
     blocks = cut(docs, [id_column, text_column], text_column, "lm")
-    answers = materialize(answer(ask(blocks, _gather), _resolve, 3), "ngrams")
+    answers = materialize(answer(ask(blocks, _gather), _resolve, 2, 2), "ngrams")
     sums = answers.filter("block is null").agg(*[F.coalesce(F.sum(f"total_{i}"), F.lit(0)).alias(f"t{i}") for i in range(3)]).first()
     n_tokens, n_types, n_deleted = sums["t0"], sums["t1"], sums["t2"]
 
     def held_out_events(block: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Block(block)
-        train, deleted = answered(answers, own.keys, own.second, buckets, 2)
-        rest = (train - deleted).astype(np.int64)
-        mine = (own.folds == DELETED)[own.doc]
+        chosen = own.folds == DELETED
+        rest = answered(answers, own.keys, own.second, buckets, 1, own.tally(chosen) > 0)[0].astype(np.int64)
+        mine = chosen[own.doc]
         rows = np.stack([rest[own.pair[mine]], rest[own.context[mine]], rest[own.word[mine]]], axis=1)
         rows, n = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
         return pa.table({"bucket": pa.array(frequency_bucket(rows[:, 1]), pa.int32()), "pair": pa.array(rows[:, 0]), "context": pa.array(rows[:, 1]), "word": pa.array(rows[:, 2]), "n": pa.array(n, pa.int64())})
 
-    events = materialize(finish(blocks, answers, held_out_events, "bucket int, pair long, context long, word long, n long"), "events")
+    events = materialize(finish(blocks, answers, held_out_events, "bucket int, pair long, context long, word long, n long", 1), "events")
     # V of the reduced counts is unknown without another pass; the uniform part keeps that of all training tokens.
     weights = fit_weights(events, (n_tokens - n_deleted, n_types), rounds)
 
     def final(block: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Block(block)
-        train, _ = answered(answers, own.keys, own.second, buckets, 2)
-        train = train.astype(np.float64)
+        train = answered(answers, own.keys, own.second, buckets, 1)[0].astype(np.float64)
         c, pair, context = train[own.word], train[own.pair], train[own.context]
         table = np.array(weights)[frequency_bucket(context)]
         p = table[:, 0] * np.divide(pair, context, out=np.zeros_like(pair), where=context > 0) + table[:, 1] * c / max(n_tokens, 1) + table[:, 2] / (n_types + 1)

@@ -55,7 +55,7 @@ class _Block:
         self.second = second[self.first]
 
 
-def _resolve(keys: np.ndarray, of: np.ndarray, values: list[np.ndarray], blocks: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def _resolve(keys: np.ndarray, of: np.ndarray, values: list[np.ndarray], blocks: np.ndarray) -> tuple[list[tuple[list[np.ndarray], None]], np.ndarray]:
     """Of all blocks that hold a window, the one with the smallest document (then block) owns it: answer 1."""
     owns = np.ones(len(keys), np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -67,7 +67,7 @@ def _resolve(keys: np.ndarray, of: np.ndarray, values: list[np.ndarray], blocks:
         some = order[member]
         some = some[np.lexsort((blocks[of[some]], values[0][some], keys[some]))]
         owns[some[1:]] = keys[some[1:]] != keys[some[:-1]]
-    return [owns], np.zeros(3, np.int64)
+    return [([owns], None)], np.zeros(3, np.int64)
 
 
 def factors(duplicate: np.ndarray, start: np.ndarray, owner: np.ndarray, k: int) -> list[tuple[int, int, int]]:
