@@ -97,3 +97,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of an input can't clash with those added later."""
     bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def pack(df: DataFrame, *named: str) -> DataFrame:
+    """The named columns as __p0, __p1, ..., and the others in one struct, so that none can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in named]
+    return df.select(*[F.col(f"`{n}`").alias(f"__p{i}") for i, n in enumerate(named)], F.struct(F.lit(True).alias("__any"), *rest).alias("__rest"))
+
+
+def unpack(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
+    """The columns of the frame that was packed, in their order."""
+    at = {n: f"__p{i}" for i, n in enumerate(named)}
+    return df.select(*[(F.col(at[c]) if c in at else F.col("__rest").getField(c)).alias(c) for c in columns])

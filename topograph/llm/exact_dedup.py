@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topograph.llm.common import pick, without_space
+from topograph.llm.common import pack, unpack, without_space
 from topograph.llm.runs import equal_runs
 
 
@@ -21,16 +21,15 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     carry = [c for c in carry or [] if c != id_column]
     text, order = F.col(f"`{text_column}`"), [F.col("__length").desc(), F.col("__id").asc_nulls_last()]
     mine = [F.col(f"`{id_column}`").alias("__id"), F.coalesce(F.length(text), F.lit(0)).alias("__length")]
-    if carry:
-        rows = docs.select(*mine, *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], text.alias("__text"))
-        key = without_space(F.coalesce(F.col("__text"), F.lit("")))
+    mine += [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry) if c != text_column]
+    if carry:  # whole texts travel, and the key is made where they arrive
+        rows, key = docs.select(*mine, text.alias("__text")), without_space(F.coalesce(F.col("__text"), F.lit("")))
     else:
-        rows = docs.select(*mine, without_space(F.coalesce(text, F.lit(""))).alias("__text"))
-        key = F.col("__text")
-    runs = equal_runs(rows, key, order, "__id", "exact", drop=["__text"])
+        rows, key = docs.select(*mine, without_space(F.coalesce(text, F.lit(""))).alias("__text")), F.col("__text")
+    runs = equal_runs(rows, key, order, "__id", "exact", drop=[] if text_column in carry else ["__text"])
     return runs.select(
         F.col("__id").alias(id_column),
-        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)],
+        *[F.col("__text" if c == text_column else f"__c{i}").alias(c) for i, c in enumerate(carry)],
         F.col("run_head").alias("keep_id"),
         F.col("run_size").alias("group_size"),
         F.col("is_head").alias("kept"),
@@ -40,5 +39,5 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_column, text_column, carry=docs.columns)
-    return pick(kept.filter("kept"), *docs.columns)
+    marked = exact_dedup(pack(docs, id_column, text_column), "__p0", "__p1", carry=["__p1", "__rest"])
+    return unpack(marked.filter("kept"), docs.columns, id_column, text_column)

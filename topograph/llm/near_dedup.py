@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from topograph.llm import textnum
 from topograph.llm.blocks import answer, answered, ask, cut, finish
-from topograph.llm.common import materialize, materialize_bucketed, partitions
+from topograph.llm.common import materialize, materialize_bucketed, pack, partitions, unpack
 from topograph.llm.graph import components
 from topograph.llm.runs import equal_runs
 
@@ -301,5 +301,5 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that stand for their component, with all their columns."""
-    marked = near_dedup(docs, id_column, text_column, carry=docs.columns)
-    return marked.filter("is_representative").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = near_dedup(pack(docs, id_column, text_column), "__p0", "__p1", carry=["__p1", "__rest"])
+    return unpack(marked.filter("is_representative"), docs.columns, id_column, text_column)
