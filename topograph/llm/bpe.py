@@ -18,6 +18,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,12 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.piece.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def coder_for(path: str) -> ForcedBoundaryBPE:
+    """One per worker process, so that tasks share the tokenizer and the remembered fragments."""
+    return ForcedBoundaryBPE(path)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: n_tokens, digests of the ids and of the decoded text; with_ids adds the ids and the decoded text.
 
@@ -94,7 +101,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
     schema = SCHEMA.replace("doc_id", f"`{id_column}`") + (", token_ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(tokenizer_path)
+        bpe = coder_for(tokenizer_path)
         for batch in batches:
             n, ids_hex, text_hex, all_ids, decoded = [], [], [], [], []
             for text in batch.column(1):
