@@ -19,6 +19,8 @@ from topograph.schema import GRAPH_PH_COLUMNS, PROTEIN_FEATURES, SUBGRAPH_FEATUR
 
 #: A control is accepted at once when its density and relative degree differ by no more than these.
 DEGREE_TOLERANCE = 0.35
+#: Most edges of a graph whose adjacency is sent to all workers.
+BROADCAST_EDGES = 2_000_000
 TARGETS = ["match_score", "target_density", "target_mean_degree", "target_mean_strength"]
 
 
@@ -103,11 +105,37 @@ def grow_candidates(edges: DataFrame, specs: DataFrame, keys: list[str], exclude
     return chosen
 
 
+def _controls_in_memory(edges: DataFrame, real: DataFrame, per_complex: int, attempts: int, seed: int, restart: float, tolerance: float) -> DataFrame:
+    """matched_controls for a graph of at most BROADCAST_EDGES edges, whose adjacency each worker holds; groups are worked on in parallel."""
+    import numpy as np
+    import pandas as pd
+
+    from topograph.functions.controls import Adjacency, match
+    from topograph.functions.grouped import map_groups
+
+    rows = edges.select("a", "b", "w").filter("a <> b").toPandas()
+    shared = edges.sparkSession.sparkContext.broadcast((rows["a"].to_numpy(str), rows["b"].to_numpy(str), rows["w"].to_numpy(np.float64)))
+    held: list[Adjacency] = []
+
+    def run(key: tuple, part: pd.DataFrame):
+        if not held:
+            held.append(Adjacency(*shared.value))
+        graph = held[0]
+        members = [graph.number[n] for n in part["node"] if n in graph.number]
+        for control in range(per_complex):
+            nodes, score, targets = match(graph, members, attempts, restart, tolerance, DEGREE_TOLERANCE, (seed, key[0], control))
+            yield from ((key[0], control, str(graph.names[v]), score, *targets) for v in nodes)
+
+    return map_groups(real.select("complex_id", "node"), ["complex_id"], run, "complex_id long, control int, node string, match_score double, target_density double, target_mean_degree double, target_mean_strength double", order=["node"])
+
+
 def matched_controls(edges: DataFrame, real: DataFrame, per_complex: int, attempts: int, seed: int, restart: float, tolerance: float) -> DataFrame:
     """real: complex_id, node. Controls (complex_id, control, node, score and targets) of the same sizes.
 
-    All attempts of all controls are rows of one plan; a control is its first acceptable attempt, else the best-scoring one.
+    The adjacency of a graph of checked size is sent to all workers.  Beyond it all attempts of all controls are rows of one plan; a control is its first acceptable attempt, else the best-scoring one.
     """
+    if edges.count() <= BROADCAST_EDGES:
+        return _controls_in_memory(edges, real, per_complex, attempts, seed, restart, tolerance)
     keys = ["complex_id", "control", "attempt"]
     full = degree_strength(edges).select("node", "degree").persist()
     mean_degree = real.join(full, "node").groupBy("complex_id").agg(F.avg("degree").alias("target_mean_degree"))
