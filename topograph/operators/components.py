@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topograph.functions.lineage import cut_lineage
+
 
 def min_label(links: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
     """links: group, id, other (both directions); nodes: group, id. A row (group, id, root), root the smallest id of its component."""
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="topograph-"))
-    links = links.filter("id <> other").checkpoint()
+    links = cut_lineage(links.filter("id <> other"))
     labels = nodes.select(*group, "id").withColumn("root", F.col("id")).checkpoint()
     while True:
         near = links.join(labels.withColumnRenamed("id", "other"), [*group, "other"]).groupBy(*group, "id").agg(F.min("root").alias("near"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topograph.functions.lineage import cut_lineage
 from topograph.operators.components import subgraph_components
 from topograph.operators.graph import degree_strength, density, induced_edges, node_features, node_set
 from topograph.operators.homology import diagram_summary, sample_for_ph, subgraph_bars
@@ -55,6 +56,7 @@ def subgraph_basics(edges: DataFrame, members: DataFrame, group: list[str]) -> D
 
 def graph_ph_summary(edges: DataFrame, members: DataFrame, group: list[str], filtration: str = "correlation_distance", maxdim: int = 2) -> DataFrame:
     """The persistence summary, the graph's size (as double) and the mean and deviation over all n * n distances."""
+    members = cut_lineage(members)  # five plans read it
     bars = subgraph_bars(edges, members, group, filtration, maxdim)
     summary = diagram_summary(bars, group, members)
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
@@ -69,8 +71,8 @@ def graph_ph_summary(edges: DataFrame, members: DataFrame, group: list[str], fil
 
 def subgraph_features(edges: DataFrame, members: DataFrame, group: list[str], filtration: str = "correlation_distance", cap: int | None = None, seed: int = 7, prefix: str | None = None, maxdim: int = 2) -> DataFrame:
     """Basic features with the persistence summary of the (sampled) subgraph, whose size replaces num_nodes and num_edges; the whole one's stay as full_*."""
-    members = members.persist()
-    sampled = sample_for_ph(edges, members, group, cap, seed).persist() if cap else members
+    members = cut_lineage(members)
+    sampled = sample_for_ph(edges, members, group, cap, seed) if cap else members
     basics = subgraph_basics(edges, members, group).withColumnsRenamed({"num_nodes": "full_num_nodes", "num_edges": "full_num_edges"})
     parts = subgraph_components(edges, members, group).withColumnRenamed("n_components", "num_connected_components")
     ph = graph_ph_summary(edges, sampled, group, filtration, maxdim).withColumn("ph_num_nodes_used", F.col("num_nodes"))

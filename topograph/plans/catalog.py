@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topograph.functions.lineage import cut_lineage
 from topograph.operators import cluster, components, features, filtration, graph, homology, neighborhood, ranking, sampling, sets
 from topograph.plans import experiments
 from topograph.schema import PROTEIN_FEATURES, DecisionConfig, ExplorationConfig, SweepConfig
@@ -277,7 +278,7 @@ def subgraph_basic_features(spark, sf_dir):
 
 @query("select complex_id, count(distinct r) as n_components from (select complex_id, i, min(j) as r from d3 group by complex_id, i) group by complex_id", _shortest("1", "+"))
 def subgraph_components(spark, sf_dir):
-    edges = _graph(spark, sf_dir).persist()
+    edges = cut_lineage(_graph(spark, sf_dir))
     return components.subgraph_components(edges, _members(spark, sf_dir, edges), ["complex_id"])
 
 
@@ -361,7 +362,7 @@ def _expansion_sql(cap: int) -> str:
 
 @query("select seed, node, rank from c3", _expansion_sql(4))
 def seed_expansion(spark, sf_dir):
-    edges = _graph(spark, sf_dir).persist()
+    edges = cut_lineage(_graph(spark, sf_dir))
     return neighborhood.seed_expansion(edges, _seeds(edges), 4)
 
 
@@ -501,13 +502,13 @@ def h1_h2_bars(spark, sf_dir):
 
 @query()
 def ph_summary(spark, sf_dir):
-    edges = _graph(spark, sf_dir).persist()
+    edges = cut_lineage(_graph(spark, sf_dir))
     return features.graph_ph_summary(edges, _members(spark, sf_dir, edges), ["complex_id"], "weighted_shortest_path")
 
 
 @query()
 def subgraph_feature_table(spark, sf_dir):
-    return features.complex_features(_graph(spark, sf_dir).persist(), _groups(spark, sf_dir), "real_complex", cap=60)
+    return features.complex_features(cut_lineage(_graph(spark, sf_dir)), _groups(spark, sf_dir), "real_complex", cap=60)
 
 
 @query("select complex_id, round(sum(v), 4) as landscape_l1, round(max(v), 6) as landscape_max from ls where level <= 5 group by complex_id", H0 + """,
@@ -529,7 +530,7 @@ def betti_numbers(spark, sf_dir):
 
 @query("select 'box' as filter, complex_id, birth, round(death, 6) as death from bars where dim = 0 and birth < 0.62 and death > 0.55 union all select 'life', complex_id, birth, round(death, 6) from bars where death - birth > 0.5 union all select 'births', complex_id, birth, round(death, 6) from bars where dim = 0 and birth < 0.99", H0)
 def bar_filters(spark, sf_dir):
-    bars = _bars(spark, sf_dir).persist()
+    bars = cut_lineage(_bars(spark, sf_dir))
     named = lambda name, df: _round(df.select(F.lit(name).alias("filter"), "complex_id", "birth", "death"), "death")
     return named("box", homology.box_filter(bars, 0, 0.62, 0.55)).union(named("life", homology.lifetime_filter(bars, 0.5))).union(named("births", homology.births_below(bars, 0, 0.99)))
 
@@ -620,61 +621,45 @@ def _settings(**own):
 def logistic_metrics(spark, sf_dir):
     from topograph.plans.modelling import mean_metrics, repeat_metrics
 
-    rows = _proteins(spark, sf_dir, _graph(spark, sf_dir)).persist()
+    rows = cut_lineage(_proteins(spark, sf_dir, _graph(spark, sf_dir)))
     return mean_metrics(repeat_metrics(rows, {"protein_baseline": PROTEIN_FEATURES}, "protein", "protein_in_any_complex", 3, 0.25, 7), ["protein_baseline"])
 
 
 @query()
 def global_ph_stability(spark, sf_dir):
-    return experiments.ph_stability(_graph(spark, sf_dir).persist(), _settings())
+    return experiments.ph_stability(cut_lineage(_graph(spark, sf_dir)), _settings())
 
 
 @query()
 def complex_vs_random(spark, sf_dir):
-    _ready(spark)
-    return experiments.complex_vs_random(_graph(spark, sf_dir).persist(), _groups(spark, sf_dir).persist(), _settings())[1]
+    return experiments.complex_vs_random(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), _settings())[1]
 
 
 @query()
 def null_controls(spark, sf_dir):
-    _ready(spark)
-    edges = _graph(spark, sf_dir).persist()
-    table = experiments.complex_vs_random(edges, _groups(spark, sf_dir).persist(), _settings())[0]
-    return experiments.null_controls(_proteins(spark, sf_dir, edges).persist(), table, _settings())
-
-
-def _ready(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a local session without it gets a folder of its own."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="topograph-"))
+    edges = cut_lineage(_graph(spark, sf_dir))
+    table = experiments.complex_vs_random(edges, cut_lineage(_groups(spark, sf_dir)), _settings())[0]
+    return experiments.null_controls(cut_lineage(_proteins(spark, sf_dir, edges)), table, _settings())
 
 
 @query()
 def local_ph(spark, sf_dir):
-    _ready(spark)
-    edges = _graph(spark, sf_dir).persist()
+    edges = cut_lineage(_graph(spark, sf_dir))
     config = ExplorationConfig(local_positive_proteins=30, local_negative_proteins=30, local_neighborhood_node_cap=12, local_repeats=2)
-    return experiments.local_ph(edges, _proteins(spark, sf_dir, edges).persist(), config)[1]
+    return experiments.local_ph(edges, cut_lineage(_proteins(spark, sf_dir, edges)), config)[1]
 
 
 @query()
 def filtration_comparison(spark, sf_dir):
-    _ready(spark)
     config = ExplorationConfig(filtration_max_real_complexes=20, filtration_max_random_attempts=5, filtration_repeats=2)
-    return experiments.filtration_comparison(_graph(spark, sf_dir).persist(), _groups(spark, sf_dir).persist(), config)
+    return experiments.filtration_comparison(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), config)
 
 
 @query()
 def protocol_sweep(spark, sf_dir):
-    _ready(spark)
-    edges = _graph(spark, sf_dir).persist()
+    edges = cut_lineage(_graph(spark, sf_dir))
     config = SweepConfig(local_positive_proteins=20, local_negative_proteins=20, neighborhood_node_caps=(5, 8), repeats=2)
-    return experiments.protocol_sweep(edges, _proteins(spark, sf_dir, edges).persist(), config)
+    return experiments.protocol_sweep(edges, cut_lineage(_proteins(spark, sf_dir, edges)), config)
 
 
 @query("select * from (values ('decision', 'conditional_go'), ('sweep', 'no_go'), ('strong', 'go')) t(run, verdict)")

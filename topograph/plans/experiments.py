@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from topograph.functions.lineage import cut_lineage
 from topograph.functions.hashing import digest, uniform
 from topograph.operators.features import data_sanity, graph_ph_summary, protein_features, size_bin, subgraph_basics, subgraph_features
 from topograph.operators.graph import degree_strength, node_set, symmetric
@@ -26,7 +27,7 @@ TARGETS = ["match_score", "target_density", "target_mean_degree", "target_mean_s
 
 def protein_baseline(edges: DataFrame, groups: DataFrame, config: DecisionConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features, univariate signal, and split metrics of the six graph features."""
-    rows = protein_features(edges, groups).persist()
+    rows = cut_lineage(protein_features(edges, groups))
     signal = univariate_signal(rows, PROTEIN_FEATURES, "protein_in_any_complex", "protein")
     per = repeat_metrics(rows, {"protein_baseline": PROTEIN_FEATURES}, "protein", "protein_in_any_complex", config.repeats, config.test_fraction, config.random_seed)
     return rows, signal, mean_metrics(per, ["protein_baseline"])
@@ -52,13 +53,13 @@ def perturbed(edges: DataFrame, config: DecisionConfig) -> DataFrame:
 
 def ph_stability(edges: DataFrame, config: DecisionConfig) -> DataFrame:
     """Persistence summaries of the sampled graph and its perturbations, with their cosine to the original."""
-    every = perturbed(edges, config).persist()
+    every = cut_lineage(perturbed(edges, config))
     nodes = node_set(every, ["perturbation"])
     # Samples are drawn inside each perturbation; its name becomes part of the node so that one plan serves all.
     tag = lambda c: F.concat_ws("\x01", "perturbation", c)
-    tagged = every.select(tag("a").alias("a"), tag("b").alias("b"), "w")
+    tagged = cut_lineage(every.select(tag("a").alias("a"), tag("b").alias("b"), "w"))
     members = sample_for_ph(tagged, nodes.select("perturbation", tag("node").alias("node")), ["perturbation"], config.global_ph_node_cap, config.random_seed)
-    summary = graph_ph_summary(tagged, members, ["perturbation"])
+    summary = cut_lineage(graph_ph_summary(tagged, members, ["perturbation"]))
     ph = [c for c in GRAPH_PH_COLUMNS if c.startswith("ph_")]
     long = summary.select("perturbation", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ph])).alias("x")).select("perturbation", "x.c", "x.v")
     pairs = long.join(long.filter("perturbation = 'original'").select("c", F.col("v").alias("o")), "c")
@@ -76,7 +77,7 @@ def grow_candidates(edges: DataFrame, specs: DataFrame, keys: list[str], exclude
 
     Starts and restarts avoid the group's own members (excluded: complex_id, node); frontiers don't unless filter_frontier.
     """
-    index = index_dictionary(node_set(edges)).persist()
+    index = cut_lineage(index_dictionary(node_set(edges)))
     n = index.count()
     links = symmetric(edges.filter("a <> b")).select("node", F.col("nbr").alias("next"))
     banned = excluded.select("complex_id", F.col("node").alias("next"))
@@ -90,7 +91,7 @@ def grow_candidates(edges: DataFrame, specs: DataFrame, keys: list[str], exclude
             rows = rows.join(chosen.select(*keys, F.col("node").alias("next")), [*keys, "next"], "left_anti")
         return rows.groupBy(*keys).agg(F.min_by("next", "try").alias("random_node"))
 
-    chosen = specs.join(fresh(None, 0), keys).select(*keys, "complex_id", "target_size", F.col("random_node").alias("node")).checkpoint()
+    chosen = cut_lineage(specs.join(fresh(None, 0), keys).select(*keys, "complex_id", "target_size", F.col("random_node").alias("node")))
     for step in range(1, largest):
         growing = specs.filter(F.col("target_size") > step)
         frontier = chosen.filter(F.col("target_size") > step).join(links, "node").join(chosen.select(*keys, F.col("node").alias("next")), [*keys, "next"], "left_anti")
@@ -101,7 +102,7 @@ def grow_candidates(edges: DataFrame, specs: DataFrame, keys: list[str], exclude
         jump = uniform(seed + 1, F.concat_ws("|", *keys, F.lit(step))) <= restart
         both = growing.join(walk, keys, "left").join(fresh(chosen, step), keys, "left")
         node = F.when(F.col("walk").isNull() | jump, F.coalesce("random_node", "walk")).otherwise(F.col("walk"))
-        chosen = chosen.union(both.select(*keys, "complex_id", "target_size", node.alias("node")).filter("node is not null")).checkpoint()
+        chosen = cut_lineage(chosen.union(both.select(*keys, "complex_id", "target_size", node.alias("node")).filter("node is not null")))
     return chosen
 
 
@@ -137,10 +138,10 @@ def matched_controls(edges: DataFrame, real: DataFrame, per_complex: int, attemp
     if edges.count() <= BROADCAST_EDGES:
         return _controls_in_memory(edges, real, per_complex, attempts, seed, restart, tolerance)
     keys = ["complex_id", "control", "attempt"]
-    full = degree_strength(edges).select("node", "degree").persist()
+    full = cut_lineage(degree_strength(edges).select("node", "degree"))
     mean_degree = real.join(full, "node").groupBy("complex_id").agg(F.avg("degree").alias("target_mean_degree"))
     basics = subgraph_basics(edges, real, ["complex_id"]).select("complex_id", F.col("num_nodes").cast("int").alias("target_size"), F.col("density").alias("target_density"), F.col("mean_strength").alias("target_mean_strength"))
-    targets = basics.join(mean_degree, "complex_id").persist()
+    targets = cut_lineage(basics.join(mean_degree, "complex_id"))
     specs = targets.select("complex_id", "target_size").withColumn("control", F.explode(F.sequence(F.lit(0), F.lit(per_complex - 1)))).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     grown = grow_candidates(edges, specs, keys, real.select("complex_id", "node"), seed, restart)
     own = subgraph_basics(edges, grown.select(*keys, "node"), keys).select(*keys, "density", "mean_strength").join(grown.join(full, "node").groupBy(*keys).agg(F.avg("degree").alias("mean_degree")), keys)
@@ -156,7 +157,7 @@ def instance_members(edges: DataFrame, groups: DataFrame, smallest: int, largest
     """Real groups and their controls: complex_id, control (-1 for real), label, node, and the controls' targets."""
     inside = members_in_graph(groups, node_set(edges))
     chosen = eligible(groups, node_set(edges), smallest, largest, most).select("complex_id")
-    real = inside.join(chosen, "complex_id", "left_semi").select("complex_id", "node").persist()
+    real = cut_lineage(inside.join(chosen, "complex_id", "left_semi").select("complex_id", "node"))
     controls = matched_controls(edges, real, per_complex, attempts, seed, restart, tolerance)
     none = [F.lit(None).cast("double").alias(t) for t in TARGETS]
     return real.select("complex_id", F.lit(-1).alias("control"), F.lit(1).alias("label"), "node", *none).union(controls.select("complex_id", "control", F.lit(0).alias("label"), "node", *TARGETS))
@@ -172,8 +173,8 @@ def instance_features(edges: DataFrame, instances: DataFrame, filtration: str, c
 
 def complex_vs_random(edges: DataFrame, groups: DataFrame, config: DecisionConfig) -> tuple[DataFrame, DataFrame]:
     """Feature table of real and matched random subgraphs; metrics of graph features, persistence features and both."""
-    instances = instance_members(edges, groups, config.min_complex_size, config.max_complex_size, config.max_real_complexes, config.matched_random_per_complex, config.max_random_attempts, config.random_seed, config.random_walk_restart_prob, config.density_tolerance).persist()
-    table = instance_features(edges, instances, "correlation_distance", config.subgraph_ph_node_cap, config.random_seed).checkpoint()
+    instances = cut_lineage(instance_members(edges, groups, config.min_complex_size, config.max_complex_size, config.max_real_complexes, config.matched_random_per_complex, config.max_random_attempts, config.random_seed, config.random_walk_restart_prob, config.density_tolerance))
+    table = cut_lineage(instance_features(edges, instances, "correlation_distance", config.subgraph_ph_node_cap, config.random_seed))
     ph = [c for c in table.columns if c.startswith("ph_")]
     models = {"baseline": SUBGRAPH_FEATURES, "ph": ph, "combined": [*SUBGRAPH_FEATURES, *ph]}
     seeds = {"baseline": config.random_seed, "ph": config.random_seed + 1, "combined": config.random_seed + 2}
@@ -217,8 +218,8 @@ def local_neighborhoods(edges: DataFrame, seeds: DataFrame, protocols: tuple[str
 
 def local_ph(edges: DataFrame, proteins: DataFrame, config: ExplorationConfig) -> tuple[DataFrame, DataFrame]:
     """Do persistence features of bounded neighbourhoods tell members from others? Feature table and metrics."""
-    chosen = panel(proteins, "protein", "protein_in_any_complex", config.local_positive_proteins, config.local_negative_proteins, config.random_seed).checkpoint()
-    near = local_neighborhoods(edges, chosen.select(F.col("protein").alias("seed")), ("top_weighted_neighbors",), (config.local_neighborhood_node_cap,)).select("seed", "node").checkpoint()
+    chosen = cut_lineage(panel(proteins, "protein", "protein_in_any_complex", config.local_positive_proteins, config.local_negative_proteins, config.random_seed))
+    near = cut_lineage(local_neighborhoods(edges, chosen.select(F.col("protein").alias("seed")), ("top_weighted_neighbors",), (config.local_neighborhood_node_cap,)).select("seed", "node"))
     table, models, seeds = chosen, {"baseline": PROTEIN_FEATURES}, {"baseline": config.random_seed}
     for i, filtration in enumerate(config.filtrations):
         prefix = f"local_{filtration}"
@@ -228,7 +229,7 @@ def local_ph(edges: DataFrame, proteins: DataFrame, config: ExplorationConfig) -
         named, at = [f"{prefix}_{c}" for c in ph], config.random_seed + 1 + 3 * i
         models |= {f"{filtration}:ph_only": named, f"{filtration}:baseline_plus_ph": [*PROTEIN_FEATURES, *named]}
         seeds |= {f"{filtration}:ph_only": at + 50, f"{filtration}:baseline_plus_ph": at + 100}
-    table = table.checkpoint()
+    table = cut_lineage(table)
     label = "protein_in_any_complex"
     per = repeat_metrics(table, models, "protein", label, config.local_repeats, config.local_test_fraction, seeds, bounded=True)
     names = list(models)
@@ -242,10 +243,10 @@ def local_ph(edges: DataFrame, proteins: DataFrame, config: ExplorationConfig) -
 
 def filtration_comparison(edges: DataFrame, groups: DataFrame, config: ExplorationConfig, tolerance: float = 0.15) -> DataFrame:
     """Real groups against controls under each filtration: persistence only, with graph features, and a shuffled control."""
-    instances = instance_members(edges, groups, config.filtration_min_complex_size, config.filtration_max_complex_size, config.filtration_max_real_complexes, config.filtration_matched_random_per_complex, config.filtration_max_random_attempts, config.random_seed, config.filtration_random_walk_restart_prob, tolerance).persist()
+    instances = cut_lineage(instance_members(edges, groups, config.filtration_min_complex_size, config.filtration_max_complex_size, config.filtration_max_real_complexes, config.filtration_matched_random_per_complex, config.filtration_max_random_attempts, config.random_seed, config.filtration_random_walk_restart_prob, tolerance))
     per, names = None, []
     for i, filtration in enumerate(config.filtrations):
-        table = instance_features(edges, instances, filtration, config.filtration_subgraph_ph_node_cap, config.random_seed, prefix=filtration).checkpoint()
+        table = cut_lineage(instance_features(edges, instances, filtration, config.filtration_subgraph_ph_node_cap, config.random_seed, prefix=filtration))
         ph, at = [c for c in table.columns if c.startswith(f"{filtration}_ph_")], config.random_seed + 3 * i
         models = {f"{filtration}:ph_only": ph, f"{filtration}:baseline_plus_ph": [*SUBGRAPH_FEATURES, *ph]}
         got = repeat_metrics(table, models, "subgraph_id", "label", config.filtration_repeats, config.filtration_test_fraction, {f"{filtration}:ph_only": at + 30, f"{filtration}:baseline_plus_ph": at + 60}, grouped_by="complex_group")
@@ -260,10 +261,10 @@ def filtration_comparison(edges: DataFrame, groups: DataFrame, config: Explorati
 def protocol_sweep(edges: DataFrame, proteins: DataFrame, config: SweepConfig) -> DataFrame:
     """Every neighbourhood protocol and cap: persistence only, combined and shuffled; lift over the graph features. One persistence job serves all."""
     label = "protein_in_any_complex"
-    chosen = panel(proteins, "protein", label, config.local_positive_proteins, config.local_negative_proteins, config.random_seed).checkpoint()
-    near = local_neighborhoods(edges, chosen.select(F.col("protein").alias("seed")), config.protocols, config.neighborhood_node_caps).checkpoint()
+    chosen = cut_lineage(panel(proteins, "protein", label, config.local_positive_proteins, config.local_negative_proteins, config.random_seed))
+    near = cut_lineage(local_neighborhoods(edges, chosen.select(F.col("protein").alias("seed")), config.protocols, config.neighborhood_node_caps))
     key = ["protocol", "max_nodes", "seed"]
-    summary = graph_ph_summary(edges, near, key, config.filtration, config.ph_maxdim).checkpoint()
+    summary = cut_lineage(graph_ph_summary(edges, near, key, config.filtration, config.ph_maxdim))
     ph = [c for c in summary.columns if c.startswith("ph_")]
     base = repeat_metrics(chosen, {"baseline": PROTEIN_FEATURES}, "protein", label, config.repeats, config.test_fraction, config.random_seed, bounded=True)
     per, names = base, ["baseline"]
@@ -277,7 +278,7 @@ def protocol_sweep(edges: DataFrame, proteins: DataFrame, config: SweepConfig) -
             head = f"{protocol}:{cap}"
             per = per.union(run(f"{head}:ph_only", ph, label, s + 40)).union(run(f"{head}:baseline_plus_ph", [*PROTEIN_FEATURES, *ph], label, s + 80)).union(run(f"{head}:label_shuffle_null", [*PROTEIN_FEATURES, *ph], "shuffled", s + 120))
             names += [f"{head}:{m}" for m in ("ph_only", "baseline_plus_ph", "label_shuffle_null")]
-    means = mean_metrics(per, names).checkpoint()
+    means = cut_lineage(mean_metrics(per, names))
     first = means.filter("model = 'baseline'").select(F.col("mean_auroc").alias("__base"))
     return means.join(F.broadcast(first)).withColumn("auroc_lift_vs_baseline", F.col("mean_auroc") - F.col("__base")).drop("__base")
 

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topograph.functions.lineage import cut_lineage
 from topograph.operators import features, graph, homology, sets
 from topograph.plans import experiments
 from topograph.schema import DecisionConfig, ExplorationConfig, SweepConfig, SyntheticConfig, config_to_dict
@@ -54,7 +55,7 @@ def reference_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, out:
     """Coverage, degree tables and persistence of the sampled graph (the whole one's complex would be complete)."""
     nodes = graph.node_set(edges).withColumn("graph", F.lit("all"))
     members = homology.sample_for_ph(edges, nodes, ["graph"], node_cap)
-    bars = homology.subgraph_bars(edges, members, ["graph"]).persist()
+    bars = cut_lineage(homology.subgraph_bars(edges, members, ["graph"]))
     histogram, baseline = graph.degree_histogram(edges), features.degree_baseline(edges, groups)
     inside = graph.induced_edges(edges, members, ["graph"])
     report = _report(
@@ -69,7 +70,7 @@ def reference_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, out:
 def decision_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, config: DecisionConfig = DecisionConfig(), out: str | None = None) -> dict:
     sanity = _one(features.data_sanity(edges, groups))
     proteins, signal, protein_metrics = experiments.protein_baseline(edges, groups, config)
-    stability = experiments.ph_stability(edges, config).persist()
+    stability = cut_lineage(experiments.ph_stability(edges, config))
     table, metrics = experiments.complex_vs_random(edges, groups, config)
     nulls = experiments.null_controls(proteins, table, config)
     cosines = _one(stability.filter("perturbation <> 'original'").agg(F.avg("cosine_to_original").alias("mean"), F.min("cosine_to_original").alias("min")))
@@ -81,7 +82,7 @@ def decision_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, confi
 
 
 def exploration_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, config: ExplorationConfig = ExplorationConfig(), out: str | None = None) -> dict:
-    proteins = features.protein_features(edges, groups).persist()
+    proteins = cut_lineage(features.protein_features(edges, groups))
     table, local = experiments.local_ph(edges, proteins, config)
     compared = experiments.filtration_comparison(edges, groups, config)
     report = _report(config=config_to_dict(config), local=_metrics(local), filtrations=_metrics(compared))
@@ -89,7 +90,7 @@ def exploration_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, co
 
 
 def sweep_run(spark: SparkSession, edges: DataFrame, groups: DataFrame, config: SweepConfig = SweepConfig(), out: str | None = None) -> dict:
-    swept = experiments.protocol_sweep(edges, features.protein_features(edges, groups).persist(), config)
+    swept = experiments.protocol_sweep(edges, cut_lineage(features.protein_features(edges, groups)), config)
     best = experiments.best_protocol(swept).first()
     report = _report(config=config_to_dict(config), metrics=_metrics(swept), best=best.asDict() if best else None)
     return _save(spark, out, report, {"protocol_sweep_metrics": swept})
