@@ -8,7 +8,7 @@ that distance always meet.  Texts at the similarity threshold of 0.75 differ in
 they miss each other only if every chunk has two errors: with probability 6e-6 (1e-7 at 0.8, 1e-10 at 0.85).
 
 Texts with equal sets are one class from the start (runs.py), so copies never multiply.  In each index
-bucket all classes are first compared with the bucket's smallest one (its hub); texts that meet the threshold on
+bucket all classes are first compared with its hub, the class that meets most others; texts that meet the threshold on
 their full sets are linked, and connected components follow.  Buckets that still hold several components are
 compared completely across components, in blocks of bounded size.  A pair is judged only in the first bucket that
 it shares, and leaves its block only if it can still meet the threshold: by signature distance, by set sizes, and by
@@ -25,8 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +39,8 @@ CHUNKS, SYMBOLS = 12, 5
 LENGTH = CHUNKS * SYMBOLS
 #: Pairs whose signatures differ in more symbols are not fetched: at similarity 0.75 one in a million does.
 MAX_DISTANCE = 31
-#: Most members of a block of a bucket.
-BLOCK = 512
+#: Most members of a block of a bucket, and pairs of one text that meet in one place.
+BLOCK, PAIRS_PER_SALT = 512, 256
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 _MULTIPLIERS = textnum.mix(np.arange(1, LENGTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -121,22 +119,13 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
 
-def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        body = [press.compress(t) for t in pc.fill_null(batch.column(2), "").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.binary())], names=["a", "b", "body"])
-
-
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and both bodies -> the pairs, how many shingles they share, and whether their full sets meet the threshold."""
-    unpress = zstandard.ZstdDecompressor()
+    """a, b and both texts -> the pairs, how many shingles they share, and whether their full sets meet the threshold."""
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
-            n, sets = batch.num_rows, []
-            texts = pa.array([unpress.decompress(x).decode("utf-8") for i in (2, 3) for x in batch.column(i).to_pylist()], pa.large_string())
-            data, offsets = textnum.texts(texts)
+            n = batch.num_rows
+            data, offsets = textnum.texts(pa.concat_arrays([batch.column(2), batch.column(3)]))
             hashes, bounds = shingle_sets(textnum.Words(data, offsets, lower=True))
             sizes = np.diff(bounds)
             row = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), sizes)
@@ -153,8 +142,12 @@ def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, name: str)
     one = lambda side: sketches.select(F.col("uid").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
     joined = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     near = materialize(joined.mapInArrow(_near, "a long, b long"), f"{name}_near")
-    body = lambda side: near.join(texts.select(F.col("uid").alias(side), "text"), side).select("a", "b", "text").mapInArrow(_press, "a long, b long, body binary").withColumnRenamed("body", f"body_{side}")
-    return materialize(body("a").join(body("b"), ["a", "b"]).mapInArrow(_linked, "u long, v long, common long, linked boolean"), f"{name}_links")
+    # A hub's pairs are dealt out by salt, and its text once for each salt.
+    salts = materialize(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("int").alias("salts")), f"{name}_salts")
+    heads = texts.join(salts, F.col("uid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_a"))
+    tails = near.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")).join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
+    both = tails.join(heads, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    return materialize(both.mapInArrow(_linked, "u long, v long, common long, linked boolean"), f"{name}_links")
 
 
 def _compare(rows: pa.Table) -> pa.RecordBatch | None:
@@ -256,8 +249,12 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     classes = rows.filter("is_head and signature is not null").select("uid", "n_shingles", "signature")
 
     keys = classes.select("uid", "signature").mapInArrow(_keys, "key long, uid long")
-    shared = keys.groupBy("key").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = materialize(keys.join(shared, "key").select("key", "uid", "hub", "members"), "buckets")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    hits = materialize(keys.join(shared, "key").select("key", "uid", "members"), "hits")
+    # The hub is the member that meets most others: in a family of edited copies their common original.
+    popular = materialize(hits.groupBy("uid").agg(F.sum("members").alias("meets")), "popular")
+    hubs = materialize(hits.join(popular, "uid").groupBy("key").agg(F.min(F.struct(-F.col("meets"), F.col("uid"))).getField("uid").alias("hub")), "hubs")
+    buckets = materialize(hits.join(hubs, "key").select("key", "uid", "hub", "members"), "buckets")
 
     stars = buckets.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     met = _verify(stars, classes, texts, "star")
