@@ -137,11 +137,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common.astype(np.int64)), pa.array(ok)], names=["u", "v", "common", "linked"])
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b), distinct -> those that can meet the threshold: u, v, common, linked. texts is bucketed by uid and isn't shuffled; only near pairs fetch theirs."""
+def _near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures and set sizes let them meet the threshold."""
     one = lambda side: sketches.select(F.col("uid").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
-    joined = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    near = materialize(joined.mapInArrow(_near, "a long, b long"), f"{name}_near")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near, "a long, b long")
+
+
+def _verify(near: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Distinct pairs (a, b) -> u, v, common, linked. texts is bucketed by uid and isn't shuffled by it; only these pairs fetch theirs."""
+    near = materialize(near, f"{name}_near")
     # A hub's pairs are dealt out by salt, and its text once for each salt.
     salts = materialize(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("int").alias("salts")), f"{name}_salts")
     heads = texts.join(salts, F.col("uid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_a"))
@@ -257,7 +261,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     buckets = materialize(hits.join(hubs, "key").select("key", "uid", "hub", "members"), "buckets")
 
     stars = buckets.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    met = _verify(stars, classes, texts, "star")
+    met = _verify(_near_pairs(stars, classes), texts, "star")
     labels = components(met.filter("linked").select("u", "v"))
 
     label = F.coalesce("v", "uid")
@@ -276,7 +280,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 "uid", "hub", "component", "n_shingles", "common", F.coalesce("with_hub", F.lit(-1)).cast("long").alias("with_hub"), "signature")
     )
     across = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_blocks, "a long, b long").distinct()
-    more = _verify(materialize(across, "across"), classes, texts, "across").filter("linked").select("u", "v")
+    more = _verify(across, texts, "across").filter("linked").select("u", "v")
     if not more.isEmpty():
         labels = components(labels.union(more))
 
