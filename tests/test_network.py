@@ -177,3 +177,19 @@ def test_synthetic(spark):
     report, top = synthetic_sanity(spark, SyntheticConfig(random_seed=11))
     assert report["num_nodes"] == 100 and report["config"]["complex_sizes"] == (10, 7, 5) and top.count() == 10
     assert environment_report(spark)["spark"] == spark.version
+
+
+def test_registered_experiments_have_the_default_settings(monkeypatch):
+    from topograph.plans import catalog
+    from topograph.schema import DecisionConfig, ExplorationConfig, SweepConfig
+
+    seen = []
+    for name in ("_graph", "_groups", "_proteins", "cut_lineage"):
+        monkeypatch.setattr(catalog, name, lambda *a: None)
+    for name in ("ph_stability", "complex_vs_random", "null_controls", "local_ph", "filtration_comparison", "protocol_sweep"):
+        monkeypatch.setattr(experiments, name, lambda *a: seen.append(a[-1]) or (None, None))
+    want = {"global_ph_stability": DecisionConfig, "complex_vs_random": DecisionConfig, "null_controls": DecisionConfig, "local_ph": ExplorationConfig, "filtration_comparison": ExplorationConfig, "protocol_sweep": SweepConfig}
+    for name, kind in want.items():
+        seen.clear()
+        catalog.QUERIES[name](None, "")
+        assert seen and all(config == kind() for config in seen), name

@@ -612,11 +612,6 @@ def _proteins(spark, sf_dir, edges) -> DataFrame:
     return rows.withColumn("protein_in_any_complex", (F.col("complex_membership_count") >= 30).cast("int"))
 
 
-def _settings(**own):
-    """Smaller settings than the defaults, for runs that take seconds."""
-    return DecisionConfig(**{"repeats": 2, "max_real_complexes": 30, "matched_random_per_complex": 1, "max_random_attempts": 8, "global_ph_node_cap": 60, "subgraph_ph_node_cap": 40} | own)
-
-
 @query()
 def logistic_metrics(spark, sf_dir):
     from topograph.plans.modelling import mean_metrics, repeat_metrics
@@ -627,39 +622,36 @@ def logistic_metrics(spark, sf_dir):
 
 @query()
 def global_ph_stability(spark, sf_dir):
-    return experiments.ph_stability(cut_lineage(_graph(spark, sf_dir)), _settings())
+    return experiments.ph_stability(cut_lineage(_graph(spark, sf_dir)), DecisionConfig())
 
 
 @query()
 def complex_vs_random(spark, sf_dir):
-    return experiments.complex_vs_random(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), _settings())[1]
+    return experiments.complex_vs_random(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), DecisionConfig())[1]
 
 
 @query()
 def null_controls(spark, sf_dir):
     edges = cut_lineage(_graph(spark, sf_dir))
-    table = experiments.complex_vs_random(edges, cut_lineage(_groups(spark, sf_dir)), _settings())[0]
-    return experiments.null_controls(cut_lineage(_proteins(spark, sf_dir, edges)), table, _settings())
+    table = experiments.complex_vs_random(edges, cut_lineage(_groups(spark, sf_dir)), DecisionConfig())[0]
+    return experiments.null_controls(cut_lineage(_proteins(spark, sf_dir, edges)), table, DecisionConfig())
 
 
 @query()
 def local_ph(spark, sf_dir):
     edges = cut_lineage(_graph(spark, sf_dir))
-    config = ExplorationConfig(local_positive_proteins=30, local_negative_proteins=30, local_neighborhood_node_cap=12, local_repeats=2)
-    return experiments.local_ph(edges, cut_lineage(_proteins(spark, sf_dir, edges)), config)[1]
+    return experiments.local_ph(edges, cut_lineage(_proteins(spark, sf_dir, edges)), ExplorationConfig())[1]
 
 
 @query()
 def filtration_comparison(spark, sf_dir):
-    config = ExplorationConfig(filtration_max_real_complexes=20, filtration_max_random_attempts=5, filtration_repeats=2)
-    return experiments.filtration_comparison(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), config)
+    return experiments.filtration_comparison(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), ExplorationConfig())
 
 
 @query()
 def protocol_sweep(spark, sf_dir):
     edges = cut_lineage(_graph(spark, sf_dir))
-    config = SweepConfig(local_positive_proteins=20, local_negative_proteins=20, neighborhood_node_caps=(5, 8), repeats=2)
-    return experiments.protocol_sweep(edges, cut_lineage(_proteins(spark, sf_dir, edges)), config)
+    return experiments.protocol_sweep(edges, cut_lineage(_proteins(spark, sf_dir, edges)), SweepConfig())
 
 
 @query("select * from (values ('decision', 'conditional_go'), ('sweep', 'no_go'), ('strong', 'go')) t(run, verdict)")
