@@ -258,6 +258,36 @@ def test_mixing_of_repeated_and_null_ids(spark):
     assert abs(sum(x["taken"] for x in got) - 200) <= 80
 
 
+def test_op1_counts_what_its_shards_hold(spark, docs, empty, monkeypatch):
+    from topograph.llm import mixing, queries
+
+    repeated = spark.createDataFrame([(None, "a b c", "x")] * 40 + [(1, "a b", "y")] * 40 + [(1, "a b c", "y"), (2, None, "z"), (3, "d\ne", None)], "doc_id long, text string, source string")
+    paths, write = [], mixing.write_shards
+    monkeypatch.setattr(mixing, "write_shards", lambda drawn, path, shards: (write(drawn, path, shards), paths.append(path)))
+    for table in (docs, repeated, empty):
+        monkeypatch.setattr(queries, "table", lambda *a: table)  # noqa: B023
+        columns = ["doc_id", "size", "source_size", "target", "taken"]
+        got = sorted(map(str, queries.op1_mix_sources(spark, "").collect()))
+        assert got == sorted(map(str, mixing.mix(table).select(*columns).collect()))
+        written = spark.read.schema("__t string, shard int").parquet(paths.pop())
+        assert sum(len(words(x["__t"])) for x in written.collect()) == sum(x["taken"] for x in mixing.mix(table).collect())
+    assert not paths
+
+
+def test_pipeline_mixes_by_shard_in_random_order(spark, docs):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as pipeline
+    from topograph.llm.mixing import draw
+
+    got, want = collections.defaultdict(list), collections.defaultdict(list)
+    for x in pipeline.mix_sources(spark, docs, "").withColumn("at", F.spark_partition_id()).collect():
+        got[x["at"]].append((x["doc_id"], x["text"]))
+    for x in draw(docs, shards=4).orderBy("shuffle_key").collect():
+        want[x["shard"]].append((x["doc_id"], x["text"]))
+    assert len(want) == 4 and got == want
+
+
 def test_splitting_tree_is_exact():
     from topograph.llm.mixing import splitting_tree
 

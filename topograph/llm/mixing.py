@@ -84,9 +84,8 @@ def _bounds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_repeats: int = 3, seed: int = 7, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: size, source_size, target, taken (words), passes (whole copies), part (words of a further copy), place."""
-    spark = docs.sparkSession
+def _planned(docs: DataFrame, id_column: str, text_column: str, source_column: str, max_repeats: int, seed: int, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with the columns to carry; the same rows without, materialized; per source (__s) its target, whole passes and bound."""
     others = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry or [])]
     every = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{source_column}`").alias("source"), word_count(F.col(f"`{text_column}`")).alias("size"), *others).withColumn("place", place("__id", seed))
     slim = materialize(every.select("__id", "source", "size", "place"), "sizes")
@@ -95,17 +94,21 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("words") - F.col("full") * F.col("source_size"))
     plan = materialize(plan, "plan")
     bounds = _bounds(slim, plan).withColumnRenamed("lo", "bound")
-    known = plan.join(bounds, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumnRenamed("source", "__s")
-    rows = (every if carry else slim).join(known, F.col("source").eqNullSafe(F.col("__s")), "left")
+    known = materialize(plan.join(bounds, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumnRenamed("source", "__s"), "known")
+    return every, slim, F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+
+
+def _taken(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with source_size, target, passes (whole copies), part (words of a further copy) and taken (words)."""
     part = F.when(F.col("place") < F.col("bound"), F.col("size")).when(F.col("place") == F.col("bound"), F.expr("size * left div at_words")).otherwise(F.lit(0)).cast("long")
-    passes = F.col("full")
-    return rows.select(
-        F.col("__id").alias(id_column),
-        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry or []) if c != id_column],
-        *([] if source_column in (carry or []) else [F.col("source").alias(source_column)]),
-        "size", "source_size", "target",
-        (passes * F.col("size") + part).alias("taken"), passes.alias("passes"), part.alias("part"), "place",
-    )
+    joined = rows.join(known, F.col("source").eqNullSafe(F.col("__s")), "left")
+    return joined.select(*rows.columns, "source_size", "target", (F.col("full") * F.col("size") + part).alias("taken"), F.col("full").alias("passes"), part.alias("part"))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_repeats: int = 3, seed: int = 7) -> DataFrame:
+    """One row per document: size, source_size, target, taken (words), passes (whole copies), part (words of a further copy), place."""
+    _, slim, known = _planned(docs, id_column, text_column, source_column, max_repeats, seed)
+    return _taken(slim, known).select(F.col("__id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "taken", "passes", "part", "place")
 
 
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int = 7) -> np.ndarray:
@@ -130,34 +133,70 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = 7) -> np.ndarray
     return out
 
 
+def _copies(taken: DataFrame, block_bits: int) -> DataFrame:
+    """A row for each copy taken, with pass_no and __block."""
+    copies = taken.filter("taken > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int")))).filter("pass_no < passes or part > 0")
+    return copies.withColumn("__block", F.shiftright("place", PLACE_BITS - block_bits).cast("int"))
+
+
 def draw(docs: DataFrame, shards: int = 8, block_bits: int = 6, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_repeats: int = 3, seed: int = 7) -> DataFrame:
-    """The mix itself: docs' columns, a row for each copy taken, with shard and pass_no; a shard's rows are in random order.
+    """The mix itself: docs' columns, a row for each copy taken, with shard, pass_no and shuffle_key, the random order of a shard's rows.
 
-    The one copy taken in part keeps its first words, joined by one space.  A source has 2**block_bits blocks a pass.
+    The one copy taken in part keeps its first words, joined by one space.  A source has 2**block_bits blocks a pass, or
+    more where there are many shards, so that each shard gets several.
     """
-    spark, blocks = docs.sparkSession, 1 << block_bits
+    return _drawn(docs, shards, block_bits, id_column, text_column, source_column, max_repeats, seed)[0]
+
+
+def _drawn(docs: DataFrame, shards: int, block_bits: int, id_column: str, text_column: str, source_column: str, max_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The result of draw(), and that of mix()."""
+    spark, block_bits = docs.sparkSession, max(block_bits, (4 * shards - 1).bit_length())
     # All columns of docs travel in one struct, so that none can clash with the operator's own.
     packed = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text_column}`").alias("__text"), F.col(f"`{source_column}`").alias("__source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    taken = mix(packed, "__id", "__text", "__source", max_repeats, seed, carry=["__text", "__source", "__row"])
-    copies = taken.filter("taken > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int")))).filter("pass_no < passes or part > 0")
-    copies = copies.withColumn("__block", F.shiftright("place", PLACE_BITS - block_bits).cast("int"))
+    every, slim, plan = _planned(packed, "__id", "__text", "__source", max_repeats, seed, carry=["__text", "__row"])
     # A row per source, pass and block, at most (max_repeats + 1) * 2**block_bits for each source: what the tree deals out.
-    drawn = copies.groupBy("__source", "pass_no", "__block").count()
+    drawn = materialize(_copies(_taken(slim, plan), block_bits).groupBy(F.col("source").alias("__source"), "pass_no", "__block").agg(F.count(F.lit(1)).alias("n")), "blocks")
     known = drawn.groupBy("__source").agg(F.count(F.lit(1)).alias("quota")).orderBy(F.col("__source").asc_nulls_last()).collect()
     table = np.cumsum(splitting_tree(np.array([r["quota"] for r in known], np.int64), shards, seed), axis=0)
     ends = spark.createDataFrame([(r["__source"], [int(x) for x in table[:, i]]) for i, r in enumerate(known)], "__s string, ends array<long>")
     order = Window.partitionBy("__source").orderBy("pass_no", F.md5(F.concat_ws("|", F.lit(seed), "pass_no", "__block")))
     dealt = drawn.withColumn("at", F.row_number().over(order) - 1).join(ends, F.col("__source").eqNullSafe(F.col("__s")))
     dealt = dealt.select(F.col("__source").alias("__s"), F.col("pass_no").alias("__p"), F.col("__block").alias("__b"), F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
+    copies = _copies(_taken(every, plan), block_bits).withColumnsRenamed({"__c0": "__text", "__c1": "__row"})
     text = F.col("__text")
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.when((F.col("pass_no") == F.col("passes")) & (F.col("part") < F.col("size")), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(text)
-    few = len(known) * (max_repeats + 1) * blocks <= BROADCAST_ROWS
-    joined = copies.join(F.broadcast(dealt) if few else dealt, (F.col("__b") == F.col("__block")) & (F.col("__p") == F.col("pass_no")) & F.col("__s").eqNullSafe(F.col("__source")))
-    return joined.select(*[cut.alias(c) if c == text_column else F.col("__row").getField(c).alias(c) for c in docs.columns], "shard", "pass_no", F.md5(F.concat_ws("|", F.lit(seed), "pass_no", "place")).alias("shuffle_key"))
+    few = len(known) * (max_repeats + 1) << block_bits <= BROADCAST_ROWS
+    joined = copies.join(F.broadcast(dealt) if few else dealt, (F.col("__b") == F.col("__block")) & (F.col("__p") == F.col("pass_no")) & F.col("__s").eqNullSafe(F.col("source")))
+    out = joined.select(*[cut.alias(c) if c == text_column else F.col("__row").getField(c).alias(c) for c in docs.columns], "shard", "pass_no", F.md5(F.concat_ws("|", F.lit(seed), "pass_no", "place")).alias("shuffle_key"))
+    return out, _taken(slim, plan)
+
+
+def in_shards(drawn: DataFrame, shards: int) -> DataFrame:
+    """drawn: the result of draw(). A partition per shard, its rows in random order; without shuffle_key."""
+    kept = [c for c in drawn.columns if c != "shuffle_key"]
+    return drawn.repartitionById(shards, "shard").sortWithinPartitions("shard", "shuffle_key").select(*kept)
 
 
 def write_shards(drawn: DataFrame, path: str, shards: int) -> None:
     """drawn: the result of draw(). A folder per shard, its rows in random order."""
-    kept = [c for c in drawn.columns if c != "shuffle_key"]
-    drawn.repartition(shards, "shard").sortWithinPartitions("shard", "shuffle_key").select(*kept).write.partitionBy("shard").parquet(path)
+    in_shards(drawn, shards).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def write_mix(docs: DataFrame, path: str, shards: int, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_repeats: int = 3, seed: int = 7) -> DataFrame:
+    """Draws the mix and writes its shards; a row per document as from mix(), whose taken is counted in the copies written.
+
+    Rows of one identifier, source and size are taken alike, so they share the words of their copies evenly.
+    """
+    key = ["__i", "__o", "__n"]
+    plain = docs.select(F.col(f"`{id_column}`").alias("__i"), F.col(f"`{source_column}`").alias("__o"), F.col(f"`{text_column}`").alias("__t")).withColumn("__n", word_count(F.col("__t")))
+    drawn, every = _drawn(plain, shards, 6, "__i", "__t", "__o", max_repeats, seed)
+    write_shards(drawn, path, shards)
+    written = docs.sparkSession.read.schema(drawn.drop("shuffle_key").schema).parquet(path)
+    counted = written.groupBy(*key).agg(F.sum(word_count(F.col("__t"))).alias("all_words"))
+    alike = every.groupBy(F.col("__id").alias("__i"), F.col("source").alias("__o"), F.col("size").alias("__n")).agg(F.count(F.lit(1)).alias("rows"))
+    same = lambda a, b: a["__i"].eqNullSafe(b["__i"]) & a["__o"].eqNullSafe(b["__o"]) & (a["__n"] == b["__n"])
+    each = alike.join(counted, same(alike, counted), "left").select(alike["__i"], alike["__o"], alike["__n"], F.expr("coalesce(all_words, 0) div rows").cast("long").alias("words"))
+    rows = every.drop("taken", "passes", "part")
+    joined = rows.join(each, rows["__id"].eqNullSafe(each["__i"]) & rows["source"].eqNullSafe(each["__o"]) & (rows["size"] == each["__n"]), "left")
+    return joined.select(F.col("__id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "place")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm.common import table
+from topograph.llm.common import partitions, scratch_path, table
 
 SPACES = r"[\x20\x09-\x0D]"
 
@@ -19,9 +19,10 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from topograph.llm.mixing import mix
+    from topograph.llm.mixing import write_mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = write_mix(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), partitions(spark))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
