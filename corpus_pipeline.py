@@ -7,8 +7,8 @@ empty table passes through all of them.
   quality_rules    rejected documents go; failing lines of the others are removed and n_chars follows
   exact_dedup      of equal texts the longest original, then smallest doc_id stays
   near_dedup       one document of each near-duplicate component stays (smallest doc_id)
-  mix_sources      documents are drawn to the sources' targets: left out, kept or repeated; one per source is cut; a
-                   file per shard, its rows in random order
+  mix_sources      documents are drawn to the sources' targets: left out, kept or repeated, always whole; a file
+                   per shard, its rows in random order
   bpe              token ids, with digests of the ids and of the decoded text
 """
 
@@ -53,7 +53,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shards = partitions(spark)
-    return _unpacked(mixing.in_shards(mixing.draw(_packed(docs, ID, TEXT, SOURCE), shards), shards), docs, TEXT)
+    return _unpacked(mixing.in_shards(mixing.draw(_packed(docs, ID, TEXT, SOURCE), shards, whole=True), shards), docs, TEXT)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

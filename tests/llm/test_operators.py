@@ -283,11 +283,24 @@ def test_pipeline_mixes_by_shard_in_random_order(spark, docs):
     got, want = collections.defaultdict(list), collections.defaultdict(list)
     for x in pipeline.mix_sources(spark, docs, "").withColumn("at", F.spark_partition_id()).collect():
         got[x["at"]].append((x["doc_id"], x["text"]))
-    for x in draw(docs, shards=4).orderBy("shuffle_key").collect():
+    for x in draw(docs, shards=4, whole=True).orderBy("shuffle_key").collect():
         want[x["shard"]].append((x["doc_id"], x["text"]))
     assert len(want) == 4 and got == want
 
 
+def test_pipeline_mixes_whole_texts(spark, docs, rows):
+    import corpus_pipeline as pipeline
+    from topograph.llm.mixing import mix
+
+    texts, target, drawn, longest = {x[0]: x[1] for x in rows}, {}, collections.Counter(), collections.Counter()
+    for x in mix(docs).collect():
+        target[x["source"]], longest[x["source"]] = x["target"], max(longest[x["source"]], x["size"])
+    for x in pipeline.mix_sources(spark, docs, "").collect():
+        assert x["text"] == texts[x["doc_id"]]
+        drawn[x["source"]] += len(words(x["text"]))
+    assert all(abs(drawn[s] - target[s]) <= longest[s] / 2 + 1 for s in target)
+
+
 def test_splitting_tree_is_exact():
     from topograph.llm.mixing import splitting_tree
 

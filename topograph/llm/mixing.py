@@ -98,9 +98,13 @@ def _planned(docs: DataFrame, id_column: str, text_column: str, source_column: s
     return every, slim, F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
 
 
-def _taken(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with source_size, target, passes (whole copies), part (words of a further copy) and taken (words)."""
-    part = F.when(F.col("place") < F.col("bound"), F.col("size")).when(F.col("place") == F.col("bound"), F.expr("size * left div at_words")).otherwise(F.lit(0)).cast("long")
+def _taken(rows: DataFrame, known: DataFrame, whole: bool = False) -> DataFrame:
+    """rows with source_size, target, passes (whole copies), part (words of a further copy) and taken (words).
+
+    whole: what lies at the bound is taken whole or left out, whichever is nearer to the target.
+    """
+    at_bound = F.expr("if(2 * left >= at_words, size, 0)" if whole else "size * left div at_words")
+    part = F.when(F.col("place") < F.col("bound"), F.col("size")).when(F.col("place") == F.col("bound"), at_bound).otherwise(F.lit(0)).cast("long")
     joined = rows.join(known, F.col("source").eqNullSafe(F.col("__s")), "left")
     return joined.select(*rows.columns, "source_size", "target", (F.col("full") * F.col("size") + part).alias("taken"), F.col("full").alias("passes"), part.alias("part"))
 
@@ -139,37 +143,38 @@ def _copies(taken: DataFrame, block_bits: int) -> DataFrame:
     return copies.withColumn("__block", F.shiftright("place", PLACE_BITS - block_bits).cast("int"))
 
 
-def draw(docs: DataFrame, shards: int = 8, block_bits: int = 6, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_repeats: int = 3, seed: int = 7) -> DataFrame:
+def draw(docs: DataFrame, shards: int = 8, block_bits: int = 6, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_repeats: int = 3, seed: int = 7, whole: bool = False) -> DataFrame:
     """The mix itself: docs' columns, a row for each copy taken, with shard, pass_no and shuffle_key, the random order of a shard's rows.
 
-    The one copy taken in part keeps its first words, joined by one space.  A source has 2**block_bits blocks a pass, or
+    The one copy taken in part keeps its first words, joined by one space; with whole it is kept whole or left out,
+    whichever is nearer to the target.  A source has 2**block_bits blocks a pass, or
     more where there are many shards, so that each shard gets several.
     """
-    return _drawn(docs, shards, block_bits, id_column, text_column, source_column, max_repeats, seed)[0]
+    return _drawn(docs, shards, block_bits, id_column, text_column, source_column, max_repeats, seed, whole)[0]
 
 
-def _drawn(docs: DataFrame, shards: int, block_bits: int, id_column: str, text_column: str, source_column: str, max_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _drawn(docs: DataFrame, shards: int, block_bits: int, id_column: str, text_column: str, source_column: str, max_repeats: int, seed: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The result of draw(), and that of mix()."""
     spark, block_bits = docs.sparkSession, max(block_bits, (4 * shards - 1).bit_length())
     # All columns of docs travel in one struct, so that none can clash with the operator's own.
     packed = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text_column}`").alias("__text"), F.col(f"`{source_column}`").alias("__source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     every, slim, plan = _planned(packed, "__id", "__text", "__source", max_repeats, seed, carry=["__text", "__row"])
     # A row per source, pass and block, at most (max_repeats + 1) * 2**block_bits for each source: what the tree deals out.
-    drawn = materialize(_copies(_taken(slim, plan), block_bits).groupBy(F.col("source").alias("__source"), "pass_no", "__block").agg(F.count(F.lit(1)).alias("n")), "blocks")
+    drawn = materialize(_copies(_taken(slim, plan, whole), block_bits).groupBy(F.col("source").alias("__source"), "pass_no", "__block").agg(F.count(F.lit(1)).alias("n")), "blocks")
     known = drawn.groupBy("__source").agg(F.count(F.lit(1)).alias("quota")).orderBy(F.col("__source").asc_nulls_last()).collect()
     table = np.cumsum(splitting_tree(np.array([r["quota"] for r in known], np.int64), shards, seed), axis=0)
     ends = spark.createDataFrame([(r["__source"], [int(x) for x in table[:, i]]) for i, r in enumerate(known)], "__s string, ends array<long>")
     order = Window.partitionBy("__source").orderBy("pass_no", F.md5(F.concat_ws("|", F.lit(seed), "pass_no", "__block")))
     dealt = drawn.withColumn("at", F.row_number().over(order) - 1).join(ends, F.col("__source").eqNullSafe(F.col("__s")))
     dealt = dealt.select(F.col("__source").alias("__s"), F.col("pass_no").alias("__p"), F.col("__block").alias("__b"), F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
-    copies = _copies(_taken(every, plan), block_bits).withColumnsRenamed({"__c0": "__text", "__c1": "__row"})
+    copies = _copies(_taken(every, plan, whole), block_bits).withColumnsRenamed({"__c0": "__text", "__c1": "__row"})
     text = F.col("__text")
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.when((F.col("pass_no") == F.col("passes")) & (F.col("part") < F.col("size")), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(text)
     few = len(known) * (max_repeats + 1) << block_bits <= BROADCAST_ROWS
     joined = copies.join(F.broadcast(dealt) if few else dealt, (F.col("__b") == F.col("__block")) & (F.col("__p") == F.col("pass_no")) & F.col("__s").eqNullSafe(F.col("source")))
     out = joined.select(*[cut.alias(c) if c == text_column else F.col("__row").getField(c).alias(c) for c in docs.columns], "shard", "pass_no", F.md5(F.concat_ws("|", F.lit(seed), "pass_no", "place")).alias("shuffle_key"))
-    return out, _taken(slim, plan)
+    return out, _taken(slim, plan, whole)
 
 
 def in_shards(drawn: DataFrame, shards: int) -> DataFrame:
