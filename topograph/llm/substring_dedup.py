@@ -1,9 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by an index of window hashes, in place of a Lempel-Ziv parsing.
 
 Every block of documents is a reference block, indexed by all its windows of k words (blocks.py).  A document is
 parsed against all of them: from the left, a factor begins at the first window that also starts earlier in the
 corpus and is extended greedily while the next window does too, so a factor is a maximal stretch of k words or
-more that the reference blocks before it can copy.  Since a window that starts inside a factor may reach past
+more all of whose windows start earlier.  The index holds no positions, so a factor can join windows of several
+documents and need not be one phrase of any.  Since a window that starts inside a factor may reach past
 its end, the windows at factor boundaries are looked up like any others; the union of all factors is the set
 of duplicate spans.  Earlier means a smaller identifier, or the same document and an earlier start.
 
