@@ -6,13 +6,14 @@ independent hash, and packed.  An index bucket sees the asks of all blocks for i
 compare over the whole corpus, and answers every block in the order of its keys.  Only packed keys and answers
 are shuffled, never the texts: a block finds its answers where its texts already are.
 
-A key asked by every block, or held by a third of all rows, is one entry per block.  Buckets grow with
-spark.sql.shuffle.partitions, which should follow the input.
+A key asked by every block, or held by a third of all rows, is one entry per block.  The number of index buckets
+follows the input, so a bucket's keys fit a worker at any size; a task works through its buckets one after another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +26,43 @@ from topograph.llm.common import input_bytes, materialize_bucketed, partitions,
 
 #: Text bytes of a block: about a quarter of a partition's share, within these bounds.
 BLOCK_BYTES = (1 << 20, 32 << 20)
+#: Text bytes whose keys an index bucket holds, on average.
+BUCKET_BYTES = 16 << 20
+#: Bytes of text for a byte of Parquet with usual and with zstd compression, roughly: only sizes of blocks and buckets depend on them.
+UNPACKED, UNPACKED_ZSTD = 1.7, 2.5
 ASKS = "block long, bucket int, keys binary, values binary"
 
 
-def cut(docs: DataFrame, columns: list[str], text_column: str, name: str) -> DataFrame:
-    """docs' columns and their block, bucketed by block in the shared folder."""
+@dataclass
+class Blocks:
+    """The columns asked for, then block and place (in the block), bucketed by block; and how many index buckets there are."""
+
+    rows: DataFrame
+    buckets: int
+
+
+def cut(docs: DataFrame, columns: list[str], text_column: str, name: str) -> Blocks:
+    """docs' columns cut into blocks, in the shared folder. Columns keep their places, not their names."""
     spark = docs.sparkSession
-    slim = pick(docs, *columns)
-    at, buckets = columns.index(text_column), partitions(spark)
-    block_bytes = int(min(max(input_bytes(slim) * 1.7 / (4 * buckets), BLOCK_BYTES[0]), BLOCK_BYTES[1]))
+    slim = pick(docs, *columns).toDF(*[f"column_{i}" for i in range(len(columns))])
+    at, parts, size = columns.index(text_column), partitions(spark), input_bytes(slim) * UNPACKED
+    block_bytes = int(min(max(size / (4 * parts), BLOCK_BYTES[0]), BLOCK_BYTES[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, number, size = TaskContext.get().partitionId() << 32, 0, 0
+        first, number, size, place = TaskContext.get().partitionId() << 32, 0, 0, 0
         for batch in batches:
-            ids = np.empty(batch.num_rows, np.int64)
+            blocks, places = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int32)
             for i, n in enumerate(_lengths(batch.column(at))):
                 if size and size + n > block_bytes:
-                    number, size = number + 1, 0
+                    number, size, place = number + 1, 0, 0
                 size += n
-                ids[i] = first + number
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*columns, "block"])
+                blocks[i], places[i] = first + number, place
+                place += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks), pa.array(places)], names=[*batch.schema.names, "block", "place"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return materialize_bucketed(slim.mapInArrow(run, f"{schema}, block long"), name, "block", buckets)
+    rows = materialize_bucketed(slim.mapInArrow(run, f"{schema}, block long, place int"), name, "block", parts)
+    return Blocks(rows, max(parts, int(input_bytes(rows) * UNPACKED_ZSTD // BUCKET_BYTES) + 1))
 
 
 def _lengths(texts: pa.Array) -> list[int]:
@@ -77,9 +92,9 @@ def split(keys: np.ndarray, second: np.ndarray, buckets: int) -> list[np.ndarray
     return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
 
 
-def ask(blocks: DataFrame, gather: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> DataFrame:
+def ask(blocks: Blocks, gather: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> DataFrame:
     """gather(table of a block) -> sorted distinct keys, their second hashes, and value columns."""
-    buckets = partitions(blocks.sparkSession)
+    buckets = blocks.buckets
 
     def run(block: pa.Table) -> pa.Table:
         keys, second, values = gather(block)
@@ -89,7 +104,7 @@ def ask(blocks: DataFrame, gather: Callable[[pa.Table], tuple[np.ndarray, np.nda
                 rows.append((own, bucket, pack(keys[at], delta=True), pack(np.concatenate([v[at].astype(np.uint64) for v in values])) if values else b""))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "keys", "values"])
 
-    return blocks.groupBy("block").applyInArrow(run, ASKS)
+    return blocks.rows.groupBy("block").applyInArrow(run, ASKS)
 
 
 def answer(asks: DataFrame, resolve: Callable[[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray], tuple[list[tuple[list[np.ndarray], np.ndarray | None]], np.ndarray]], n_values: int, n_answers: int = 1) -> DataFrame:
@@ -132,6 +147,6 @@ def answered(answers: pa.Table, keys: np.ndarray, second: np.ndarray, buckets: i
     return out
 
 
-def finish(blocks: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, which: int = 0) -> DataFrame:
+def finish(blocks: Blocks, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, which: int = 0) -> DataFrame:
     """run(texts of a block, one of its answers) for every block, where the texts are."""
-    return blocks.groupBy("block").cogroup(answers.filter(F.col("block").isNotNull()).select("block", "bucket", F.col(f"answer_{which}").alias("answer")).groupBy("block")).applyInArrow(run, schema)
+    return blocks.rows.groupBy("block").cogroup(answers.filter(F.col("block").isNotNull()).select("block", "bucket", F.col(f"answer_{which}").alias("answer")).groupBy("block")).applyInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from topograph.llm import textnum
 from topograph.llm.blocks import answer, answered, ask, cut, finish
-from topograph.llm.common import materialize, partitions
+from topograph.llm.common import materialize
 
 #: Hashes of the end token and of the start of a document; keys of words and pairs differ by these salts.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -130,9 +130,9 @@ def fit_weights(events: DataFrame, totals: tuple[int, int], rounds: int = ROUNDS
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
-    buckets = partitions(spark)
+    kind = docs.schema[id_column].dataType.simpleString()
     blocks = cut(docs, [id_column, text_column], text_column, "lm")
+    buckets = blocks.buckets
     answers = materialize(answer(ask(blocks, _gather), _resolve, 2, 2), "ngrams")
     sums = answers.filter("block is null").agg(*[F.coalesce(F.sum(f"total_{i}"), F.lit(0)).alias(f"t{i}") for i in range(3)]).first()
     n_tokens, n_types, n_deleted = sums["t0"], sums["t1"], sums["t2"]

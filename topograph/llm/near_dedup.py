@@ -7,7 +7,7 @@ therefore indexed under its five patterns with one symbol left out (the allowed
 that distance always meet.  Texts at the similarity threshold of 0.75 differ in 15 of 60 symbols on average, and
 they miss each other only if every chunk has two errors: with probability 6e-6 (1e-7 at 0.8, 1e-10 at 0.85).
 
-Texts with equal sets are one class from the start (runs.py), so copies never multiply.  In each index
+Texts with equal word sequences (by SHA-256) are one class from the start (runs.py), so copies never multiply.  In each index
 bucket all classes are first compared with its hub, the class that meets most others; texts that meet the threshold on
 their full sets are linked, and connected components follow.  Buckets that still hold several components are
 compared completely across components, in blocks of bounded size.  A pair is judged only in the first bucket that
@@ -21,6 +21,7 @@ rows without an identifier are rows of their class: the representative is the sm
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,20 +46,44 @@ _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 _MULTIPLIERS = textnum.mix(np.arange(1, LENGTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def _short_hashes(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of whole sequences of fewer words than a shingle."""
+    out = textnum.mix(counts.astype(np.uint64) ^ _SALT)
+    for i in range(SHINGLE - 1):
+        more = np.flatnonzero(counts > i)
+        out[more] = textnum.join(out[more], values[first[more] + i], 1)
+    return out
+
+
+def _distinct(doc: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each of n texts, sorted, and where each text's begin."""
+    order = np.lexsort((values, doc))
+    doc, values = doc[order], values[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+    return values[new], np.searchsorted(doc[new], np.arange(n + 1))
+
+
 def shingle_sets(words: textnum.Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of consecutive texts, sorted within each text, and where each text's begin."""
     values, bounds, counts = words.hashes(), words.bounds, words.counts
     start, hashes = textnum.windows(values, bounds, SHINGLE)
     doc = np.searchsorted(bounds, start, side="right") - 1
     short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    if len(short):
-        whole = textnum.mix(textnum._ranges(values, bounds[short], bounds[short + 1], textnum._BASES[1]) ^ counts[short].astype(np.uint64))
-        doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, whole])
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
+    return _distinct(np.concatenate([doc, short]), np.concatenate([hashes, _short_hashes(values, bounds[short], counts[short])]), len(counts))
+
+
+def shingle_numbers(words: textnum.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Like shingle_sets(), with numbers that are equal exactly for equal shingles of these texts: words are compared, not hashes."""
+    word, bounds, counts = words.ids(), words.bounds, words.counts
+    start = textnum.window_starts(bounds, SHINGLE)
+    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    columns = []
+    for i in range(SHINGLE):  # a short text's sequence is filled up with a number that no word has
+        at = np.minimum(bounds[short] + i, max(len(word) - 1, 0))
+        columns.append(np.concatenate([word[start + i], np.where(counts[short] > i, word[at], -1)]))
+    doc = np.concatenate([np.searchsorted(bounds, start, side="right") - 1, short])
+    return _distinct(doc, textnum.row_ids(columns), len(counts))
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -86,19 +111,18 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, id, text -> uid, id, n_shingles, set_id, signature (both null for empty sets)."""
+    """uid, id, text -> uid, id, n_shingles, digest of the word sequence, signature (both null for empty sets)."""
     for batch in batches:
         for i, j, words in textnum.each_slice(batch.column(2), lower=True):
             sets, bounds = shingle_sets(words)
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
-            begin = bounds[:-1][full]
-            sigs = signatures(sets, np.append(begin, len(sets)))
-            digests = [np.add.reduceat(textnum.mix(sets ^ salt), begin) if len(full) else np.zeros(0, np.uint64) for salt in (_SALT, ~_SALT)]
-            set_ids, sig_rows = [None] * (j - i), [None] * (j - i)
-            for at, a, b, sig in zip(full.tolist(), digests[0].tolist(), digests[1].tolist(), sigs):
-                set_ids[at], sig_rows[at] = a.to_bytes(8, "big") + b.to_bytes(8, "big") + int(sizes[at]).to_bytes(4, "big"), sig.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sizes), pa.array(set_ids, pa.binary()), pa.array(sig_rows, pa.binary())], names=["uid", "id", "n_shingles", "set_id", "signature"])
+            sigs = signatures(sets, np.append(bounds[:-1][full], len(sets)))
+            same, sig_rows = [None] * (j - i), [None] * (j - i)
+            raw, at = words.data.tobytes(), words.offsets.tolist()
+            for k, sig in zip(full.tolist(), sigs):
+                same[k], sig_rows[k] = hashlib.sha256(b" ".join(raw[at[k] : at[k + 1]].split())).digest(), sig.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sizes), pa.array(same, pa.binary()), pa.array(sig_rows, pa.binary())], names=["uid", "id", "n_shingles", "sequence", "signature"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +150,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, 64)
             n = batch.num_rows
             data, offsets = textnum.texts(pa.concat_arrays([batch.column(2), batch.column(3)]))
-            hashes, bounds = shingle_sets(textnum.Words(data, offsets, lower=True))
+            numbers, bounds = shingle_numbers(textnum.Words(data, offsets, lower=True))
             sizes = np.diff(bounds)
             row = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), sizes)
-            order = np.lexsort((hashes, row))
-            row, hashes = row[order], hashes[order]
-            same = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
+            order = np.lexsort((numbers, row))
+            row, numbers = row[order], numbers[order]
+            same = (row[1:] == row[:-1]) & (numbers[1:] == numbers[:-1])
             common = np.bincount(row[1:][same], minlength=n)
             ok = 100 * common >= PERCENT * (sizes[:n] + sizes[n:] - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common.astype(np.int64)), pa.array(ok)], names=["u", "v", "common", "linked"])
@@ -207,7 +231,7 @@ def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _common_shingles(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """uid, common: how many of a text's shingles occur in another of the wanted texts too."""
     blocks = cut(texts.join(wanted, "uid", "left_semi"), ["uid", "text"], "text", "near_open")
-    buckets = partitions(texts.sparkSession)
+    buckets = blocks.buckets
 
     def sets_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sets, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -245,10 +269,11 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in others.items()])
     texts = materialize_bucketed(base, "near_texts", "uid", partitions(spark))
     id_type = base.schema["id"].dataType.simpleString()
-    sketch = texts.select("uid", "id", "text").mapInArrow(_sketch, f"uid long, id {id_type}, n_shingles long, set_id binary, signature binary")
+    # Written, as the splitters of the runs are sampled from it before it is dealt out.
+    sketch = materialize(texts.select("uid", "id", "text").mapInArrow(_sketch, f"uid long, id {id_type}, n_shingles long, sequence binary, signature binary"), "sketch")
     # Rows without a set are classes of their own: their key is their number.
-    keyed = sketch.withColumn("__set", F.coalesce("set_id", F.concat(F.lit(b"-"), F.col("uid").cast("string").cast("binary")))).drop("set_id")
-    rows = equal_runs(keyed, F.col("__set"), [F.col("uid")], "uid", "sets", drop=["__set"]).select("uid", "id", "n_shingles", "signature", F.col("run_head").alias("class"), "is_head")
+    keyed = sketch.withColumn("__same", F.coalesce("sequence", F.concat(F.lit(b"-"), F.col("uid").cast("string").cast("binary")))).drop("sequence")
+    rows = equal_runs(keyed, F.col("__same"), [F.col("uid")], "uid", "sequences", drop=["__same"]).select("uid", "id", "n_shingles", "signature", F.col("run_head").alias("class"), "is_head")
     rows = materialize(rows, "sketches")
     classes = rows.filter("is_head and signature is not null").select("uid", "n_shingles", "signature")
 

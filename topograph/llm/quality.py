@@ -9,7 +9,7 @@ Failing lines are removed.  A document is rejected when its base rules fail (few
 20 % of its words inside repeated 5-word windows) or when more than half of its words stand in failing lines.
 
 Null texts count as empty and are rejected, like empty ones.  Everything is computed over the whole text, one
-slice of about a megabyte (or one longer document) at a time.
+slice of a quarter megabyte (or one longer document) at a time; lines and windows are equal only if their bytes are.
 """
 
 from __future__ import annotations
@@ -48,15 +48,22 @@ def _sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeated(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For values with a document each: does it occur twice in its document; is it a later occurrence."""
-    order = np.argsort(key := textnum.mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    later, twice = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    later[order[1:][same]] = True
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    return twice, later
+def _repeated(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For numbered values with a document each, in order of documents: does it occur twice in its document."""
+    _, inverse, count = np.unique(doc * (int(number.max(initial=0)) + 1) + number, return_inverse=True, return_counts=True)
+    return count[inverse] > 1
+
+
+def _again(data: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which lines equal an earlier line of their document, by their bytes."""
+    raw, out, seen, now = data.tobytes(), np.zeros(len(doc), bool), set(), -1
+    for i, (d, a, b) in enumerate(zip(doc.tolist(), begin.tolist(), end.tolist())):
+        if d != now:
+            seen, now = set(), d
+        line = raw[a:b]
+        out[i] = line in seen
+        seen.add(line)
+    return out
 
 
 def measure(words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +81,8 @@ def measure(words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     symbols = _sums(_SYMBOL[data])
     out[:, 2] = np.diff(symbols[offsets])
 
-    start, hashes = textnum.windows(words.hashes(), words.bounds, WINDOW)
-    owner = words.docs()
-    twice, _ = _repeated(owner[start], hashes)
+    start, owner, word = textnum.window_starts(words.bounds, WINDOW), words.docs(), words.ids()
+    twice = _repeated(owner[start], textnum.row_ids([word[start + i] for i in range(WINDOW)]))
     cover = np.zeros(len(owner) + 1, np.int64)
     np.add.at(cover, start[twice], 1)
     np.add.at(cover, start[twice] + WINDOW, -1)
@@ -88,8 +94,7 @@ def measure(words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     has = b > a
     begin, end, a, b = begin[has], end[has], a[has], b[has]
     doc = np.searchsorted(offsets, begin, side="right") - 1
-    lengths = (end - begin).astype(np.uint64)
-    _, again = _repeated(doc, textnum._ranges(data.astype(np.uint64) + np.uint64(1), begin, end, textnum._BASES[2]) ^ (lengths << np.uint64(40)))
+    again = _again(data, doc, begin, end)
     np.add.at(out[:, 3], doc, again)
     in_line = b - a
     last = words.end[b - 1]
