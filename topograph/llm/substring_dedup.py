@@ -8,7 +8,7 @@ factor's boundaries are looked up like any others, so the union of all factors i
 Earlier means a smaller identifier, or the same document and an earlier start.
 
 The index knows windows by two independent hashes.  What it answers is checked on the words: the reference
-block compares each factor's words with its own (by SHA-256 of the words in order), and only confirmed factors are
+block compares each factor's words with its own (by 128 bits of SHA-256 over the words in order), and only confirmed factors are
 removed.  A factor that fails is asked about window by window; a window that differs from the one found stays.
 
 Null texts count as empty; texts shorter than a window lose nothing; null identifiers come last, negative ones
@@ -118,7 +118,7 @@ def factors(ref_block: np.ndarray, ref_start: np.ndarray, start: np.ndarray, own
 
 
 def _digest(words: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(words)).digest()
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
 
 
 def _parse(blocks: Blocks, answers: DataFrame, k: int, bits: int) -> DataFrame:
