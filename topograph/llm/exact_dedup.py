@@ -16,8 +16,11 @@ from topograph.llm.common import pack, unpack, without_space
 from topograph.llm.runs import equal_runs
 
 
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: the identifier, the carried columns, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None, heads_only: bool = False) -> DataFrame:
+    """One row per row of docs: the identifier, the carried columns, keep_id, group_size, kept, text_sha256.
+
+    heads_only leaves out rows that aren't kept, but for at most one of a group in each range of the sort.
+    """
     carry = [c for c in carry or [] if c != id_column]
     text, order = F.col(f"`{text_column}`"), [F.col("__length").desc(), F.col("__id").asc_nulls_last()]
     mine = [F.col(f"`{id_column}`").alias("__id"), F.coalesce(F.length(text), F.lit(0)).alias("__length")]
@@ -26,7 +29,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         rows, key = docs.select(*mine, text.alias("__text")), without_space(F.coalesce(F.col("__text"), F.lit("")))
     else:
         rows, key = docs.select(*mine, without_space(F.coalesce(text, F.lit(""))).alias("__text")), F.col("__text")
-    runs = equal_runs(rows, key, order, "__id", "exact", drop=[] if text_column in carry else ["__text"])
+    runs = equal_runs(rows, key, order, "__id", "exact", drop=[] if text_column in carry else ["__text"], heads_only=heads_only)
     return runs.select(
         F.col("__id").alias(id_column),
         *[F.col("__text" if c == text_column else f"__c{i}").alias(c) for i, c in enumerate(carry)],
@@ -39,5 +42,5 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    marked = exact_dedup(pack(docs, id_column, text_column), "__p0", "__p1", carry=["__p1", "__rest"])
+    marked = exact_dedup(pack(docs, id_column, text_column), "__p0", "__p1", carry=["__p1", "__rest"], heads_only=True)
     return unpack(marked.filter("kept"), docs.columns, id_column, text_column)

@@ -3,7 +3,7 @@
 Sampled splitters deal the rows out by (prefix and hash of the key, order); each task sorts its range externally,
 in the same order and then by the whole key, so equal keys are neighbours and a comparison of each row with the one before finds the runs.  A key may fill many
 ranges: the splitters also cut inside a run, and the pieces are put together from two boundary rows per
-range.  No task ever holds a whole group; a task keeps the rows of the run it is in, without their keys.
+range.  No task ever holds a whole group; a task keeps the rows of the run it is in (one of them where only heads are wanted), without their keys.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ ADDED = "run_head {head}, run_size long, is_head boolean, key_sha256 string, __p
 class _Marker:
     """Marks the runs of one task's sorted rows; the key is the last column of each batch."""
 
-    def __init__(self, part: int, head_at: int):
-        self.part, self.head_at = part, head_at
+    def __init__(self, part: int, head_at: int, heads_only: bool):
+        self.part, self.head_at, self.heads_only = part, head_at, heads_only
         self.key: pa.Scalar | None = None
         self.begun = 0  # runs begun so far
         self.open: list[pa.RecordBatch] = []
@@ -63,8 +63,9 @@ class _Marker:
         starts = np.flatnonzero(new)
         until = int(starts[0]) if len(starts) else n
         if until:  # the open run goes on
-            self.open.append(rows.slice(0, until))
             self.size += until
+            if not self.heads_only:
+                self.open.append(rows.slice(0, until))
         if not len(starts):
             return
         if self.begun:
@@ -77,9 +78,10 @@ class _Marker:
             shas = pa.array([hashlib.sha256(keys[int(a)].as_buffer()).hexdigest() for a in starts[:-1]], pa.string())
             of = np.repeat(np.arange(len(inner)), lengths)
             first = (of == 0) & (self.begun == 0)
-            yield self._rows(body, body.column(self.head_at).take(pa.array(inner[of])), lengths[of], new[until:final], shas.take(pa.array(of)), first, False)
+            found = self._rows(body, body.column(self.head_at).take(pa.array(inner[of])), lengths[of], new[until:final], shas.take(pa.array(of)), first, False)
+            yield found.take(pa.array(inner)) if self.heads_only else found
         self.begun += len(starts)
-        self.open, self.size = [rows.slice(final)], n - final
+        self.open, self.size = [rows.slice(final, 1) if self.heads_only else rows.slice(final)], n - final
         self.head = rows.column(self.head_at)[final].as_py()
         self.sha = hashlib.sha256(keys[final].as_buffer()).hexdigest()
 
@@ -88,11 +90,12 @@ class _Marker:
             yield from self._close(True)
 
 
-def equal_runs(df: DataFrame, key: Column, order: list[Column], head: str, name: str = "runs", drop: list[str] | None = None) -> DataFrame:
+def equal_runs(df: DataFrame, key: Column, order: list[Column], head: str, name: str = "runs", drop: list[str] | None = None, heads_only: bool = False) -> DataFrame:
     """The rows of df with run_head (column head of the first row of the row's run), run_size, is_head and key_sha256.
 
     Rows are equal when their keys are identical (a string or binary without nulls).  order sorts the rows of a run; the
-    first is its head.  drop names columns that only the key needs.  The result is read from the shared folder.
+    first is its head.  drop names columns that only the key needs.  heads_only leaves out rows that are not the first of
+their run in their range, so a task holds one row however large a run is.  The result is read from the shared folder.
     """
     drop = drop or []
     kept = [f for f in df.schema.fields if f.name not in drop]
@@ -103,7 +106,7 @@ def equal_runs(df: DataFrame, key: Column, order: list[Column], head: str, name:
     ranged = ranged.sortWithinPartitions("__short", "__number", "__key", *order).drop("__short", "__number")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marker = _Marker(TaskContext.get().partitionId(), head_at)
+        marker = _Marker(TaskContext.get().partitionId(), head_at, heads_only)
         for batch in batches:
             yield from marker.add(batch)
         yield from marker.end()
