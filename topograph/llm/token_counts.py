@@ -6,7 +6,7 @@ normalised by the tokenizer's own first step: every run of ASCII white space is
 white space goes, which changes no count of a tokenizer that drops white space.
 
 Null texts count as empty (0 bytes, 0 tokens).  Repeated rows and copies share one digest and one
-encoding.  Texts are encoded whole; a text of any length is one row of the miss set.
+encoding; contents of very many rows are a bounded list, and their rows are joined where they are.  Texts are encoded whole; a text of any length is one row of the miss set.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from topograph.llm.common import materialize, pick, scratch_path
 
 CACHE = "tokenizer_digest binary, content_digest binary, n_tokens long"
+#: Contents with more rows than so many, and than the table's rows divided by MAX_HOT, are hot: at most MAX_HOT, whose counts are broadcast.
+HOT_ROWS, MAX_HOT = 256, 10_000
 MEMO_ENTRIES, MEMO_CHUNK = 250_000, 64
 
 
@@ -109,7 +111,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     cache = _cache(spark, cache_path).filter(F.col("tokenizer_digest") == F.lit(bytearray(version)))
     stored = cache.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = rows.select("content_digest").distinct().join(stored, "content_digest", "left_anti")
+    sizes = materialize(rows.groupBy("content_digest").agg(F.count(F.lit(1)).alias("n_rows")), "contents")
+    misses = sizes.select("content_digest").join(stored, "content_digest", "left_anti")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct content of the task once, compressed for the shuffle."""
@@ -150,7 +153,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     path = cache_path or scratch_path(spark, "token-cache")
     new.write.mode("append").option("compression", "zstd").parquet(path)
     counts = spark.read.schema(CACHE).parquet(path).filter(F.col("tokenizer_digest") == F.lit(bytearray(version))).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(counts, "content_digest").select(id_column, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = materialize(counts.join(sizes, "content_digest"), "counts")
+    # A content of many rows would fill one task of a join by digest.
+    n_rows = sizes.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col("n_rows") > max(HOT_ROWS, n_rows // MAX_HOT)
+    marked = rows.join(F.broadcast(counts.filter(is_hot).select("content_digest", F.col("n_tokens").alias("hot"))), "content_digest", "left")
+    cold = marked.filter("hot is null").join(counts.filter(~is_hot).select("content_digest", "n_tokens"), "content_digest").select(id_column, "n_bytes", "n_tokens")
+    every = cold.union(marked.filter("hot is not null").select(id_column, "n_bytes", F.col("hot").alias("n_tokens")))
+    return every.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def _cache(spark, path: str | None) -> DataFrame:
