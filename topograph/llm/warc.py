@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from topograph.llm.runs import equal_runs
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "file string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, gap_reason string"
+#: Bytes of an archive file, unless a single record has more: a reading task holds one file.
+FILE_BYTES = 64 << 20
 _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
 
@@ -71,18 +74,27 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     revisit = (F.octet_length("html") >= min_revisit) & ~F.col("is_head")
     rows = runs.select("page_id", "url", "html", "digest", F.col("run_head").alias("refers_to"), revisit.alias("revisit"))
 
+    limit = FILE_BYTES
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             page, url, html, digest, refers, again = (batch.column(i) for i in range(6))
             out = [
                 member(record(page[i].as_py(), url[i].as_py(), html[i].as_buffer().to_pybytes(), digest[i].as_py(), refers[i].as_py(), again[i].as_py(), date))[:-1]
                 for i in range(batch.num_rows)
             ]
-            yield pa.RecordBatch.from_pydict({"member": pa.array(out, pa.binary())})
+            files = []
+            for data in out:
+                if size and size + len(data) > limit:
+                    file, size = file + 1, 0
+                size += len(data)
+                files.append(file)
+            yield pa.RecordBatch.from_pydict({"member": pa.array(out, pa.binary()), "archive": pa.array(files, pa.int64())})
 
     # The text sink copies a string's bytes as they are; its line separator is the 0 with which every member ends.
-    members = rows.mapInArrow(build, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 20_000).text(path)
+    members = rows.mapInArrow(build, "member binary, archive long").select(F.col("member").cast("string").alias("value"), "archive")
+    members.write.option("lineSep", "\x00").option("compression", "none").partitionBy("archive").text(path)
 
 
 @dataclass
@@ -90,6 +102,7 @@ class Salvage:
     """Records and gaps of one archive file."""
 
     records: list[tuple[dict[str, str], bytes]] = field(default_factory=list)
+    places: list[tuple[int, int]] = field(default_factory=list)  # of each record, or of the member that holds it
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
 
@@ -131,13 +144,14 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return head, block, end + 4
 
 
-def _plain(data: bytes, offset: int, out: Salvage, whole: bool = True, inside: bool = False) -> None:
-    """Reads uncompressed records. offset: where data begins in the file; inside a member gaps are given its place."""
+def _inside(data: bytes, begin: int, end: int, out: Salvage, whole: bool = True) -> None:
+    """Reads the records of a member that lies at [begin, end) in the file; they and gaps between them are given its place."""
     at = 0
     while at < len(data):
         got = _record_at(data, at)
         if not isinstance(got, str):
             out.records.append(got[:2])
+            out.places.append((begin, end))
             at = got[2]
             continue
         nxt = at + 1
@@ -145,7 +159,7 @@ def _plain(data: bytes, offset: int, out: Salvage, whole: bool = True, inside: b
             nxt += 1
         nxt = len(data) if nxt < 0 else nxt
         if whole or nxt < len(data):
-            out.gaps.append((offset if inside else offset + at, offset if inside else offset + nxt, got))
+            out.gaps.append((begin, end, got))
         at = nxt
 
 
@@ -165,17 +179,18 @@ def salvage(content: bytes) -> Salvage:
             data, end, whole = _member_at(view, at)
             if whole:
                 close(at)
-                _plain(data, at, out, inside=True)
+                _inside(data, at, end, out)
                 at = end
                 continue
             why = "bad gzip member"
             if bad < 0 and data:
-                _plain(data, at, out, whole=False, inside=True)  # records that were complete before the damage
+                _inside(data, at, n, out, whole=False)  # records that were complete before the damage
         elif content[at : at + 5] == b"WARC/":
             got = _record_at(content, at)
             if not isinstance(got, str):
                 close(at)
                 out.records.append(got[:2])
+                out.places.append((at, got[2]))
                 at = got[2]
                 continue
             why = got
@@ -204,7 +219,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 got, rows = salvage(content.as_buffer().to_pybytes()), []
-                for head, block in got.records:
+                for (head, block), place in zip(got.records, got.places):
                     kind, digest = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:")
                     if kind == "revisit":
                         length = re.search(rb"\r\nContent-Length: *(\d+)", block, re.I)
@@ -213,7 +228,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         payload = payload_of(head, block)
                         size, own = len(payload), hashlib.sha1(payload).hexdigest()
                         if digest and own != digest:
-                            got.gaps.append((0, 0, f"wrong payload digest of page {head.get('page-id')}"))
+                            got.gaps.append((*place, f"wrong payload digest of page {head.get('page-id')}"))
                             continue
                         digest = own
                     rows.append((name, number(head.get("page-id")), head.get("warc-target-uri"), size, digest, kind, number(head.get("refers-to-page-id")), None, None, None))
