@@ -322,7 +322,7 @@ def test_bpe_is_the_librarys(docs, rows, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    from topograph.llm.bpe import ForcedBoundaryBPE, encode_documents
+    from topograph.llm.bpe import ForcedBoundaryBPE, byte_alphabet, encode_documents
 
     path = P.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), ForcedBoundaryBPE(path)
@@ -338,7 +338,11 @@ def test_bpe_is_the_librarys(docs, rows, empty):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert encode_documents(empty, path).count() == 0
-    assert own.is_certain_cut(ord("z"), ord("\n")) and not own.is_certain_cut(ord(" "), ord("t"))
+    letters = {b: c for c, b in byte_alphabet().items()}
+    piece = "".join(letters[b] for b in "hello,world(foo)bar漢字xyz".encode())
+    assert "".join(own.parts(piece)) == piece and len(own.parts(piece)) > 5
+    long = "".join(r.choice(ALPHABET).strip() or "z" for r in [random.Random(6)] for _ in range(30_000))
+    assert np.frombuffer(own.encode(long.encode()), "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
 
 
 def test_token_counts_and_their_cache(docs, rows, empty, tmp_path):
@@ -450,6 +454,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert archive(df.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_files_are_cut_by_bytes_and_bad_payloads_logged(spark, tmp_path, monkeypatch):
+    import os
+
+    from topograph.llm import warc
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, "u", "%x" % r.getrandbits(20_000), "clash", True) for i in range(40)], "page_id long, url string, html string, digest string, revisit boolean").repartition(1)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    build = warc.write_warc
+    build(df, f"file://{tmp_path}/a")
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "a") for f in fs if f.startswith("part-")]
+    assert sum(sizes) > 100_000 and max(sizes) <= 25_000 and warc.read_warc(spark, f"file://{tmp_path}/a").filter("page_id is not null").count() == 40
+    good = warc.member(warc.record(1, "u", b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest(), None, False, "2024-01-01T00:00:00Z"))
+    bad = warc.member(warc.record(2, "u", b"payload", hashlib.sha1(b"other").hexdigest(), None, False, "2024-01-01T00:00:00Z"))
+    os.makedirs(tmp_path / "b")
+    (tmp_path / "b" / "x.warc.gz").write_bytes(good + bad + good)
+    rows = warc.read_warc(spark, f"file://{tmp_path}/b").collect()
+    assert [x["page_id"] for x in rows if x["gap_start"] is None] == [1, 1]
+    assert [(x["gap_start"], x["gap_end"]) for x in rows if x["gap_start"] is not None] == [(len(good), len(good) + len(bad))]
+
+
+def test_token_counts_of_hot_contents(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from topograph.llm import token_counts as tc
+
+    monkeypatch.setattr(tc, "HOT_ROWS", 3)
+    df = spark.createDataFrame([(i, "hot text" if i % 2 else None if i % 3 else f"t {i}", 9) for i in range(60)], "doc_id long, text string, n_tokens long").repartition(5)
+    got = {x["doc_id"]: x["n_tokens"] for x in tc.count_tokens(df, P.path("word_bpe_49k.json")).collect()}
+    few = {x["doc_id"]: x["n_tokens"] for i in (0, 1, 2, 6) for x in tc.count_tokens(df.filter(f"doc_id = {i}"), P.path("word_bpe_49k.json")).collect()}
+    assert len(got) == 60 and all(got[i] == few[i] for i in few) and got[59] == got[1]
+
+
 def test_warc_salvage():
     import gzip
 
@@ -469,6 +505,9 @@ def test_warc_salvage():
         assert [int(h["page-id"]) for h, _ in got.records] == [0, 1, 3, 4, 5] and [g[:2] for g in got.gaps] == [(start, end)]
         cut = b"".join(parts)[: start + 20]
         assert found(cut) == [0, 1] and salvage(cut).gaps[-1][1] == len(cut)
+    wrong = record(7, "u", b"payload", hashlib.sha1(b"other").hexdigest(), None, False, "2024-01-01T00:00:00Z")
+    got = salvage(member(recs[0]) + member(wrong) + recs[1])
+    assert got.places == [(0, (a := len(member(recs[0])))), (a, (b := a + len(member(wrong)))), (b, b + len(recs[1]))]
     assert member(b"x" * (1 << 24))[-1] == 0 and len(gzip.decompress(member(b"x" * (1 << 24)))) == 1 << 24
 
 

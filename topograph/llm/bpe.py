@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding by forced-boundary splitting.
 
 A pair of adjacent bytes that occurs inside no vocabulary token can never be merged across, so a cut
-between the two is certain.  Of these cuts the encoder uses those that the tokenizer's pre-splitting
-pattern honours as well: before ASCII white space that follows a byte other than white space (that
+between the two is certain.  Texts are first cut where such a cut coincides with a piece boundary of the tokenizer's
+own splitting pattern: before ASCII white space that follows a byte other than white space (that
 pattern never keeps ink and following white space in one piece, and looks ahead only at the end of a
-run of white space).  The fragments between cuts are encoded independently, each distinct one once per
-task, and concatenated.
+run of white space).  Each distinct fragment is then split into the pattern's pieces, every piece is cut at all its
+certain cuts, and what lies between them is merged independently, once per worker, and concatenated.
+Fragments that hold an added token (a special string) are encoded by the library.
 
-Null texts count as empty; empty texts have no tokens; a text of any length is encoded whole; a text
-without white space is one fragment.  Repeated rows are encoded like any others.
+Null texts count as empty; empty texts have no tokens; a text of any length is encoded whole.  Repeated rows are encoded like any others.
 """
 
 from __future__ import annotations
@@ -56,8 +56,14 @@ class ForcedBoundaryBPE:
         alphabet = byte_alphabet()
         self.piece: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special} | special
         self.pairs = {pair for i, p in self.piece.items() if i not in special for pair in zip(p, p[1:])}
+        letter = {b: c for c, b in alphabet.items()}
+        self.inner = {letter[a] + letter[b] for a, b in self.pairs}
+        self.added = re.compile("|".join(re.escape(t.decode()) for t in special.values()) or r"(?!)")
+        # Pieces are merged one by one only where nothing but the pattern comes before the merges.
+        self.plain = self.library.normalizer is None and self.library.pre_tokenizer is not None
         self.fragments = re.compile(self._pattern()).findall
         self._memo: dict[bytes, bytes] = {}
+        self._parts: dict[str, list[int]] = {}
 
     def _pattern(self) -> bytes:
         space = b"\x09-\x0d\x20"
@@ -66,11 +72,27 @@ class ForcedBoundaryBPE:
         behind = b"|".join(b"(?<=%s)" % e for e in ends)
         return b"[%s]*[^%s]+(?:(?:%s)[%s]+[^%s]*)*|[%s]+" % (space, space, behind, space, space, space)
 
-    def is_certain_cut(self, left: int, right: int) -> bool:
-        return (left, right) not in self.pairs
+    def parts(self, piece: str) -> list[str]:
+        """A piece, in the vocabulary's letters, cut at all its certain cuts."""
+        inner = self.inner
+        cuts = [0, *[i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in inner], len(piece)]
+        return [piece[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _fragment_ids(self, fragment: bytes) -> bytes:
-        ids = self.library.encode(fragment.decode("utf-8"), add_special_tokens=False).ids
+        text = fragment.decode("utf-8")
+        if not self.plain or self.added.search(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            merge, ids = self.library.model.tokenize, []
+            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
+                for part in self.parts(piece):
+                    if (got := self._parts.get(part)) is None:
+                        got = [t.id for t in merge(part)]
+                        if len(part) <= MEMO_FRAGMENT:
+                            if len(self._parts) >= MEMO_ENTRIES:
+                                self._parts.clear()
+                            self._parts[part] = got
+                    ids += got
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(fragment) <= MEMO_FRAGMENT:
             if len(self._memo) >= MEMO_ENTRIES:
