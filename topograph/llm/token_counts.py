@@ -26,7 +26,8 @@ from topograph.llm.common import materialize, pick, scratch_path
 CACHE = "tokenizer_digest binary, content_digest binary, n_tokens long"
 #: Contents with more rows than so many, and than the table's rows divided by MAX_HOT, are hot: at most MAX_HOT, whose counts are broadcast.
 HOT_ROWS, MAX_HOT = 256, 10_000
-MEMO_ENTRIES, MEMO_CHUNK = 250_000, 64
+#: Chunks of a generation that a worker remembers (the one before is kept too, so frequent ones stay), and bytes of a chunk.
+MEMO_ENTRIES, MEMO_CHUNK = 400_000, 64
 
 
 def tokenizer_digest(path: str) -> bytes:
@@ -39,6 +40,7 @@ class ChunkCounter:
 
     def __init__(self, path: str):
         self.memo: dict[bytes, int] = {}
+        self.before: dict[bytes, int] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -57,10 +59,12 @@ class ChunkCounter:
     def counts(self, texts: list[bytes]) -> list[int]:
         if self.whole:
             return self._counts([t.decode("utf-8") for t in texts])
-        split, memo = [t.split() for t in texts], self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        misses = list({c for chunks in split for c in chunks}.difference(memo))
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo, self.before = {}, self.memo
+        split, memo, before = [t.split() for t in texts], self.memo, self.before
+        new = {c for chunks in split for c in chunks}.difference(memo)
+        memo.update((c, before[c]) for c in new if c in before)
+        misses = [c for c in new if c not in memo]
         for at in range(0, len(misses), 10_000):
             some = misses[at : at + 10_000]
             memo.update(zip(some, self._counts([m.decode("utf-8") for m in some])))
