@@ -22,13 +22,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from topograph.llm.common import pick
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct fragments and bytes of fragments that a task remembers before it starts afresh.
+#: Fragments of a generation that a worker remembers (the one before is kept too, so frequent ones stay), and bytes of a fragment.
 MEMO_ENTRIES, MEMO_FRAGMENT = 300_000, 64
+#: The pieces of byte-level splitting, fixed by the published format; used for texts of SAFE characters, whose Unicode classes
+#: don't differ between versions of Unicode. The pieces of other texts are the library's.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SAFE = r"[\t\n\r\x20-\x7e\u00a1-\u017f]*"
 
 #: UTF-8 endings of white space outside ASCII, fixed by Unicode; no cut follows them.
 _WIDE_SPACE = (rb"\xc2\x85", rb"\xc2\xa0", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80")
@@ -60,10 +65,13 @@ class ForcedBoundaryBPE:
         self.inner = {letter[a] + letter[b] for a, b in self.pairs}
         self.added = re.compile("|".join(re.escape(t.decode()) for t in special.values()) or r"(?!)")
         # Pieces are merged one by one only where nothing but the pattern comes before the merges.
-        self.plain = self.library.normalizer is None and self.library.pre_tokenizer is not None
+        self.plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.safe, self.pieces = re.compile(SAFE).fullmatch, regex.compile(PIECES).findall
+        self.letters = {b: ord(c) for c, b in alphabet.items()}
         self.fragments = re.compile(self._pattern()).findall
         self._memo: dict[bytes, bytes] = {}
-        self._parts: dict[str, list[int]] = {}
+        self._before: dict[bytes, bytes] = {}
+        self._known_pieces: dict[str, bytes] = {}
 
     def _pattern(self) -> bytes:
         space = b"\x09-\x0d\x20"
@@ -79,27 +87,31 @@ class ForcedBoundaryBPE:
         return [piece[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _fragment_ids(self, fragment: bytes) -> bytes:
-        text = fragment.decode("utf-8")
-        if not self.plain or self.added.search(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            merge, ids = self.library.model.tokenize, []
-            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
-                for part in self.parts(piece):
-                    if (got := self._parts.get(part)) is None:
-                        got = [t.id for t in merge(part)]
-                        if len(part) <= MEMO_FRAGMENT:
-                            if len(self._parts) >= MEMO_ENTRIES:
-                                self._parts.clear()
-                            self._parts[part] = got
-                    ids += got
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if (packed := self._before.get(fragment)) is None:
+            text = fragment.decode("utf-8")
+            if not self.plain or self.added.search(text):
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                pieces = self.pieces(text) if self.safe(text) else [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+                known = self._known_pieces.get
+                packed = b"".join([known(p) or self._piece_ids(p) for p in pieces])
         if len(fragment) <= MEMO_FRAGMENT:
             if len(self._memo) >= MEMO_ENTRIES:
-                self._memo.clear()
+                self._memo, self._before = {}, self._memo
             self._memo[fragment] = packed
         return packed
 
+    def _piece_ids(self, piece: str) -> bytes:
+        merge = self.library.model.tokenize
+        ids = [t.id for part in self.parts(piece.encode("utf-8").decode("latin-1").translate(self.letters)) for t in merge(part)]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= MEMO_FRAGMENT:
+            if len(self._known_pieces) >= MEMO_ENTRIES:
+                self._known_pieces.clear()
+            self._known_pieces[piece] = packed
+        return packed
+
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         get, miss = self._memo.get, self._fragment_ids
