@@ -1,14 +1,27 @@
-"""Matched random subgraphs from an adjacency that fits in memory."""
+"""Matched random subgraphs from an adjacency that fits in memory.
 
-from __future__ import annotations
+Choices are hash values of (seed, group, control, attempt, step, node), the same that plans/experiments.py computes in
+joins, so both routes grow the same candidates.
+"""
 
-import hashlib
+from __future__ import annotations
 
 import numpy as np
+import xxhash
+
+
+def hashed(*key: object) -> int:
+    """Spark's xxhash64 of the parts joined by |, as an unsigned number in the order of the signed one."""
+    return xxhash.xxh64_intdigest("|".join(map(str, key)).encode(), 42) ^ (1 << 63)
+
+
+def uniform(*key: object) -> float:
+    """In [0, 1)."""
+    return ((hashed(*key) ^ (1 << 63)) >> 11) / 2.0**53
 
 
 class Adjacency:
-    """Neighbours, weights and degrees of a graph, by node number."""
+    """Neighbours, weights and degrees of a graph, by node number in the order of names."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, w: np.ndarray):
         self.names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -18,7 +31,8 @@ class Adjacency:
         self.target, self.weight = target[order], np.where(np.isnan(weight), 1.0, weight)[order]
         self.start = np.searchsorted(source[order], np.arange(len(self.names) + 1))
         self.degree = np.diff(self.start)
-        self.number = {n: k for k, n in enumerate(self.names.tolist())}
+        self.words = self.names.tolist()
+        self.number = {n: k for k, n in enumerate(self.words)}
 
     def near(self, v: int) -> np.ndarray:
         return self.target[self.start[v] : self.start[v + 1]]
@@ -34,36 +48,35 @@ class Adjacency:
         return (edges / (n * (n - 1)) if n > 1 else 0.0), strength / max(n, 1), float(self.degree[nodes].mean()) if n else 0.0
 
 
-def generator(*key: object) -> np.random.Generator:
-    """A stream of its own for each key, so that results don't depend on the order of work."""
-    return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, key)).encode()).digest()[:8], "big"))
-
-
-def grow(graph: Adjacency, size: int, banned: set[int], restart: float, rng: np.random.Generator, filter_frontier: bool = False) -> list[int]:
-    """A connected candidate: walks along the frontier, or restarts at a node that isn't banned."""
-    free = len(graph.names) - len(banned)
-    size, chosen, frontier = min(size, free), {}, {}
+def grow(graph: Adjacency, size: int, banned: set[int], restart: float, seed: int, key: tuple, filter_frontier: bool = False) -> list[int]:
+    """A connected candidate: walks to the frontier node of least hash, or restarts at the next free node from a hashed place on."""
+    n, chosen, frontier = len(graph.words), {}, set()
+    prefix = "|".join(map(str, key))
 
-    def fresh() -> int:
-        while (v := int(rng.integers(len(graph.names)))) in banned or v in chosen:
-            pass
-        return v
+    def fresh(step: int) -> int | None:
+        at = int(uniform(seed, prefix, step) * n)
+        return next((v for v in ((at + o) % n for o in range(min(n, size + len(banned) + 1))) if v not in banned and v not in chosen), None)
 
-    while len(chosen) < size:
-        options = list(frontier) if chosen and rng.random() > restart else []
-        v = options[int(rng.integers(len(options)))] if options else fresh()
+    for step in range(size):
+        v = None
+        if step and frontier and uniform(seed + 1, prefix, step) > restart:
+            v = min(frontier, key=lambda u: (hashed(seed, prefix, step, graph.words[u]), u))  # noqa: B023
+        elif (v := fresh(step)) is None and frontier:
+            v = min(frontier, key=lambda u: (hashed(seed, prefix, step, graph.words[u]), u))  # noqa: B023
+        if v is None:
+            break
         chosen[v] = None
-        frontier.pop(v, None)
-        frontier.update((u, None) for u in graph.near(v).tolist() if u not in chosen and not (filter_frontier and u in banned))
+        frontier.discard(v)
+        frontier.update(u for u in graph.near(v).tolist() if u not in chosen and not (filter_frontier and u in banned))
     return list(chosen)
 
 
-def match(graph: Adjacency, members: list[int], attempts: int, restart: float, tolerance: float, degree_tolerance: float, key: tuple) -> tuple[list[int], float, tuple[float, float, float]]:
+def match(graph: Adjacency, members: list[int], attempts: int, restart: float, tolerance: float, degree_tolerance: float, seed: int, key: tuple) -> tuple[list[int], float, tuple[float, float, float]]:
     """The first candidate that matches the members closely, else the best: nodes, score, the members' density, degree and strength."""
     density, strength, degree = graph.facts(members)
     best, best_score = [], float("inf")
     for attempt in range(attempts):
-        nodes = grow(graph, len(members), set(members), restart, generator(*key, attempt))
+        nodes = grow(graph, len(members), set(members), restart, seed, (*key, attempt))
         d, s, g = graph.facts(nodes)
         off, far = abs(d - density), abs(g - degree) / max(degree, 1.0)
         score = off + far + abs(s - strength) / max(strength, 1.0)

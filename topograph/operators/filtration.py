@@ -103,7 +103,31 @@ def distances(edges: DataFrame, members: DataFrame, group: list[str], filtration
     return map_groups(rows, group, run, ", ".join([f"{g} {types[g]}" for g in group] + ["i string, j string, d double"]), order=["is_edge", "pos", "a"])
 
 
-def infinite_adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cells of the adjacency of a bounded node set with infinity where there is no edge."""
-    pairs = nodes.select(F.col("node").alias("a"), F.lit(1).alias("k")).join(nodes.select(F.col("node").alias("b"), F.lit(1).alias("k")), "k").filter("a < b").drop("k")
-    return pairs.join(edges, ["a", "b"], "left").select("a", "b", F.coalesce("w", F.lit(float("inf"))).alias("w"))
+def infinite_adjacency(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
+    """Cells (group, a, b, w), a < b, of the adjacency of bounded subgraphs, with infinity where there is no edge."""
+    from topograph.operators.graph import induced_edges
+
+    one = lambda name: members.select(*group, F.col("node").alias(name))
+    pairs = one("a").join(one("b"), group).filter("a < b")
+    return pairs.join(induced_edges(edges, members, group), [*group, "a", "b"], "left").select(*group, "a", "b", F.coalesce("w", F.lit(float("inf"))).alias("w"))
+
+
+def path_distances(edges: DataFrame, members: DataFrame, group: list[str], weighted: bool = True) -> DataFrame:
+    """All-pairs shortest paths (group, i, j, d), i < j by name, inside bounded subgraphs; infinity where there is none."""
+    from topograph.functions.grouped import map_groups
+
+    rows = with_members(edges, members, group)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(key: tuple, part: pd.DataFrame):
+        names = part.loc[~part["is_edge"], "a"].tolist()
+        at = {n: k for k, n in enumerate(names)}
+        d = np.full((len(names), len(names)), np.inf)
+        for a, b, w in part.loc[part["is_edge"], ["a", "b", "w"]].itertuples(index=False):
+            if a != b:
+                d[at[a], at[b]] = d[at[b], at[a]] = w if weighted else 1.0
+        d = floyd_warshall(d)
+        for x, y in zip(*np.triu_indices(len(names), 1)):
+            yield (*key, *sorted((names[x], names[y])), float(d[x, y]))
+
+    return map_groups(rows, group, run, ", ".join([f"{g} {types[g]}" for g in group] + ["i string, j string, d double"]), order=["is_edge", "pos", "a"])

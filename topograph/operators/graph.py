@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def weight(default: float) -> Column:
@@ -118,10 +117,26 @@ def hops(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     return reached
 
 
+#: Groups of at most so many members look up their own pairs among the edges; larger ones filter the edges of their members.
+PAIRED_MEMBERS = 64
+
+
 def induced_edges(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
-    """members: group columns and node. The edges inside each subgraph, one plan for all."""
-    at_a = edges.join(members.withColumnRenamed("node", "a"), "a")
-    return at_a.join(members.withColumnRenamed("node", "b"), [*group, "b"]).select(*group, "a", "b", "w")
+    """members: group columns and node. The edges inside each subgraph, one plan for all.
+
+    A node of many small groups multiplies none of its edges: each group's pairs, bounded by its size, meet the edges on
+    both ends.  Only large groups, of which there are few for any number of members, take the edges of their members.
+    """
+    own = members.select(*group, "node").distinct()
+    sizes = own.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    small = own.join(sizes.filter(F.col("__n") <= PAIRED_MEMBERS), group, "left_semi")
+    lists = small.groupBy(*group).agg(F.sort_array(F.collect_list("node")).alias("__nodes"))
+    firsts = lists.select(*group, "__nodes", F.posexplode("__nodes").alias("__i", "a"))
+    pairs = firsts.select(*group, "a", F.explode(F.slice("__nodes", F.col("__i") + 1, F.lit(PAIRED_MEMBERS))).alias("b"))  # a loop is its own pair
+    large = own.join(sizes.filter(F.col("__n") > PAIRED_MEMBERS), group, "left_semi")
+    at_a = edges.join(large.withColumnRenamed("node", "a"), "a")
+    rest = at_a.join(large.withColumnRenamed("node", "b"), [*group, "b"])
+    return pairs.join(edges, ["a", "b"]).select(*group, "a", "b", "w").union(rest.select(*group, "a", "b", "w"))
 
 
 def sorted_by_degree(edges: DataFrame) -> DataFrame:
@@ -158,6 +173,3 @@ def boost_complexes(edges: DataFrame, complexes: DataFrame) -> DataFrame:
     ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
     return ends.join(times, ["a", "b"], "left").select("a", "b", F.when(F.col("times").isNull(), F.col("w")).otherwise(grown).alias("w"))
 
-
-def max_by_order(column: str, *order: Column) -> Column:
-    return F.row_number().over(Window.orderBy(*order)).alias(column)

@@ -6,9 +6,11 @@ Bars have the group's columns and dim, birth, death (infinity for the component
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,7 @@ from pyspark.sql.window import Window
 from topograph.functions.grouped import map_groups
 from topograph.functions.rips import persistence_pairs, rips_bars, skeleton_bars
 from topograph.operators.filtration import check_filtration, subgraph_matrix, with_members
-from topograph.operators.graph import triangles
+from topograph.operators.graph import induced_edges, triangles
 from topograph.schema import PH_COLUMNS
 
 INF = float("inf")
@@ -31,11 +33,68 @@ def _keys(df: DataFrame, group: list[str]) -> str:
 def subgraph_bars(edges: DataFrame, members: DataFrame, group: list[str], filtration: str = "correlation_distance", maxdim: int = 2) -> DataFrame:
     """members: group columns, node and optionally pos; bound their number per group first (sample_for_ph)."""
     check_filtration(filtration)
+    if maxdim == 0 and filtration == "correlation_distance":
+        return component_bars(edges, members, group)
     rows = with_members(edges, members, group)
     run = lambda key, part: ((*key, *bar) for bar in rips_bars(subgraph_matrix(part, filtration)[1], maxdim))
     return map_groups(rows, group, run, f"{_keys(rows, group)}, dim int, birth double, death double", order=["is_edge", "pos", "a"])
 
 
+def component_bars(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
+    """Dimension-0 bars under correlation distance for weights in [0, 1]: by union-find over the edges in rising distance.
+
+    Pairs without an edge are at distance 1, so the components that edges leave apart meet there. No matrix is built, and
+    the groups of a task are walked through in one pass.
+    """
+    inside = induced_edges(edges, members.select(*group, "node"), group).filter("a <> b")
+    distance = (1 - F.coalesce("w", F.lit(1.0))).cast("float").cast("double")
+    nodes = members.select(*group, F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(-1.0).alias("d")).distinct()
+    rows = nodes.union(inside.select(*group, "a", "b", distance.alias("d")))
+    k = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parent, deaths = None, {}, []
+        out: list[tuple] = []
+
+        def root(x: str) -> str:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def close() -> None:
+            if now is not None:
+                apart = len(parent) - len(deaths) - 1
+                out.extend((*now, 0, 0.0, t) for t in [*(t for t in deaths if t > 0), *([1.0] * apart), INF])
+
+        def table() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        types = names = None
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(k)] + [pa.int32(), pa.float64(), pa.float64()]
+            names = [*batch.schema.names[:k], "dim", "birth", "death"]
+            keys = zip(*[batch.column(i).to_pylist() for i in range(k)])
+            for key, a, b, d in zip(keys, *[batch.column(k + i).to_pylist() for i in range(3)]):
+                if key != now:
+                    close()
+                    now, parent, deaths = key, {}, []
+                if b is None:
+                    parent[a] = a
+                elif (x := root(a)) != (y := root(b)):
+                    parent[x] = y
+                    deaths.append(d)
+            if len(out) > 5000:
+                yield table()
+                out.clear()
+        close()
+        if out:
+            yield table()
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "d").mapInArrow(run, f"{_keys(rows, group)}, dim int, birth double, death double")
+
+
 def subgraph_pairs(edges: DataFrame, members: DataFrame, group: list[str], filtration: str = "correlation_distance", maxdim: int = 2) -> DataFrame:
     """Bars with the simplices that create and destroy them."""
     rows = with_members(edges, members, group)
@@ -161,6 +220,29 @@ def lifetime_filter(bars: DataFrame, longer_than: float) -> DataFrame:
     return bars.filter(F.col("death") - F.col("birth") > longer_than)
 
 
+def edges_at(edges: DataFrame, bars: DataFrame, group: list[str], column: str = "death") -> DataFrame:
+    """The edges of each group whose distance 1 - w is the birth or death of one of its bars; both are compared as 32-bit floats, as bars hold them."""
+    at = edges.withColumn("__v", (1 - F.coalesce("w", F.lit(1.0))).cast("float"))
+    wanted = bars.filter(F.col(column) < INF).select(*group, F.col(column).cast("float").alias("__v")).distinct()
+    return at.join(wanted, [*group, "__v"], "left_semi").drop("__v")
+
+
+def diagrams(bars: DataFrame, group: list[str]) -> DataFrame:
+    """group, dim, and the diagram as an array of (birth, death), sorted."""
+    return bars.groupBy(*group, "dim").agg(F.sort_array(F.collect_list(F.struct("birth", "death"))).alias("diagram"))
+
+
+def persistence_density(bars: DataFrame, group: list[str], dim: int, bandwidth: float, resolution: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """group, px, py, value: a Gaussian kernel density of the finite points (birth, death) of a dimension on a grid."""
+    rows = bars.filter((F.col("dim") == dim) & (F.col("death") < INF))
+    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    step = (hi - lo) / (resolution - 1)
+    cells = rows.join(n, group).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))))
+    dx, dy = lo + F.col("px") * step - F.col("birth"), lo + F.col("py") * step - F.col("death")
+    value = F.exp(-(dx * dx + dy * dy) / (2 * bandwidth**2)) / (2 * math.pi * bandwidth**2)
+    return cells.groupBy(*group, "px", "py").agg((F.sum(value) / F.first("__n")).alias("value"))
+
+
 def births_below(bars: DataFrame, dim: int, below: float) -> DataFrame:
     return bars.filter((F.col("dim") == dim) & (F.col("birth") < below))
 
@@ -183,7 +265,7 @@ def persistence_image(bars: DataFrame, group: list[str], dim: int, bandwidth: fl
 def sample_for_ph(edges: DataFrame, members: DataFrame, group: list[str], cap: int, seed: int = 7, hubs: int = 10) -> DataFrame:
     """Members of groups with at most cap nodes as they are; of larger ones the top hubs by degree and a hash sample of the rest."""
     from topograph.functions.hashing import digest
-    from topograph.operators.graph import degree_strength, induced_edges
+    from topograph.operators.graph import degree_strength
 
     degree = degree_strength(induced_edges(edges, members.select(*group, "node"), group), group).select(*group, "node", "degree")
     rows = members.join(degree, [*group, "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))

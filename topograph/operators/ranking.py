@@ -1,4 +1,4 @@
-"""Ranking metrics with ordinal ranks: ties are broken by the row's key, never averaged."""
+"""Ranks without a single sorting task, and ranking metrics with ordinal ranks: ties are broken by the row's key, never averaged."""
 
 from __future__ import annotations
 
@@ -6,25 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from topograph.functions.lineage import cut_lineage
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """rows with their place (from 0) in an order that leaves no ties: ranges are sorted in parallel and numbered by their counts."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut_lineage(ranged)  # ranges are sampled: what follows must see the same ones
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    start = counts.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row per range
+    joined = placed.withColumn("__part", part).join(F.broadcast(start), "__part")
+    return joined.withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")).drop("__part", "__start", "__at")
+
+
+def ranked_within(rows: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """rows with their place (from 0) in each group; a group may fill any number of ranges."""
+    if not group:
+        return ranked(rows, order, name)
+    every = ranked(rows, [*[F.col(g) for g in group], *order], "__rank")
+    every = cut_lineage(every)
+    first = every.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min("__rank").alias("__first"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    return every.join(first, same).select(*rows.columns, (F.col("__rank") - F.col("__first")).alias(name))
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of an order without ties; unlike a sorted limit, no task gathers them."""
+    return ranked(rows, order, "__place").filter(F.col("__place") < n).drop("__place")
+
 
 def auroc(rows: DataFrame, group: list[str], score: str, label: str, key: str) -> DataFrame:
     """group, auroc: from the rank sum of the positives; 0.5 when a class is missing."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(score, key))
-    pos = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("double")
-    neg = F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("double")
-    sums = rows.withColumn("rank", rank).groupBy(*group).agg(pos.alias("p"), neg.alias("n"), F.sum(F.when(F.col(label) == 1, F.col("rank")).otherwise(0)).cast("double").alias("r"))
+    hit = F.col("__hit")
+    slim = rows.select(*group, F.col(score).alias("__score"), F.col(key).alias("__key"), (F.col(label) == 1).cast("long").alias("__hit"))
+    placed = ranked_within(slim, group, [F.col("__score").asc(), F.col("__key").asc()], "__rank")
+    sums = placed.groupBy(*group).agg(F.sum(hit).cast("double").alias("p"), F.sum(1 - hit).cast("double").alias("n"), F.sum(hit * (F.col("__rank") + 1)).cast("double").alias("r"))
     value = F.when((F.col("p") == 0) | (F.col("n") == 0), 0.5).otherwise((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n")))
     return sums.select(*group, value.alias("auroc"))
 
 
 def average_precision(rows: DataFrame, group: list[str], score: str, label: str, key: str) -> DataFrame:
-    """group, average_precision: mean precision at the positives in falling order of score; 0 without positives."""
-    order = Window.partitionBy(*group).orderBy(F.col(score).desc(), key)
-    hit = F.when(F.col(label) == 1, 1).otherwise(0)
-    ranked = rows.withColumn("hit", hit).withColumn("seen", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(order))
-    total = F.sum("hit")
-    value = F.when(total == 0, 0.0).otherwise(F.sum(F.when(F.col("hit") == 1, F.col("seen") / F.col("at")).otherwise(0.0)) / total)
-    return ranked.groupBy(*group).agg(value.alias("average_precision"))
+    """group, average_precision: mean precision at the positives in falling order of score; 0 without positives.
+
+    The positives up to one of them are its place among the positives, so two rankings replace a running sum.
+    """
+    order = [F.col("__score").desc(), F.col("__key").asc()]
+    slim = rows.select(*group, F.col(score).alias("__score"), F.col(key).alias("__key"), F.coalesce(F.col(label) == 1, F.lit(False)).alias("__hit"))
+    hits = ranked_within(slim, group, order, "__rank").filter("__hit")
+    seen = ranked_within(hits, group, order, "__seen")
+    means = seen.groupBy(*group).agg(F.avg((F.col("__seen") + 1) / (F.col("__rank") + 1)).alias("average_precision"))
+    if not group:
+        return means.select(F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"))
+    named = means.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], "average_precision")
+    every = rows.select(*group).distinct().join(named, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)], "left")
+    return every.select(*group, F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"))
 
 
 def univariate_signal(rows: DataFrame, features: list[str], label: str, key: str) -> DataFrame:
@@ -48,4 +84,4 @@ def cosine(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
 
 def with_row_index(rows: DataFrame, key: str) -> DataFrame:
     """row_idx: place in the order of a unique key."""
-    return rows.withColumn("row_idx", F.row_number().over(Window.orderBy(key)) - 1)
+    return ranked(rows, [F.col(key)], "row_idx")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from topograph.operators.graph import degree_strength, node_set
+from topograph.operators.graph import degree_strength
 
 
 def membership_counts(groups: DataFrame) -> DataFrame:
@@ -86,15 +85,10 @@ def inverted_index(groups: DataFrame) -> DataFrame:
 
 
 def index_dictionary(nodes: DataFrame) -> DataFrame:
-    """node, idx: dense numbers in name order.
+    """node, idx: dense numbers in name order."""
+    from topograph.operators.ranking import ranked
 
-    Ranges are numbered by their counts, so no single task sorts all names.
-    """
-    ranged = nodes.select("node").repartitionByRange("node").sortWithinPartitions("node")
-    placed = ranged.select("node", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    start = counts.withColumn("start", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return placed.join(F.broadcast(start), "part").select("node", (F.col("at") - F.col("first") + F.coalesce("start", F.lit(0))).alias("idx"))
+    return ranked(nodes.select("node"), [F.col("node")], "idx")
 
 
 def neighbours_within(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -113,6 +107,3 @@ def largest_group(groups: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("complex_id", "size"), F.struct(F.col("size"), -F.col("complex_id"))).alias("best")
     return group_sizes(groups).agg(best).select("best.complex_id", "best.size")
 
-
-def known_nodes(edges: DataFrame) -> DataFrame:
-    return node_set(edges)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from topograph.functions.lineage import cut_lineage
 from topograph.operators import cluster, components, features, filtration, graph, homology, neighborhood, ranking, sampling, sets
 from topograph.plans import experiments
-from topograph.schema import PROTEIN_FEATURES, DecisionConfig, ExplorationConfig, SweepConfig
+from topograph.schema import PROTEIN_FEATURES, DecisionConfig, ExplorationConfig, Splits, SweepConfig
 from topograph.sources import star_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,7 +231,7 @@ def degree_baseline_top10(spark, sf_dir):
 @query("select complex_id, size from cov where covered and size between 3 and 40 order by complex_id limit 250")
 def eligible_complexes(spark, sf_dir):
     config = DecisionConfig()
-    return sets.eligible(_groups(spark, sf_dir), graph.node_set(_graph(spark, sf_dir)), config.min_complex_size, config.max_complex_size, config.max_real_complexes)
+    return sets.eligible(_groups(spark, sf_dir), graph.node_set(_graph(spark, sf_dir)), config.groups.smallest, config.groups.largest, config.groups.most)
 
 
 @query("select complex_id, size from cov order by size desc, complex_id limit 1")
@@ -617,7 +617,7 @@ def logistic_metrics(spark, sf_dir):
     from topograph.plans.modelling import mean_metrics, repeat_metrics
 
     rows = cut_lineage(_proteins(spark, sf_dir, _graph(spark, sf_dir)))
-    return mean_metrics(repeat_metrics(rows, {"protein_baseline": PROTEIN_FEATURES}, "protein", "protein_in_any_complex", 3, 0.25, 7), ["protein_baseline"])
+    return mean_metrics(repeat_metrics(rows, {"protein_baseline": PROTEIN_FEATURES}, "protein", "protein_in_any_complex", Splits(3), 7), ["protein_baseline"]).drop("auroc_values", "average_precision_values")
 
 
 @query()

@@ -38,3 +38,18 @@ def toy_network(spark: SparkSession) -> DataFrame:
     """A six-edge weighted graph for examples and tests."""
     rows = [("A", "B", 0.9), ("A", "C", 0.8), ("A", "D", 0.2), ("B", "C", 0.7), ("C", "E", 0.85), ("D", "F", 0.95)]
     return spark.createDataFrame([(a, b, w, i) for i, (a, b, w) in enumerate(rows)], "ProteinA string, ProteinB string, SemSim double, ord long")
+
+
+# A published toy network with its groups.
+TOY_EDGES = [
+    ("A", "B", 0.8), ("A", "C", 0.9), ("B", "C", 0.8), ("B", "D", 0.5), ("C", "E", 0.5), ("D", "F", 0.6), ("D", "G", 0.7), ("E", "H", 0.8), ("F", "I", 0.9), ("G", "J", 0.8),
+    ("H", "K", 0.6), ("I", "L", 0.5), ("J", "M", 0.7), ("K", "N", 0.6), ("L", "O", 0.9), ("M", "P", 0.8), ("N", "Q", 0.5), ("O", "A", 0.6), ("P", "B", 0.7), ("Q", "C", 0.8),
+]
+TOY_GROUPS = [["A", "B", "C"], ["D", "E", "F"], ["G", "H", "I", "J"], ["K", "L"], ["M", "N", "O"], ["P", "Q"]]
+
+
+def toy_benchmark(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The 20-edge network and its six groups: edges as read_edges() gives them, groups as read_complexes() does."""
+    edges = [(a, b, w, i) for i, (a, b, w) in enumerate(TOY_EDGES)]
+    groups = [(i, p, m) for i, g in enumerate(TOY_GROUPS) for p, m in enumerate(g)]
+    return spark.createDataFrame(edges, "ProteinA string, ProteinB string, SemSim double, ord long"), spark.createDataFrame(groups, "complex_id long, pos int, member string")

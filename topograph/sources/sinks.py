@@ -32,14 +32,33 @@ def append_text(df: DataFrame, path: str) -> None:
     df.write.mode("append").text(path)
 
 
-def write_matrix(cells: DataFrame, path: str) -> None:
-    """A matrix as its present cells (row, column, value)."""
-    cells.write.mode("overwrite").parquet(path)
+def compressed_rows(edges: DataFrame) -> DataFrame:
+    """The symmetric adjacency by rows: row, columns (rising) and values, numbered in the order of names. Absent cells aren't stored."""
+    from topograph.operators.graph import node_set, symmetric
+    from topograph.operators.sets import index_dictionary
+
+    index = index_dictionary(node_set(edges))
+    cells = symmetric(edges).distinct().join(index, "node").withColumnRenamed("idx", "row").join(index.select(F.col("node").alias("nbr"), F.col("idx").alias("column")), "nbr")
+    packed = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("column", F.coalesce("w", F.lit(1.0)).alias("value")))).alias("cells"))  # a row of the matrix: a node's degree
+    return packed.select("row", F.transform("cells", lambda c: c["column"]).alias("columns"), F.transform("cells", lambda c: c["value"]).alias("values"))
+
+
+def matrix_lines(rows: DataFrame, n: int) -> DataFrame:
+    """rows of compressed_rows() as tab-separated text of n values a row (for small matrices)."""
+    cell = lambda j: F.coalesce(F.element_at(F.map_from_arrays("columns", "values"), j.cast("long")), F.lit(0.0))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: cell(j).cast("string")), "\t")
+    return rows.select("row", line.alias("value"))
+
+
+def write_matrix(edges: DataFrame, path: str, dense: bool = False) -> None:
+    """The adjacency as compressed rows in Parquet, or as dense text, a line per row."""
+    rows = compressed_rows(edges)
+    if dense:
+        matrix_lines(rows, rows.count()).repartitionByRange("row").sortWithinPartitions("row").select("value").write.mode("overwrite").text(path)
+    else:
+        rows.write.mode("overwrite").parquet(path)
 
 
 def rips_summary_line(dimension: int, simplices: int, vertices: int) -> str:
     return f"Rips complex is of dimension {dimension} - {simplices} simplices - {vertices} vertices."
 
-
-def as_text(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(F.concat_ws("\t", *columns).alias("value"))
