@@ -103,6 +103,9 @@ def test_ranking(spark):
     assert ranking.auroc(ties, [], "s", "y", "k").first()[0] == logistic.auroc(y, s)
     assert ranking.average_precision(ties, [], "s", "y", "k").first()[0] == logistic.average_precision(y, s)
     assert ranking.auroc(df.filter("y = 1"), [], "s", "y", "k").first()[0] == 0.5
+    third = spark.createDataFrame([("a", i, int(i == 2), 1.0 - i / 10) for i in range(8)], "g string, k long, y int, s double")
+    assert abs(ranking.average_precision(third, ["g"], "s", "y", "k").first()["average_precision"] - 1 / 3) < 1e-12
+    assert abs(ranking.average_precision(third, [], "s", "y", "k").first()[0] - 1 / 3) < 1e-12
 
 
 def test_logistic():
