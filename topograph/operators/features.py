@@ -46,7 +46,7 @@ def protein_features(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 def subgraph_basics(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
     """num_nodes, num_edges, density, mean degree, strength and clustering of every induced subgraph."""
-    inside = induced_edges(edges, members.select(*group, "node"), group)
+    inside = cut_lineage(induced_edges(edges, members.select(*group, "node"), group))  # six plans read it
     per_node = node_features(inside, group).groupBy(*group).agg(F.sum("degree").alias("sd"), F.sum("strength").alias("ss"), F.sum("clustering").alias("sc"))
     rows = members.groupBy(*group).agg(F.count(F.lit(1)).alias("num_nodes")).join(inside.groupBy(*group).agg(F.count(F.lit(1)).alias("m")), group, "left").join(per_node, group, "left")
     mean = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("num_nodes")

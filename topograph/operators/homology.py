@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topograph.functions.grouped import map_groups
+from topograph.functions.lineage import cut_lineage
 from topograph.functions.rips import persistence_pairs, rips_bars, skeleton_bars
 from topograph.operators.filtration import check_filtration, subgraph_matrix, with_members
 from topograph.operators.graph import induced_edges, triangles
@@ -134,7 +135,7 @@ def skeleton_persistence(edges: DataFrame, group: list[str]) -> DataFrame:
 
 def simplex_counts(edges: DataFrame, group: list[str], members: DataFrame) -> DataFrame:
     """Vertices, edges, triangles and tetrahedra of each group's clique complex, and its Euler characteristic, by joins."""
-    tri = triangles(edges, group).select(*group, F.sort_array(F.array("x", "y", "z")).alias("t")).select(*group, *[F.col("t")[i].alias(c) for i, c in enumerate("xyz")])
+    tri = cut_lineage(triangles(edges, group)).select(*group, F.sort_array(F.array("x", "y", "z")).alias("t")).select(*group, *[F.col("t")[i].alias(c) for i, c in enumerate("xyz")])
     up = edges.filter("a <> b").select(*group, F.least("a", "b").alias("z"), F.greatest("a", "b").alias("v"))
     pair = lambda u: edges.filter("a <> b").select(*group, F.least("a", "b").alias(u), F.greatest("a", "b").alias("v"))
     four = tri.join(up, [*group, "z"]).join(pair("x"), [*group, "x", "v"], "left_semi").join(pair("y"), [*group, "y", "v"], "left_semi")

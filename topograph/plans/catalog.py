@@ -79,7 +79,8 @@ def query(sql: str | None = None, extra: str = "") -> Callable[[Query], Query]:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_schema.edges(spark, sf_dir)
+    """The edges, derived once: most plans read them several times."""
+    return cut_lineage(star_schema.edges(spark, sf_dir))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,13 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    return sets.members_in_graph(_groups(spark, sf_dir), graph.node_set(edges))
+    return cut_lineage(sets.members_in_graph(_groups(spark, sf_dir), graph.node_set(edges)))
+
+
+def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges inside every group."""
+    edges = _graph(spark, sf_dir)
+    return cut_lineage(graph.induced_edges(edges, _members(spark, sf_dir, edges), ["complex_id"]))
 
 
 def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -96,7 +103,7 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query("select a, b, w from e")
 def ppi_edges(spark, sf_dir):
-    rows = _graph(spark, sf_dir)
+    rows = star_schema.edges(spark, sf_dir)
     named = rows.select(F.col("a").alias("ProteinA"), F.col("b").alias("ProteinB"), F.col("w").alias("SemSim"), F.monotonically_increasing_id().alias("ord"))
     return graph.canonical_edges(named).select("a", "b", "w")
 
@@ -278,7 +285,7 @@ def subgraph_basic_features(spark, sf_dir):
 
 @query("select complex_id, count(distinct r) as n_components from (select complex_id, i, min(j) as r from d3 group by complex_id, i) group by complex_id", _shortest("1", "+"))
 def subgraph_components(spark, sf_dir):
-    edges = cut_lineage(_graph(spark, sf_dir))
+    edges = _graph(spark, sf_dir)
     return components.subgraph_components(edges, _members(spark, sf_dir, edges), ["complex_id"])
 
 
@@ -362,7 +369,7 @@ def _expansion_sql(cap: int) -> str:
 
 @query("select seed, node, rank from c3", _expansion_sql(4))
 def seed_expansion(spark, sf_dir):
-    edges = cut_lineage(_graph(spark, sf_dir))
+    edges = _graph(spark, sf_dir)
     return neighborhood.seed_expansion(edges, _seeds(edges), 4)
 
 
@@ -409,7 +416,7 @@ def _signal(column: str) -> str:
 )
 def univariate_signal(spark, sf_dir):
     """Of nodes with many memberships, as every node of this network has some."""
-    rows = _round(features.protein_features(_graph(spark, sf_dir), _groups(spark, sf_dir)), "strength", "clustering", "local_density").withColumn("label", (F.col("complex_membership_count") >= 30).cast("int"))
+    rows = cut_lineage(_round(features.protein_features(_graph(spark, sf_dir), _groups(spark, sf_dir)), "strength", "clustering", "local_density").withColumn("label", (F.col("complex_membership_count") >= 30).cast("int")))
     return _round(ranking.univariate_signal(rows, PROTEIN_FEATURES, "label", "protein"), "positive_mean", "negative_mean", "mean_difference", "auroc", "rank_biserial")
 
 
@@ -475,14 +482,13 @@ sc as (select n.complex_id, n as n_vertices, coalesce(ke, 0) as n_edges, coalesc
 def rips_simplex_counts(spark, sf_dir):
     edges = _graph(spark, sf_dir)
     members = _members(spark, sf_dir, edges).select("complex_id", "node")
-    return homology.simplex_counts(graph.induced_edges(edges, members, ["complex_id"]), ["complex_id"], members)
+    inside = cut_lineage(graph.induced_edges(edges, members, ["complex_id"]))
+    return homology.simplex_counts(inside, ["complex_id"], members)
 
 
 @query("select complex_id, dim, count(*) as n, round(sum(value), 5) as total_value from (select complex_id, 0 as dim, 0.0 as value from (select complex_id, a from ie union select complex_id, b from ie) union all select complex_id, 1, 1 - w from ie union all select it.complex_id, 2, greatest(1 - p.w, 1 - q.w, 1 - r.w) from it join ie p on p.complex_id = it.complex_id and p.a = x and p.b = y join ie q on q.complex_id = it.complex_id and q.a = y and q.b = z join ie r on r.complex_id = it.complex_id and r.a = x and r.b = z) group by complex_id, dim", SUB)
 def simplex_enumeration(spark, sf_dir):
-    edges = _graph(spark, sf_dir)
-    inside = graph.induced_edges(edges, _members(spark, sf_dir, edges).select("complex_id", "node"), ["complex_id"])
-    return homology.simplices(inside, ["complex_id"]).groupBy("complex_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total_value"))
+    return homology.simplices(_inside(spark, sf_dir), ["complex_id"]).groupBy("complex_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total_value"))
 
 
 def _bars(spark, sf_dir, maxdim: int = 0, name: str = "correlation_distance") -> DataFrame:
@@ -502,13 +508,13 @@ def h1_h2_bars(spark, sf_dir):
 
 @query()
 def ph_summary(spark, sf_dir):
-    edges = cut_lineage(_graph(spark, sf_dir))
+    edges = _graph(spark, sf_dir)
     return features.graph_ph_summary(edges, _members(spark, sf_dir, edges), ["complex_id"], "weighted_shortest_path")
 
 
 @query()
 def subgraph_feature_table(spark, sf_dir):
-    return features.complex_features(cut_lineage(_graph(spark, sf_dir)), _groups(spark, sf_dir), "real_complex", cap=60)
+    return features.complex_features(_graph(spark, sf_dir), _groups(spark, sf_dir), "real_complex", cap=60)
 
 
 @query("select complex_id, round(sum(v), 4) as landscape_l1, round(max(v), 6) as landscape_max from ls where level <= 5 group by complex_id", H0 + """,
@@ -596,8 +602,7 @@ def point_cloud_h1(spark, sf_dir):
 
 @query()
 def skeleton_bars(spark, sf_dir):
-    edges = _graph(spark, sf_dir)
-    return homology.skeleton_persistence(graph.induced_edges(edges, _members(spark, sf_dir, edges).select("complex_id", "node"), ["complex_id"]), ["complex_id"])
+    return homology.skeleton_persistence(_inside(spark, sf_dir), ["complex_id"])
 
 
 @query()
@@ -622,35 +627,35 @@ def logistic_metrics(spark, sf_dir):
 
 @query()
 def global_ph_stability(spark, sf_dir):
-    return experiments.ph_stability(cut_lineage(_graph(spark, sf_dir)), DecisionConfig())
+    return experiments.ph_stability(_graph(spark, sf_dir), DecisionConfig())
 
 
 @query()
 def complex_vs_random(spark, sf_dir):
-    return experiments.complex_vs_random(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), DecisionConfig())[1]
+    return experiments.complex_vs_random(_graph(spark, sf_dir), cut_lineage(_groups(spark, sf_dir)), DecisionConfig())[1]
 
 
 @query()
 def null_controls(spark, sf_dir):
-    edges = cut_lineage(_graph(spark, sf_dir))
+    edges = _graph(spark, sf_dir)
     table = experiments.complex_vs_random(edges, cut_lineage(_groups(spark, sf_dir)), DecisionConfig())[0]
     return experiments.null_controls(cut_lineage(_proteins(spark, sf_dir, edges)), table, DecisionConfig())
 
 
 @query()
 def local_ph(spark, sf_dir):
-    edges = cut_lineage(_graph(spark, sf_dir))
+    edges = _graph(spark, sf_dir)
     return experiments.local_ph(edges, cut_lineage(_proteins(spark, sf_dir, edges)), ExplorationConfig())[1]
 
 
 @query()
 def filtration_comparison(spark, sf_dir):
-    return experiments.filtration_comparison(cut_lineage(_graph(spark, sf_dir)), cut_lineage(_groups(spark, sf_dir)), ExplorationConfig())
+    return experiments.filtration_comparison(_graph(spark, sf_dir), cut_lineage(_groups(spark, sf_dir)), ExplorationConfig())
 
 
 @query()
 def protocol_sweep(spark, sf_dir):
-    edges = cut_lineage(_graph(spark, sf_dir))
+    edges = _graph(spark, sf_dir)
     return experiments.protocol_sweep(edges, cut_lineage(_proteins(spark, sf_dir, edges)), SweepConfig())
 
 
