@@ -40,3 +40,8 @@ def knn_distance(points: DataFrame, group: list[str], k: int = 3) -> DataFrame:
     far = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
     rank = F.row_number().over(Window.partitionBy(*group, "id").orderBy("d", "other"))
     return points.join(other, group).withColumn("d", far).withColumn("rank", rank).filter(F.col("rank") == k + 1).select(*group, "id", F.col("d").alias("kth_distance"))
+
+
+def cluster_members(labels: DataFrame, group: list[str]) -> DataFrame:
+    """group, label, members: the ids of each cluster in order, without noise. labels: group columns, id, label, as dbscan() gives them."""
+    return labels.filter("label >= 0").groupBy(*group, "label").agg(F.sort_array(F.collect_list("id")).alias("members"))

@@ -611,6 +611,71 @@ def persistence_pairs(spark, sf_dir):
     return homology.subgraph_pairs(edges, _members(spark, sf_dir, edges), ["complex_id"], "hop_distance", 1).select("complex_id", "dim", "birth", "death", F.array_join("creator", ",").alias("creator"), F.array_join("destroyer", ",").alias("destroyer"))
 
 
+@query("select ie.complex_id, a, b, w from ie semi join bars y on y.complex_id = ie.complex_id and y.death < 'inf' and cast(y.death as float) = cast(1.0 - ie.w as float)", H0)
+def edges_at_deaths(spark, sf_dir):
+    """The edges whose distances end dimension-0 bars."""
+    inside = _inside(spark, sf_dir)
+    return homology.edges_at(inside, _bars(spark, sf_dir), ["complex_id"])
+
+
+@query("select complex_id, dim, string_agg(case when death < 'inf' then cast(cast(round(death * 10000) as bigint) as varchar) else 'inf' end, ',' order by birth, death) as deaths from bars group by complex_id, dim", H0)
+def diagrams(spark, sf_dir):
+    death = lambda p: F.when(p["death"] < float("inf"), F.round(p["death"] * 10000).cast("long").cast("string")).otherwise("inf")
+    return homology.diagrams(_bars(spark, sf_dir), ["complex_id"]).select("complex_id", "dim", F.array_join(F.transform("diagram", death), ",").alias("deaths"))
+
+
+@query("select dim, px, py, round(sum(exp(-(pow(px * 0.25 - birth, 2) + pow(py * 0.25 - death, 2)) / 0.02)) / (2 * pi() * 0.01) / count(*), 5) as value from (select * from bars where death < 'inf') cross join (select cast(unnest(range(0, 5)) as int) as px) cross join (select cast(unnest(range(0, 5)) as int) as py) group by dim, px, py", H0)
+def persistence_density(spark, sf_dir):
+    return _round(homology.persistence_density(_bars(spark, sf_dir), ["dim"], 0, 0.1, 5), "value", digits=5)
+
+
+@query("select x.complex_id, x.node as a, y.node as b, coalesce(w, cast('inf' as double)) as w from m x join m y on x.complex_id = y.complex_id and x.node < y.node left join e on e.a = x.node and e.b = y.node")
+def infinite_adjacency(spark, sf_dir):
+    edges = _graph(spark, sf_dir)
+    return filtration.infinite_adjacency(edges, _members(spark, sf_dir, edges), ["complex_id"])
+
+
+@query("select x.complex_id, x.node as i, y.node as j, case when w is null then 1.0 else 0.0 end::double as d from m x join m y on x.complex_id = y.complex_id and x.node < y.node left join e on e.a = x.node and e.b = y.node")
+def binary_distances(spark, sf_dir):
+    edges = _graph(spark, sf_dir)
+    return filtration.distances(edges, _members(spark, sf_dir, edges), ["complex_id"], "binary")
+
+
+@query("select x.complex_id, x.node as i, y.node as j, round(coalesce(d, cast('inf' as double)), 6) as d from m x join m y on x.complex_id = y.complex_id and x.node < y.node left join d3 on d3.complex_id = x.complex_id and d3.i = x.node and d3.j = y.node", _shortest("w", "+"))
+def path_distances(spark, sf_dir):
+    """Shortest paths of summed weights; infinity between parts."""
+    edges = _graph(spark, sf_dir)
+    return _round(filtration.path_distances(edges, _members(spark, sf_dir, edges), ["complex_id"]), "d")
+
+
+@query("select node, degree, row_number() over (order by degree desc, node) - 1 as row_idx from deg")
+def nodes_by_degree(spark, sf_dir):
+    degree = graph.degree_strength(_graph(spark, sf_dir)).select("node", "degree")
+    return ranking.ranked(degree, [F.col("degree").desc(), F.col("node")], "row_idx")
+
+
+@query("select a, b, w from e where w >= 0.97 and a in (select node from s1) and b in (select node from s1)", "s1 as (select node from (select a as node from e where w >= 0.97 union all select b from e where w >= 0.97) group by node having count(*) = 1)")
+def isolated_strong_pairs(spark, sf_dir):
+    """Pairs that stand alone in the graph of the strongest edges; the whole network has none."""
+    return sets.isolated_pairs(_graph(spark, sf_dir).filter("w >= 0.97")).select("a", "b", "w")
+
+
+@query("select label, cluster, string_agg(cast(id as varchar), ',' order by id) as members from ({}) where cluster >= 0 group by label, cluster")
+def cluster_members(spark, sf_dir):
+    named = dbscan_points(spark, sf_dir).select(F.col("label").alias("grp"), "id", F.col("cluster").alias("label"))
+    found = cluster.cluster_members(named, ["grp"])
+    return found.select(F.col("grp").alias("label"), F.col("label").alias("cluster"), F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("members"))
+
+
+ORACLE["cluster_members"] = ORACLE["cluster_members"].replace(PREFIX, "").strip().format(ORACLE["dbscan_points"])
+
+
+@query("select 'Protein_' || i as a, 'Protein_' || j as b, round(0.7 * ('0x' || substr(md5('12|' || i || '-' || j), 1, 8))::bigint / 4294967296.0, 6) as w from (select unnest(range(1, 101)) as i) cross join (select unnest(range(1, 101)) as j) where i < j and ('0x' || substr(md5('11|' || i || '-' || j), 1, 8))::bigint / 4294967296.0 < 0.2")
+def random_graph(spark, sf_dir):
+    """A random graph, the same in every engine; it reads no table."""
+    return _round(graph.random_graph(spark, 100, 0.2, 11), "w")
+
+
 def _proteins(spark, sf_dir, edges) -> DataFrame:
     """Features with the label 'many memberships': every node of this network has some."""
     rows = features.protein_features(edges, _groups(spark, sf_dir))
