@@ -80,8 +80,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.fill_middle import fill_middle
+
+    return fill_middle(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.periodic_runs import periodic_runs, periodic_tail
+
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic_tail, digests=True)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_quality_rules, op7_near_dedup, op8_html_extract, op9_warc, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_bpe, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_quality_rules, op7_near_dedup,
+        op8_html_extract, op9_warc, op10_substring_dedup, op11_fill_middle, op12_periodic_runs, op13_license_scan,
+    )
 }
 
 ORACLE: dict[str, str] = {}
@@ -190,3 +212,49 @@ c as (select doc_id as u, doc_id as r from n union select l.v, c.r from c join l
 m as (select u, min(r) as component_id from c group by u)
 select n.doc_id, cast(n.n as bigint) as n_shingles, m.component_id, n.doc_id = m.component_id as kept from n join m on m.u = n.doc_id
 """
+
+ORACLE["op11_fill_middle"] = r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units,
+             cast(('0x' || substr(h, 1, 8)) as bigint) as h1, cast(('0x' || substr(h, 9, 8)) as bigint) as h2, cast(('0x' || substr(h, 25, 8)) as bigint) as h4 from d),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+             case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+p as (select *, coalesce(list_aggregate(list_slice(units, 1, a), 'string_agg', ''), '') as pre, coalesce(list_aggregate(list_slice(units, a + 1, b), 'string_agg', ''), '') as mid,
+             coalesce(list_aggregate(list_slice(units, b + 1, n), 'string_agg', ''), '') as suf from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(text) as restored_sha256
+from p
+"""
+
+
+def _op13_sql() -> str:
+    from topograph.llm.license_scan import NOTICES, PHRASES
+
+    known = ", ".join(f"({i}, '{label}', '{text}', {i < len(PHRASES)})" for i, (label, text) in enumerate([*PHRASES, *NOTICES]))
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+with d as (select row_number() over () as k, doc_id, {words} as words from documents),
+tw as (select template, label, phrase, {words} as words from (values {known}) as v(template, label, text, phrase)),
+tg as (select template, label, phrase, len(words) as size, i - 1 as t, list_slice(words, i, i + 2) as gram from (select *, unnest(range(1, len(words) - 1)) as i from tw)),
+g as (select k, i - 1 as p, list_slice(words, i, i + 2) as gram from (select k, words, unnest(range(1, len(words) - 1)) as i from d)),
+lines as (select k, template, label, phrase, size, p - t as diagonal, list(t) as hits from g join tg using (gram) group by all),
+held as (select *, list_distinct(flatten(list(hits) over w)) as near_hits, min(diagonal + list_min(hits)) over w as first
+         from lines window w as (partition by k, template order by diagonal range between 4 preceding and 4 following)),
+merged as (select k, template, label, diagonal, first, len(hits) as own,
+                  len(list_distinct(flatten(list_transform(near_hits, lambda x: [x, x + 1, x + 2])))) / cast(size as double) as share,
+                  phrase and len(hits) = size - 2 as base from held),
+ranked as (select *, max({{'s': share, 'o': own, 'd': -diagonal}}) over (partition by k, template order by diagonal range between 4 preceding and 4 following)
+                     = {{'s': share, 'o': own, 'd': -diagonal}} and share >= 0.8 as good from merged),
+kept as (select *, base or (good and share >= max(case when good then share end) over (partition by k order by first range between 8 preceding and 8 following)) as span from ranked),
+r as (select k, count(*) filter (where base) as n_base, min(diagonal) filter (where base) as first_word, max(diagonal) filter (where base) as last_word,
+             list_sort(list_distinct(list(label) filter (where base))) as base_labels, list_sort(list_distinct(list(label) filter (where span))) as labels,
+             max(share) filter (where span) as score from kept group by k)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+       coalesce(array_to_string(base_labels, ','), '') as base_labels, coalesce(array_to_string(labels, ','), '') as labels, coalesce(score, 0.0) as score
+from d left join r using (k)
+"""
+
+
+ORACLE["op13_license_scan"] = _op13_sql()
