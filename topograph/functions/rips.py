@@ -2,45 +2,146 @@
 
 Distances are taken as float32.  Let r be the enclosing radius, the smallest over points of the largest distance
 to any other.  From r on the complex is a cone: every class still alive dies at r, except one component.  So only
-simplices of diameter below r are built.  Columns of the boundary matrix are Python integers used as bit sets;
-dimensions are reduced from the top, so that creators already paired are never reduced themselves.
+simplices of diameter below r exist here.
+
+Pairs are found by cohomology.  Columns are coboundaries, reduced from the last simplex of a dimension to the first, so
+that a pivot is the first cofacet of its column.  A simplex is a number: the rank of its diameter, then its vertices as
+digits to the base n; numbers are in order of (diameter, vertices).  Cofacets are never stored: they follow from the
+vertices and the matrix of ranks, for many simplices at once.  Most columns need no reduction:
+- simplices that destroy a class of the dimension below create none (clearing);
+- a simplex whose first cofacet has it as its last facet is paired with that cofacet (apparent pairs); such a pair
+  has length zero, and its column is made again only where another column meets its pivot.
+What is left is reduced with the columns as sorted arrays of numbers.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 
 Bar = tuple[int, float, float]
+Pair = tuple[int, float, float, tuple[int, ...], tuple[int, ...] | None]
+#: Cells of a block of simplices by vertices: bounds working memory.
+BLOCK_CELLS = 1 << 21
+_NONE = np.iinfo(np.int64).max
 
 
 def enclosing_radius(d: np.ndarray) -> np.float32:
     return d.max(axis=1).min()
 
 
-def _simplices(d: np.ndarray, limit: float, top: int) -> list[list[tuple[float, tuple[int, ...]]]]:
-    """Simplices of diameter below limit by dimension 0..top, each sorted by (diameter, vertices)."""
-    n = len(d)
-    later = [[j for j in range(i + 1, n) if d[i, j] < limit] for i in range(n)]
-    out: list[list[tuple[float, tuple[int, ...]]]] = [[(0.0, (i,)) for i in range(n)]]
-    level = [((i,), 0.0, later[i]) for i in range(n)]
-    rows = d.tolist()
-    for _ in range(top):
-        grown = []
-        for vertices, diameter, options in level:
-            for v in options:
-                row = rows[v]
-                own = max(diameter, *[row[u] for u in vertices])
-                ahead = set(later[v])
-                grown.append(((*vertices, v), own, [u for u in options if u in ahead]))
-        out.append(sorted((diam, vert) for vert, diam, _ in grown))
-        level = grown
-    return out
+class _Complex:
+    """The simplices of diameter below r of a distance matrix, by their numbers."""
+
+    def __init__(self, d: np.ndarray, r: float, top: int):
+        n = self.n = len(d)
+        off = ~np.eye(n, dtype=bool)
+        within = off & (d < r)
+        self.values = np.concatenate([np.zeros(1, d.dtype), np.unique(d[within])])
+        if (len(self.values) + 1) * n ** (top + 2) >= 1 << 63:
+            raise ValueError(f"{n} points are too many for simplices of dimension {top + 1}: bound their number first")
+        self.far = len(self.values)
+        self.rank = np.where(within, np.searchsorted(self.values[1:], d) + 1, self.far).astype(np.int64)
+        self.place = np.arange(n)
+
+    def power(self, k: int) -> int:
+        return self.n**k
+
+    def blocks(self, count: int) -> list[tuple[int, int]]:
+        step = max(1, BLOCK_CELLS // max(self.n, 1))
+        return [(i, min(i + step, count)) for i in range(0, count, step)]
+
+    def vertices(self, keys: np.ndarray, size: int) -> np.ndarray:
+        digits = keys % self.power(size)
+        return np.stack([digits // self.power(size - 1 - i) % self.n for i in range(size)], axis=1)
+
+    def ranks(self, keys: np.ndarray, size: int) -> np.ndarray:
+        return keys // self.power(size)
 
+    def _number(self, vertices: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vertices), np.int64)
+        for column in vertices.T:
+            out = out * self.n + column
+        return out
 
-def _components(n: int, edges: list[tuple[float, tuple[int, ...]]]) -> tuple[list[tuple[float, int]], list[bool]]:
-    """Deaths of components with the edge that causes each, and which edges join components."""
+    def edges(self) -> np.ndarray:
+        a, b = np.nonzero(np.triu(self.rank < self.far, 1))
+        return np.sort(self.rank[a, b] * self.power(2) + a * self.n + b)
+
+    def _reach(self, vertices: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """The rank of each simplex with each further vertex; far where that isn't a simplex."""
+        out = np.maximum(self.rank[vertices[:, 0]], ranks[:, None])
+        for column in vertices.T[1:]:
+            np.maximum(out, self.rank[column], out=out)
+        return out
+
+    def grown(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """All simplices of one vertex more than these, which are all of their size."""
+        out = [np.zeros(0, np.int64)]
+        for i, j in self.blocks(len(keys)):
+            vertices = self.vertices(keys[i:j], size)
+            reach = self._reach(vertices, self.ranks(keys[i:j], size))
+            row, w = np.nonzero((reach < self.far) & (self.place > vertices[:, -1:]))
+            out.append(reach[row, w] * self.power(size + 1) + self._number(vertices)[row] * self.n + w)
+        return np.sort(np.concatenate(out))
+
+    def cofacets(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """Numbers of the cofacets of some simplices, a column per further vertex."""
+        vertices = self.vertices(keys, size)
+        reach = self._reach(vertices, self.ranks(keys, size))
+        low = np.zeros((len(keys), size + 1), np.int64)  # digits before the new vertex, then after it, by its position
+        for p in range(size + 1):
+            for i in range(size):
+                low[:, p] += vertices[:, i] * self.power(size - i if i < p else size - 1 - i)
+        position = (vertices[:, :, None] < self.place).sum(axis=1)
+        weights = np.array([self.power(size - p) for p in range(size + 1)], np.int64)
+        number = np.take_along_axis(low, position, axis=1) + self.place * weights[position]
+        return np.where(reach < self.far, reach * self.power(size + 1) + number, _NONE)
+
+    def last_facet(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """Of each simplex, the number of its last facet."""
+        vertices, out = self.vertices(keys, size), None
+        for gone in range(size):
+            rest = np.delete(vertices, gone, axis=1)
+            rank = np.zeros(len(keys), np.int64)
+            for i in range(size - 1):
+                for j in range(i + 1, size - 1):
+                    np.maximum(rank, self.rank[rest[:, i], rest[:, j]], out=rank)
+            number = rank * self.power(size - 1) + self._number(rest)
+            out = number if out is None else np.maximum(out, number)
+        return out
+
+    def apparent(self, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which simplices are in an apparent pair, and their first cofacets."""
+        paired, first = np.zeros(len(keys), bool), np.full(len(keys), _NONE, np.int64)
+        for i, j in self.blocks(len(keys)):
+            own = self.cofacets(keys[i:j], size).min(axis=1)
+            first[i:j] = own
+            some = np.flatnonzero(own < _NONE)
+            paired[i + some] = self.last_facet(own[some], size + 1) == keys[i + some]
+        return paired, first
+
+    def column(self, key: int, size: int) -> np.ndarray:
+        """cofacets() of one simplex, sorted, without what isn't a simplex."""
+        rank, rest = divmod(key, self.power(size))
+        vertices = [rest // self.power(size - 1 - i) % self.n for i in range(size)]
+        reach = np.maximum(self.rank[vertices[0]], rank)
+        for v in vertices[1:]:
+            np.maximum(reach, self.rank[v], out=reach)
+        number = reach * self.power(size + 1)
+        before, cuts = 0, [0, *vertices, self.n]
+        for p in range(size + 1):  # the new vertex at position p
+            after = rest % self.power(size - p)
+            part = number[cuts[p] : cuts[p + 1]]
+            part += self.place[cuts[p] : cuts[p + 1]] * self.power(size - p)
+            part += before * self.n + after
+            before += rest // self.power(size - 1 - p) % self.n * self.power(size - 1 - p) if p < size else 0
+        own = number[reach < self.far]
+        own.sort()
+        return own
+
+
+def _joining(n: int, edges: np.ndarray, vertices: np.ndarray) -> np.ndarray:
+    """Which edges, in their order, join two components."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -49,84 +150,122 @@ def _components(n: int, edges: list[tuple[float, tuple[int, ...]]]) -> tuple[lis
             x = parent[x]
         return x
 
-    deaths, joins = [], []
-    for k, (t, (a, b)) in enumerate(edges):
+    joins, left = np.zeros(len(edges), bool), n - 1
+    for k, (a, b) in enumerate(vertices.tolist()):
         x, y = root(a), root(b)
-        joins.append(x != y)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            deaths.append((t, k))
-    return deaths, joins
+            joins[k] = True
+            left -= 1
+            if not left:
+                break
+    return joins
 
 
-def persistence_pairs(matrix: np.ndarray, maxdim: int = 2) -> list[tuple[int, float, float, tuple[int, ...], tuple[int, ...] | None]]:
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What is in one of two sorted arrays and not in the other."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    single = np.ones(len(both), bool)
+    same = both[1:] == both[:-1]
+    single[1:] &= ~same
+    single[:-1] &= ~same
+    return both[single]
+
+
+class _Column:
+    """A sum of sorted arrays that are added up only as far as its first entry needs: parts of falling sizes, merged when close in size."""
+
+    #: A part is at least this many times as long as the next one.
+    RATIO = 4
+
+    def __init__(self, first: np.ndarray):
+        self.parts = [first]
+        self.at = [0]
+
+    def add(self, other: np.ndarray) -> None:
+        while self.parts and (len(self.parts[-1]) - self.at[-1]) < self.RATIO * len(other):
+            other = _sum(self.parts.pop()[self.at.pop() :], other)
+        if len(other):
+            self.parts.append(other)
+            self.at.append(0)
+
+    def pivot(self) -> int:
+        """The first entry, _NONE if there is none; entries that cancel are gone afterwards."""
+        while True:
+            heads = [int(part[at]) if at < len(part) else _NONE for part, at in zip(self.parts, self.at)]
+            least = min(heads, default=_NONE)
+            if least == _NONE or heads.count(least) % 2:
+                return least
+            for i, head in enumerate(heads):
+                self.at[i] += head == least
+
+    def whole(self) -> np.ndarray:
+        out = np.zeros(0, np.int64)
+        while self.parts:
+            out = _sum(out, self.parts.pop()[self.at.pop() :])
+        return out
+
+
+def _reduced(own: _Complex, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (creator, destroyer) of some simplices that aren't cleared, those never destroyed, and all destroyers."""
+    paired, first = own.apparent(keys, size)
+    order = np.argsort(first[paired])
+    pivots, creators = first[paired][order], keys[paired][order]
+    rest, starts = keys[~paired][::-1], first[~paired][::-1]
+    reduced: dict[int, np.ndarray | int] = {}  # a column, or the simplex whose coboundary it is
+    pairs, alive = [], []
+    for key, pivot in zip(rest.tolist(), starts.tolist()):
+        column = None
+        while pivot != _NONE:
+            other = reduced.get(pivot)
+            if other is None:
+                at = int(np.searchsorted(pivots, pivot))
+                if at == len(pivots) or pivots[at] != pivot:
+                    reduced[pivot] = key if column is None else column.whole()
+                    pairs.append((key, pivot))
+                    break
+                other = int(creators[at])
+            column = column or _Column(own.column(key, size))
+            column.add(own.column(other, size) if isinstance(other, int) else other)
+            pivot = column.pivot()
+        if pivot == _NONE:
+            alive.append(key)
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1], np.array(alive, np.int64), np.sort(np.concatenate([pivots, found[:, 1]]))
+
+
+def persistence_pairs(matrix: np.ndarray, maxdim: int = 2) -> list[Pair]:
     """(dim, birth, death, creator, destroyer) with positive length; the destroyer is None for bars that end at the enclosing radius or never."""
     d = np.asarray(matrix, np.float32)
     n = len(d)
     if not n:
         return []
     r = float(enclosing_radius(d)) if n > 1 else 0.0
-    levels = _simplices(d, r, maxdim + 1)
-    edges = levels[1] if len(levels) > 1 else []
-    deaths, joins = _components(n, edges)
-    out: list[tuple[int, float, float, tuple[int, ...], tuple[int, ...] | None]] = [(0, 0.0, t, (), edges[k][1]) for t, k in deaths if t > 0]
-    alive = n - len(deaths)
-    out += [(0, 0.0, r, (), None)] * ((alive - 1) if r > 0 else 0) + [(0, 0.0, float("inf"), (), None)]
-
-    index = [{vertices: k for k, (_, vertices) in enumerate(level)} for level in levels]
-    creators: set[int] = set()  # simplices of the current dimension paired as creators from above
-    for dim in range(maxdim, 0, -1):
-        table: dict[int, int] = {}  # lowest row -> reduced column
-        by: dict[int, int] = {}
-        rows, position = levels[dim], index[dim]
-        for k, (_, vertices) in enumerate(levels[dim + 1]):
-            if k in creators:
-                continue
-            column = 0
-            for face in combinations(vertices, dim + 1):
-                column ^= 1 << position[face]
-            while column:
-                low = column.bit_length() - 1
-                other = table.get(low)
-                if other is None:
-                    table[low] = column
-                    by[low] = k
-                    break
-                column ^= other
-        creators = set(table)
-        negative = {k for k, join in enumerate(joins) if join} if dim == 1 else None
-        for low, k in by.items():
-            birth, death = rows[low][0], levels[dim + 1][k][0]
-            if death > birth:
-                out.append((dim, birth, death, rows[low][1], levels[dim + 1][k][1]))
-        essential = _unpaired(levels, index, dim, creators, negative)
-        out += [(dim, rows[k][0], r, rows[k][1], None) for k in essential if r > rows[k][0]]
+    own = _Complex(d, r, max(maxdim, 0))
+    keys = own.edges()
+    ends = own.vertices(keys, 2)
+    joins = _joining(n, keys, ends)
+    value = lambda ks, size: own.values[own.ranks(ks, size)].astype(float).tolist()
+    names = lambda ks, size: list(map(tuple, own.vertices(ks, size).tolist()))
+    out: list[Pair] = [(0, 0.0, t, (), edge) for t, edge in zip(value(keys[joins], 2), map(tuple, ends[joins].tolist())) if t > 0]
+    apart = n - int(joins.sum()) - 1
+    out += [(0, 0.0, r, (), None)] * (apart if r > 0 else 0) + [(0, 0.0, float("inf"), (), None)]
+    cleared = keys[joins]
+    for dim in range(1, maxdim + 1):
+        size = dim + 1
+        if dim > 1:
+            keys = own.grown(keys, size - 1)
+        if not len(keys):
+            break
+        creators, destroyers, alive, cleared = _reduced(own, keys[~np.isin(keys, cleared, assume_unique=True)], size)
+        long = own.ranks(creators, size) < own.ranks(destroyers, size + 1)
+        creators, destroyers = creators[long], destroyers[long]
+        out += [(dim, *row) for row in zip(value(creators, size), value(destroyers, size + 1), names(creators, size), names(destroyers, size + 1))]
+        out += [(dim, birth, r, simplex, None) for birth, simplex in zip(value(alive, size), names(alive, size))]
     return out
 
 
-def _unpaired(levels, index, dim: int, creators: set[int], negative: set[int] | None) -> list[int]:
-    """Creators of a dimension that nothing below the radius destroys: cycles that are not lows."""
-    if negative is not None:
-        return [k for k in range(len(levels[dim])) if k not in creators and k not in negative]
-    table: dict[int, int] = {}
-    position, found = index[dim - 1], []
-    for k, (_, vertices) in enumerate(levels[dim]):
-        if k in creators:
-            continue
-        column = 0
-        for face in combinations(vertices, dim):
-            column ^= 1 << position[face]
-        while column:
-            low = column.bit_length() - 1
-            if low not in table:
-                table[low] = column
-                break
-            column ^= table[low]
-        if not column:
-            found.append(k)
-    return found
-
-
 def rips_bars(matrix: np.ndarray, maxdim: int = 2) -> list[Bar]:
     """(dim, birth, death): bars of positive length; one component never dies."""
     return [(dim, float(b), float(e)) for dim, b, e, _, _ in persistence_pairs(matrix, maxdim)]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from topograph.functions.lineage import cut_lineage
 from topograph.operators import cluster, components, features, filtration, graph, homology, neighborhood, ranking, sampling, sets
-from topograph.plans import experiments
-from topograph.schema import PROTEIN_FEATURES, DecisionConfig, ExplorationConfig, Splits, SweepConfig
+from topograph.plans import experiments, homology_sql
+from topograph.schema import PH_COLUMNS, PROTEIN_FEATURES, DecisionConfig, ExplorationConfig, Splits, SweepConfig
 from topograph.sources import star_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,11 +68,11 @@ H0 = (
 )
 
 
-def query(sql: str | None = None, extra: str = "") -> Callable[[Query], Query]:
+def query(sql: str | None = None, *extra: str, recursive: bool = False) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = f"{PREFIX}{', ' + extra if extra else ''}\n{sql}"
+            ORACLE[f.__name__] = ",\n".join([PREFIX.replace("with l as", "with recursive l as", 1) if recursive else PREFIX, *extra]) + f"\n{sql}"
         return f
 
     return register
@@ -300,21 +300,17 @@ def corr_distance_stats(spark, sf_dir):
     return _round(_round(out, "distance_mean"), "distance_std", digits=5)
 
 
-def _capped(d: str) -> str:
-    return (
-        f"select complex_id, x.node as i, y.node as j, round(cast(coalesce({d}, cap) as double), 6) as d from m x join m y using (complex_id) "
-        "left join (select complex_id, i as node, j as other, d from d3) s on s.complex_id = x.complex_id and s.node = x.node and s.other = y.node "
-        "join (select m.complex_id, coalesce(max(d) filter (where i <> j) + 1, 1) as cap from (select distinct complex_id from m) m left join d3 using (complex_id) group by m.complex_id) c on c.complex_id = x.complex_id where x.node < y.node"
-    ).replace("m x join m y using (complex_id)", "m x join m y on x.complex_id = y.complex_id").replace("select complex_id, x.node", "select x.complex_id, x.node", 1)
+PAIRS = "select complex_id, i, j, round(d, 6) as d from pd"
+WEIGHTED = _shortest("greatest(1e-6, 1.0 - w)", "+")
 
 
-@query(_capped("s.d"), _shortest("1", "+"))
+@query(PAIRS, _shortest("1", "+"), homology_sql.pair_distances())
 def hop_distances(spark, sf_dir):
     edges = _graph(spark, sf_dir)
     return _round(filtration.distances(edges, _members(spark, sf_dir, edges), ["complex_id"], "hop_distance"), "d")
 
 
-@query(_capped("s.d"), _shortest("greatest(1e-6, 1.0 - w)", "+"))
+@query(PAIRS, WEIGHTED, homology_sql.pair_distances())
 def weighted_shortest_paths(spark, sf_dir):
     edges = _graph(spark, sf_dir)
     return _round(filtration.distances(edges, _members(spark, sf_dir, edges), ["complex_id"], "weighted_shortest_path"), "d")
@@ -501,20 +497,33 @@ def h0_bars(spark, sf_dir):
     return _round(_bars(spark, sf_dir), "death")
 
 
-@query()
+@query("select complex_id, dim, round(birth, 6) as birth, round(death, 6) as death from fb where dim > 0", WEIGHTED, homology_sql.pair_distances(), homology_sql.BARS, recursive=True)
 def h1_h2_bars(spark, sf_dir):
-    return _bars(spark, sf_dir, 2, "weighted_shortest_path").filter("dim > 0")
+    return _round(_bars(spark, sf_dir, 2, "weighted_shortest_path").filter("dim > 0"), "birth", "death")
 
 
-@query()
+def _rounded_summary(df: DataFrame) -> DataFrame:
+    """Digits that don't depend on the order of sums."""
+    away = {c: F.col(c) + 1e-9 for c in ("distance_matrix_mean", "distance_matrix_std")}
+    fine = [c for c in PH_COLUMNS if not c.endswith(("count", "landscape_l1"))]
+    return _round(_round(df.withColumns(away), *away, *fine, digits=5), "ph_dim1_landscape_l1", digits=4)
+
+
+@query("select ps.*, num_nodes, num_edges, distance_matrix_mean, distance_matrix_std from ps join dm using (complex_id)", WEIGHTED, homology_sql.pair_distances(), homology_sql.BARS, homology_sql.SUMMARY, recursive=True)
 def ph_summary(spark, sf_dir):
     edges = _graph(spark, sf_dir)
-    return features.graph_ph_summary(edges, _members(spark, sf_dir, edges), ["complex_id"], "weighted_shortest_path")
+    return _rounded_summary(features.graph_ph_summary(edges, _members(spark, sf_dir, edges), ["complex_id"], "weighted_shortest_path"))
 
 
-@query()
+@query(
+    """select ps.*, dm.num_nodes, dm.num_edges, distance_matrix_mean, distance_matrix_std, sb.num_nodes as full_num_nodes, sb.num_edges as full_num_edges, round(sb.density, 6) as density, round(mean_degree, 6) as mean_degree,
+  round(mean_strength, 6) as mean_strength, round(mean_clustering, 6) as mean_clustering, parts as num_connected_components, dm.num_nodes as ph_num_nodes_used, 'real_complex_' || complex_id as subgraph_id, 'real_complex' as source, 1 as label
+  from ps join dm using (complex_id) join sb using (complex_id) join (select complex_id, count(distinct root) as parts from (select complex_id, i, min(j) as root from d3 group by complex_id, i) group by complex_id) using (complex_id) where dm.num_nodes >= 3""",
+    SUB, _shortest("1", "+"), homology_sql.CORRELATION, homology_sql.BARS, homology_sql.SUMMARY, recursive=True,
+)
 def subgraph_feature_table(spark, sf_dir):
-    return features.complex_features(_graph(spark, sf_dir), _groups(spark, sf_dir), "real_complex", cap=60)
+    rows = _rounded_summary(features.complex_features(_graph(spark, sf_dir), _groups(spark, sf_dir), "real_complex", cap=60))
+    return _round(rows, "density", "mean_degree", "mean_strength", "mean_clustering")
 
 
 @query("select complex_id, round(sum(v), 4) as landscape_l1, round(max(v), 6) as landscape_max from ls where level <= 5 group by complex_id", H0 + """,
@@ -600,12 +609,12 @@ def point_cloud_h1(spark, sf_dir):
     return homology.point_cloud_bars(star_schema.table(spark, sf_dir, "embeddings"), ["label"], "embedding", 1)
 
 
-@query()
+@query("select complex_id, dim, birth, death from sk", homology_sql.SKELETON, recursive=True)
 def skeleton_bars(spark, sf_dir):
     return homology.skeleton_persistence(_inside(spark, sf_dir), ["complex_id"])
 
 
-@query()
+@query("select complex_id, dim, round(birth, 6) as birth, round(death, 6) as death, creator, destroyer from fb where dim <= 1", _shortest("1", "+"), homology_sql.pair_distances(), homology_sql.BARS, recursive=True)
 def persistence_pairs(spark, sf_dir):
     edges = _graph(spark, sf_dir)
     return homology.subgraph_pairs(edges, _members(spark, sf_dir, edges), ["complex_id"], "hop_distance", 1).select("complex_id", "dim", "birth", "death", F.array_join("creator", ",").alias("creator"), F.array_join("destroyer", ",").alias("destroyer"))
