@@ -1,4 +1,4 @@
-"""Connected components of many graphs at once, by minimum labels with pointer jumping."""
+"""Connected components of many graphs at once, by contraction to stars."""
 
 from __future__ import annotations
 
@@ -8,42 +8,47 @@ from pyspark.sql import functions as F
 from topograph.functions.lineage import cut_lineage
 
 
-def min_label(links: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
-    """links: group, id, other (both directions); nodes: group, id. A row (group, id, root), root the smallest id of its component."""
-    links = cut_lineage(links.filter("id <> other"))
-    labels = nodes.select(*group, "id").withColumn("root", F.col("id")).checkpoint()
-    while True:
-        near = links.join(labels.withColumnRenamed("id", "other"), [*group, "other"]).groupBy(*group, "id").agg(F.min("root").alias("near"))
-        lower = labels.join(near, [*group, "id"], "left").select(*group, "id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = labels.select(*group, F.col("id").alias("root"), F.col("root").alias("up"))
-        now = lower.join(up, [*group, "root"], "left").select(*group, "id", "old", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        labels = now.drop("old")
-        if now.filter("root <> old").isEmpty():
-            return labels
+def _large_star(links: DataFrame, group: list[str]) -> DataFrame:
+    """Each node hangs its larger neighbours on the least of itself and its neighbours."""
+    both = links.select(*group, F.col("id").alias("u"), F.col("root").alias("v")).union(links.select(*group, F.col("root").alias("u"), F.col("id").alias("v")))
+    least = both.groupBy(*group, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    larger = both.filter(F.col("v") > F.col("u")).join(least, [*group, "u"])
+    return larger.select(*group, F.col("v").alias("id"), F.col("m").alias("root")).distinct()
 
 
-def subgraph_components(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
-    """Components of each group's induced subgraph: group, n_components. Groups are bounded; each is walked in one task."""
-    import pandas as pd
+def _small_star(links: DataFrame, group: list[str]) -> DataFrame:
+    """Each node hangs itself and its smaller neighbours on the least of them."""
+    least = links.groupBy(*group, "id").agg(F.min("root").alias("m"))
+    hung = links.join(least, [*group, "id"]).select(*group, F.col("root").alias("id"), F.col("m").alias("root"))
+    return hung.union(least.select(*group, "id", F.col("m").alias("root"))).filter("id <> root").distinct()
 
-    from topograph.functions.grouped import map_groups
-    from topograph.operators.filtration import with_members
 
-    rows = with_members(edges, members, group)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+def components(links: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """links: group, id, other; nodes: group, id. A row (group, id, root), root the smallest id of its component.
 
-    def run(key: tuple, part: pd.DataFrame):
-        parent = {n: n for n, edge in zip(part["a"], part["is_edge"]) if not edge}
+    Links are rehung in turns, on the least neighbour of both ends (large star) and of the smaller end (small star),
+    until all of a component hang on its smallest id; their number never grows, and a path shrinks to a fraction in each turn, so
+    rounds grow with the logarithm of a component's size, not with its diameter. Sums of a node are combined before the shuffle,
+    and a node with a third of all links is only ever joined to one row.
+    """
+    spark_links = links.filter("id <> other").select(*group, F.greatest("id", "other").alias("id"), F.least("id", "other").alias("root")).distinct()
+    now = cut_lineage(spark_links)
+    while True:
+        turned = cut_lineage(_small_star(_large_star(now, group), group))
+        # hung: all ids hang on one root, which hangs on none
+        stars = turned.groupBy(*group, "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+        if stars and turned.join(turned.select(*group, F.col("id").alias("root")), [*group, "root"], "left_semi").isEmpty():
+            break
+        now = turned
+    hung = turned.select(*group, "id", "root")
+    return nodes.select(*group, "id").join(hung, [*group, "id"], "left").select(*group, "id", F.coalesce("root", "id").alias("root"))
 
-        def root(x: str) -> str:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
 
-        for a, b, edge in zip(part["a"], part["b"], part["is_edge"]):
-            if edge:
-                parent[root(a)] = root(b)
-        yield (*key, len({root(n) for n in parent}))
+def subgraph_components(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
+    """Components of each group's induced subgraph: group, n_components."""
+    from topograph.operators.graph import induced_edges
 
-    return map_groups(rows, group, run, ", ".join([*(f"{g} {types[g]}" for g in group), "n_components long"]))
+    nodes = members.select(*group, F.col("node").alias("id")).distinct()
+    links = induced_edges(edges, members, group).select(*group, F.col("a").alias("id"), F.col("b").alias("other"))
+    found = components(links, nodes, group)
+    return found.groupBy(*group).agg(F.count_if(F.col("id") == F.col("root")).alias("n_components"))

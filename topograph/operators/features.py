@@ -9,7 +9,7 @@ from topograph.functions.lineage import cut_lineage
 from topograph.operators.components import subgraph_components
 from topograph.operators.graph import degree_strength, density, induced_edges, node_features, node_set
 from topograph.operators.homology import diagram_summary, sample_for_ph, subgraph_bars
-from topograph.operators.filtration import distances
+from topograph.operators.filtration import distance_sums
 from topograph.operators.ranking import ratio
 from topograph.operators.sets import coverage, members_in_graph, membership_counts
 from topograph.schema import PH_COLUMNS
@@ -61,7 +61,7 @@ def graph_ph_summary(edges: DataFrame, members: DataFrame, group: list[str], fil
     summary = diagram_summary(bars, group, members)
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     inside = induced_edges(edges, members.select(*group, "node"), group).groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
-    d = distances(edges, members, group, filtration).groupBy(*group).agg(F.sum(2 * F.col("d")).alias("s1"), F.sum(2 * F.col("d") * F.col("d")).alias("s2"))
+    d = distance_sums(edges, members, group, filtration)
     cells = F.col("n").cast("double") * F.col("n")
     mean = F.coalesce(F.col("s1"), F.lit(0.0)) / cells
     spread = F.sqrt(F.greatest(F.coalesce(F.col("s2"), F.lit(0.0)) / cells - mean * mean, F.lit(0.0)))

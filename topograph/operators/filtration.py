@@ -103,6 +103,21 @@ def distances(edges: DataFrame, members: DataFrame, group: list[str], filtration
     return map_groups(rows, group, run, ", ".join([f"{g} {types[g]}" for g in group] + ["i string, j string, d double"]), order=["is_edge", "pos", "a"])
 
 
+def distance_sums(edges: DataFrame, members: DataFrame, group: list[str], filtration: str) -> DataFrame:
+    """group, s1, s2: the sums of all distances of bounded subgraphs and of their squares, both directions."""
+    from topograph.functions.grouped import map_groups
+
+    check_filtration(filtration)
+    rows = with_members(edges, members, group)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(key: tuple, part: pd.DataFrame):
+        d = subgraph_matrix(part, filtration)[1]
+        yield (*key, float(d.sum()), float((d * d).sum()))
+
+    return map_groups(rows, group, run, ", ".join([*(f"{g} {types[g]}" for g in group), "s1 double, s2 double"]), order=["is_edge", "pos", "a"])
+
+
 def infinite_adjacency(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
     """Cells (group, a, b, w), a < b, of the adjacency of bounded subgraphs, with infinity where there is no edge."""
     from topograph.operators.graph import induced_edges

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topograph.functions.lineage import cut_lineage
 from topograph.operators import cluster, components, features, filtration, graph, homology, neighborhood, ranking, sampling, sets
@@ -363,10 +364,13 @@ def _expansion_sql(cap: int) -> str:
     return ",\n".join(parts)
 
 
-@query("select seed, node, rank from c3", _expansion_sql(4))
+EXPANSION = max(SweepConfig().neighborhood_caps)
+
+
+@query(f"select seed, node, rank from c{EXPANSION - 1}", _expansion_sql(EXPANSION))
 def seed_expansion(spark, sf_dir):
     edges = _graph(spark, sf_dir)
-    return neighborhood.seed_expansion(edges, _seeds(edges), 4)
+    return neighborhood.seed_expansion(edges, _seeds(edges), EXPANSION)
 
 
 def _md5(seed: int, key: str) -> str:
@@ -561,34 +565,35 @@ def persistence_image(spark, sf_dir):
 
 
 def _points(spark, sf_dir) -> DataFrame:
-    rows = star_schema.table(spark, sf_dir, "embeddings")
-    return rows.select("label", F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    """All bars of the weight-filtered groups as points (birth, death), infinite deaths at 1; a diagram for each dimension."""
+    bars = homology.cap_infinite(homology.skeleton_persistence(_inside(spark, sf_dir), ["complex_id"]))
+    number = F.row_number().over(Window.partitionBy("complex_id", "dim").orderBy("birth", "death"))
+    return cut_lineage(bars.select("dim", (F.col("complex_id") * 1000 + number).alias("id"), F.col("birth").alias("x"), F.col("death").alias("y")))
 
 
-POINTS = "pt as (select label, vec_id as id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings), pr as (select p.label, p.id, q.id as other, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) as d from pt p join pt q on p.label = q.label)"
+POINTS = homology_sql.SKELETON + """,
+pt as materialized (select dim, complex_id * 1000 + row_number() over (partition by complex_id, dim order by birth, death) as id, birth as x, least(death, 1.0) as y from sk),
+pl as materialized (select dim, x, y, count(*) as n, min(id) as first from pt group by dim, x, y),
+pr as materialized (select p.dim, p.first, p.x, p.y, q.first as other, q.n, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) as d from pl p join pl q on p.dim = q.dim)"""
 
 
-@query("select label, id, round(d, 6) as kth_distance from (select *, row_number() over (partition by label, id order by d, other) as k from pr) where k = 4", POINTS)
+@query("select pt.dim, id, round(kd, 6) as kth_distance from pt join (select dim, first, x, y, min(d) as kd from (select *, sum(n) over (partition by dim, first order by d) as upto from pr) where upto > 3 group by dim, first, x, y) using (dim, x, y)", POINTS, recursive=True)
 def knn_distance(spark, sf_dir):
-    return _round(cluster.knn_distance(_points(spark, sf_dir), ["label"]), "kth_distance")
+    return _round(cluster.knn_distance(_points(spark, sf_dir), ["dim"]), "kth_distance")
 
 
-EPS = 0.05
+EPS = 0.0065
+CLUSTERS = f"""core as materialized (select dim, first from pr where d <= {EPS} group by dim, first having sum(n) >= 5),
+lk as materialized (select pr.dim, pr.first, pr.other from pr semi join core c on c.dim = pr.dim and c.first = pr.first semi join core f on f.dim = pr.dim and f.first = pr.other where d <= {EPS}),
+near as (select dim, first, first as r from core union select lk.dim, lk.other, near.r from near join lk on lk.dim = near.dim and lk.first = near.first where near.r < lk.other),
+lab as (select dim, first, dense_rank() over (partition by dim order by root) - 1 as cluster from (select dim, first, min(r) as root from near group by dim, first)),
+bd as (select pr.dim, pr.first, min(lab.cluster) as cluster from pr join lab on lab.dim = pr.dim and lab.first = pr.other where d <= {EPS} group by pr.dim, pr.first),
+db as (select pt.dim, pt.id, coalesce(lab.cluster, bd.cluster, -1) as cluster from pt join pl using (dim, x, y) left join lab on lab.dim = pl.dim and lab.first = pl.first left join bd on bd.dim = pl.dim and bd.first = pl.first)"""
 
 
-@query(
-    "select pt.label, pt.id, coalesce(o.cluster, b.cluster, -1) as cluster from pt left join lab o on o.label = pt.label and o.id = pt.id left join (select pr.label, pr.id, min(lab.cluster) as cluster from pr join lab on lab.label = pr.label and lab.id = pr.other where d <= %s group by pr.label, pr.id) b on b.label = pt.label and b.id = pt.id" % EPS,
-    POINTS + f""", core as (select label, id from pr where d <= {EPS} group by label, id having count(*) >= 5),
-lk as (select pr.label, pr.id, pr.other from pr join core c on c.label = pr.label and c.id = pr.id join core f on f.label = pr.label and f.id = pr.other where d <= {EPS}),
-rt as (select label, id, min(r) as root from (select * from reach) group by label, id),
-lab as (select rt.label, id, dense_rank() over (partition by rt.label order by root) - 1 as cluster from rt)""",
-)
+@query("select * from db", POINTS, CLUSTERS, recursive=True)
 def dbscan_points(spark, sf_dir):
-    points = _points(spark, sf_dir).withColumnRenamed("label", "grp")
-    return cluster.dbscan(points, ["grp"], EPS).select(F.col("grp").alias("label"), "id", F.col("label").cast("long").alias("cluster"))
-
-
-ORACLE["dbscan_points"] = ORACLE["dbscan_points"].replace("with l as", "with recursive l as", 1).replace("rt as (", "reach as (select label, id, id as r from core union select lk.label, lk.other, reach.r from reach join lk on lk.label = reach.label and lk.id = reach.id where reach.r < lk.other),\nrt as (", 1)
+    return cluster.dbscan(_points(spark, sf_dir), ["dim"], EPS).select("dim", "id", F.col("label").cast("long").alias("cluster"))
 
 
 @query(
@@ -669,14 +674,12 @@ def isolated_strong_pairs(spark, sf_dir):
     return sets.isolated_pairs(_graph(spark, sf_dir).filter("w >= 0.97")).select("a", "b", "w")
 
 
-@query("select label, cluster, string_agg(cast(id as varchar), ',' order by id) as members from ({}) where cluster >= 0 group by label, cluster")
+@query("select dim, cluster, count(*) as n, md5(string_agg(cast(id as varchar), ',' order by id)) as members_md5 from db where cluster >= 0 group by dim, cluster", POINTS, CLUSTERS, recursive=True)
 def cluster_members(spark, sf_dir):
-    named = dbscan_points(spark, sf_dir).select(F.col("label").alias("grp"), "id", F.col("cluster").alias("label"))
-    found = cluster.cluster_members(named, ["grp"])
-    return found.select(F.col("grp").alias("label"), F.col("label").alias("cluster"), F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("members"))
-
-
-ORACLE["cluster_members"] = ORACLE["cluster_members"].replace(PREFIX, "").strip().format(ORACLE["dbscan_points"])
+    named = dbscan_points(spark, sf_dir).withColumnRenamed("cluster", "label")
+    found = cluster.cluster_members(named, ["dim"])
+    listed = F.array_join(F.transform("members", lambda i: i.cast("string")), ",")
+    return found.select("dim", F.col("label").alias("cluster"), F.size("members").cast("long").alias("n"), F.md5(listed).alias("members_md5"))
 
 
 @query("select 'Protein_' || i as a, 'Protein_' || j as b, round(0.7 * ('0x' || substr(md5('12|' || i || '-' || j), 1, 8))::bigint / 4294967296.0, 6) as w from (select unnest(range(1, 101)) as i) cross join (select unnest(range(1, 101)) as j) where i < j and ('0x' || substr(md5('11|' || i || '-' || j), 1, 8))::bigint / 4294967296.0 < 0.2")
