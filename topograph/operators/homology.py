@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,7 +19,7 @@ from topograph.functions.grouped import map_groups
 from topograph.functions.lineage import cut_lineage
 from topograph.functions.rips import persistence_pairs, rips_bars, skeleton_bars
 from topograph.operators.filtration import check_filtration, subgraph_matrix, with_members
-from topograph.operators.graph import induced_edges, triangles
+from topograph.operators.graph import induced_edges
 from topograph.schema import PH_COLUMNS
 
 INF = float("inf")
@@ -133,28 +133,44 @@ def skeleton_persistence(edges: DataFrame, group: list[str]) -> DataFrame:
     return map_groups(rows, group, run, f"{_keys(rows, group)}, dim int, birth double, death double")
 
 
-def simplex_counts(edges: DataFrame, group: list[str], members: DataFrame) -> DataFrame:
-    """Vertices, edges, triangles and tetrahedra of each group's clique complex, and its Euler characteristic, by joins."""
-    tri = cut_lineage(triangles(edges, group)).select(*group, F.sort_array(F.array("x", "y", "z")).alias("t")).select(*group, *[F.col("t")[i].alias(c) for i, c in enumerate("xyz")])
-    up = edges.filter("a <> b").select(*group, F.least("a", "b").alias("z"), F.greatest("a", "b").alias("v"))
-    pair = lambda u: edges.filter("a <> b").select(*group, F.least("a", "b").alias(u), F.greatest("a", "b").alias("v"))
-    four = tri.join(up, [*group, "z"]).join(pair("x"), [*group, "x", "v"], "left_semi").join(pair("y"), [*group, "y", "v"], "left_semi")
-    count = lambda df, name: df.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
-    out = count(members, "n_vertices")
-    for df, name in ((edges.filter("a <> b"), "n_edges"), (tri, "n_triangles"), (four, "n_tetrahedra")):
-        out = out.join(count(df, name), group, "left")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_vertices", "n_edges", "n_triangles", "n_tetrahedra")]
-    out = out.select(*group, *zero)
-    return out.withColumn("n_simplices", F.expr("n_vertices + n_edges + n_triangles + n_tetrahedra")).withColumn("euler", F.expr("n_vertices - n_edges + n_triangles - n_tetrahedra"))
+def simplex_tree(edges: DataFrame, group: list[str], maxdim: int, nodes: DataFrame | None = None) -> DataFrame:
+    """The clique complex of each group's graph to a dimension, as a trie: group, dim, vertices (sorted), prefix (all but the last), value.
 
+    A simplex has the value of its longest edge, 1 - w; vertices (the ends of edges, or nodes: group, node) have 0. A level follows
+    from the one before: two simplices of one prefix, which differ in their last vertex only, span one of a dimension more if an edge joins
+    these vertices, so each simplex is found once and from two rows.
+    """
+    ends = edges.filter("a <> b").select(*group, F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"), (1 - F.coalesce("w", F.lit(1.0))).alias("d"))
+    links = cut_lineage(ends)
+    own = nodes.select(*group, F.col("node").alias("v")) if nodes is not None else edges.select(*group, F.explode(F.array("a", "b")).alias("v"))
+    row = lambda dim, vertices, prefix, value: [*group, F.lit(dim).alias("dim"), vertices.alias("vertices"), prefix.alias("prefix"), value.alias("value")]
+    tree = own.distinct().select(*row(0, F.array("v"), F.array().cast("array<string>"), F.lit(0.0)))
+    level = links.select(*row(1, F.array("v", "u"), F.array("v"), F.col("d")))
+    for dim in range(1, maxdim + 1):
+        tree = tree.union(level)
+        if dim == maxdim:
+            break
+        left = level.select(*group, "prefix", F.element_at("vertices", -1).alias("v"), F.col("value").alias("x"))
+        right = level.select(*group, "prefix", F.element_at("vertices", -1).alias("u"), F.col("value").alias("y"))
+        pairs = left.join(right, [*group, "prefix"]).filter(F.col("v") < F.col("u"))
+        path = F.concat("prefix", F.array("v"))
+        level = cut_lineage(pairs.join(links, [*group, "v", "u"]).select(*row(dim + 1, F.concat(path, F.array("u")), path, F.greatest("x", "y", "d"))))
+    return tree
+
+
+def cofaces(tree: DataFrame, group: list[str]) -> DataFrame:
+    """group, vertices, coface, value: each simplex of a tree with those of one dimension more that hold it, and their values."""
+    up = tree.filter("dim > 0").select(*group, F.col("vertices").alias("coface"), "value")
+    drop = F.transform("coface", lambda v: F.array_remove(F.col("coface"), v))
+    return up.select(*group, F.explode(drop).alias("vertices"), "coface", "value")
 
-def simplices(edges: DataFrame, group: list[str]) -> DataFrame:
-    """Vertices, edges and triangles of each group's clique complex with their values under 1 - w."""
-    d = lambda c: 1 - F.coalesce(F.col(c), F.lit(1.0))
-    nodes = edges.select(*group, F.explode(F.array("a", "b")).alias("v")).distinct().select(*group, F.lit(0).alias("dim"), F.array("v").alias("vertices"), F.lit(0.0).alias("value"))
-    ones = edges.filter("a <> b").select(*group, F.lit(1).alias("dim"), F.sort_array(F.array("a", "b")).alias("vertices"), d("w").alias("value"))
-    twos = triangles(edges, group).select(*group, F.lit(2).alias("dim"), F.sort_array(F.array("x", "y", "z")).alias("vertices"), F.greatest(d("w_xy"), d("w_xz"), d("w_yz")).alias("value"))
-    return nodes.union(ones).union(twos)
+
+def simplex_counts(edges: DataFrame, group: list[str], members: DataFrame) -> DataFrame:
+    """Vertices, edges, triangles and tetrahedra of each group's clique complex, and its Euler characteristic."""
+    tree = simplex_tree(edges, group, 3, members)
+    names = ("n_vertices", "n_edges", "n_triangles", "n_tetrahedra")
+    out = tree.groupBy(*group).agg(*[F.count_if(F.col("dim") == d).alias(n) for d, n in enumerate(names)])
+    return out.withColumn("n_simplices", F.expr("n_vertices + n_edges + n_triangles + n_tetrahedra")).withColumn("euler", F.expr("n_vertices - n_edges + n_triangles - n_tetrahedra"))
 
 
 def landscape_values(bars: DataFrame, group: list[str], dim: int = 1) -> DataFrame:
@@ -233,15 +249,58 @@ def diagrams(bars: DataFrame, group: list[str]) -> DataFrame:
     return bars.groupBy(*group, "dim").agg(F.sort_array(F.collect_list(F.struct("birth", "death"))).alias("diagram"))
 
 
+def kernel_grid(points: DataFrame, group: list[str], x: str, y: str, weight: Column, bandwidth: float, resolution: int, lo: float, hi: float) -> DataFrame:
+    """group, px, py, value: the sum of Gaussians at (x, y) times their weights on a grid of resolution x resolution points of [lo, hi] squared.
+
+    A Gaussian of the plane is a product of two of the line, so a point gives two vectors, and the grid is a product of two matrices. Points
+    at one place are added up first; a task then makes one grid of its points of a group at a time, and these meet by rows of the grid.
+    """
+    spots = points.groupBy(*group, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.sum(weight).alias("__w"))
+    k, axis = len(group), np.linspace(lo, hi, resolution)
+    gauss = lambda at: np.exp(-((axis[None, :] - at[:, None]) ** 2) / (2 * bandwidth**2)) / (math.sqrt(2 * math.pi) * bandwidth)
+
+    def grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, grid = None, None
+        for batch in batches:
+            for key, part in batch.groupby(group, sort=False, dropna=False):
+                if key != now:
+                    if grid is not None:
+                        yield rows(now, grid)
+                    now, grid = key, np.zeros((resolution, resolution))
+                at, to, w = (part[c].to_numpy() for c in ("__x", "__y", "__w"))
+                grid += (gauss(at) * w[:, None]).T @ gauss(to)
+        if grid is not None:
+            yield rows(now, grid)
+
+    def rows(key: tuple, grid: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{g: [v] * resolution for g, v in zip(group, key)}, "px": range(resolution), "cells": list(grid)})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        for batch in batches:
+            for key, part in batch.groupby([*group, "px"], sort=False, dropna=False):
+                if key != now:
+                    if total is not None:
+                        yield cells(now, total)
+                    now, total = key, np.zeros(resolution)
+                total = total + np.sum(np.stack(part["cells"].to_list()), axis=0)
+        if total is not None:
+            yield cells(now, total)
+
+    def cells(key: tuple, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{g: [v] * resolution for g, v in zip([*group, "px"], key)}, "py": range(resolution), "value": total})
+
+    kinds = _keys(spots, group)
+    parts = spots.sortWithinPartitions(*group).mapInPandas(grids, f"{kinds}, px int, cells array<double>")
+    return parts.repartition(*group, "px").sortWithinPartitions(*group, "px").mapInPandas(added, f"{kinds}, px int, py int, value double")
+
+
 def persistence_density(bars: DataFrame, group: list[str], dim: int, bandwidth: float, resolution: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """group, px, py, value: a Gaussian kernel density of the finite points (birth, death) of a dimension on a grid."""
     rows = bars.filter((F.col("dim") == dim) & (F.col("death") < INF))
     n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    step = (hi - lo) / (resolution - 1)
-    cells = rows.join(n, group).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))))
-    dx, dy = lo + F.col("px") * step - F.col("birth"), lo + F.col("py") * step - F.col("death")
-    value = F.exp(-(dx * dx + dy * dy) / (2 * bandwidth**2)) / (2 * math.pi * bandwidth**2)
-    return cells.groupBy(*group, "px", "py").agg((F.sum(value) / F.first("__n")).alias("value"))
+    grid = kernel_grid(rows, group, "birth", "death", F.lit(1.0), bandwidth, resolution, lo, hi)
+    return grid.join(n, group).select(*group, "px", "py", (F.col("value") / F.col("__n")).alias("value"))
 
 
 def births_below(bars: DataFrame, dim: int, below: float) -> DataFrame:
@@ -252,15 +311,10 @@ def cap_infinite(bars: DataFrame, value: float = 1.0) -> DataFrame:
     return bars.withColumn("death", F.when(F.col("death") == INF, value).otherwise(F.col("death")))
 
 
-def persistence_image(bars: DataFrame, group: list[str], dim: int, bandwidth: float, resolution: int, lo: float = 0.0, hi: float = 1.0, cap: float = 1.0, weight=None) -> DataFrame:
-    """group, px, py, value: Gaussians at (birth, lifetime), weighted by the squared lifetime or a column expression."""
+def persistence_image(bars: DataFrame, group: list[str], dim: int, bandwidth: float, resolution: int, lo: float = 0.0, hi: float = 1.0, cap: float = 1.0, weight: Column | None = None) -> DataFrame:
+    """group, px, py, value: Gaussians at (birth, lifetime), weighted by the squared lifetime or an expression of birth, death and life."""
     rows = cap_infinite(bars.filter(F.col("dim") == dim), cap).withColumn("life", F.col("death") - F.col("birth"))
-    step = (hi - lo) / (resolution - 1)
-    cells = rows.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))))
-    dx, dy = lo + F.col("px") * step - F.col("birth"), lo + F.col("py") * step - F.col("life")
-    heavy = weight if weight is not None else F.col("life") * F.col("life")
-    value = heavy * F.exp(-(dx * dx + dy * dy) / (2 * bandwidth**2)) / (2 * math.pi * bandwidth**2)
-    return cells.groupBy(*group, "px", "py").agg(F.sum(value).alias("value"))
+    return kernel_grid(rows, group, "birth", "life", F.col("life") * F.col("life") if weight is None else weight, bandwidth, resolution, lo, hi)
 
 
 def sample_for_ph(edges: DataFrame, members: DataFrame, group: list[str], cap: int, seed: int = 7, hubs: int = 10) -> DataFrame:

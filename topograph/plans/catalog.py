@@ -486,9 +486,30 @@ def rips_simplex_counts(spark, sf_dir):
     return homology.simplex_counts(inside, ["complex_id"], members)
 
 
-@query("select complex_id, dim, count(*) as n, round(sum(value), 5) as total_value from (select complex_id, 0 as dim, 0.0 as value from (select complex_id, a from ie union select complex_id, b from ie) union all select complex_id, 1, 1 - w from ie union all select it.complex_id, 2, greatest(1 - p.w, 1 - q.w, 1 - r.w) from it join ie p on p.complex_id = it.complex_id and p.a = x and p.b = y join ie q on q.complex_id = it.complex_id and q.a = y and q.b = z join ie r on r.complex_id = it.complex_id and r.a = x and r.b = z) group by complex_id, dim", SUB)
+TREE = """t1 as materialized (select complex_id, a, b, 1 - w as v from ie),
+t2 as materialized (select p.complex_id, p.a, p.b, q.b as c, greatest(p.v, q.v, r.v) as v from t1 p join t1 q on q.complex_id = p.complex_id and q.a = p.b join t1 r on r.complex_id = p.complex_id and r.a = p.a and r.b = q.b),
+t3 as materialized (select p.complex_id, p.a, p.b, p.c, x.b as d, greatest(p.v, x.v, y.v, z.v) as v from t2 p join t1 x on x.complex_id = p.complex_id and x.a = p.c join t1 y on y.complex_id = p.complex_id and y.a = p.a and y.b = x.b
+  join t1 z on z.complex_id = p.complex_id and z.a = p.b and z.b = x.b),
+tree as materialized (select complex_id, 0 as dim, [node] as vs, 0.0 as value from (select complex_id, a as node from ie union select complex_id, b from ie) union all select complex_id, 1, [a, b], v from t1 union all select complex_id, 2, [a, b, c], v from t2
+  union all select complex_id, 3, [a, b, c, d], v from t3)"""
+
+
+@query("select complex_id, dim, count(*) as n, round(sum(value), 5) as total_value, round(max(value), 6) as last_value from tree group by complex_id, dim", TREE)
 def simplex_enumeration(spark, sf_dir):
-    return homology.simplices(_inside(spark, sf_dir), ["complex_id"]).groupBy("complex_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total_value"))
+    tree = homology.simplex_tree(_inside(spark, sf_dir), ["complex_id"], 3)
+    return tree.groupBy("complex_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total_value"), F.round(F.max("value"), 6).alias("last_value"))
+
+
+@query(
+    """select t.complex_id, array_to_string(t.vs, ',') as vertices, cast(count(f.complex_id) as bigint) as n_cofaces, round(min(f.value), 6) as first_value
+  from tree t left join (select complex_id, list_filter(vs, lambda x: x <> gone) as vs, value from (select complex_id, vs, value, unnest(vs) as gone from tree where dim > 0)) f on f.complex_id = t.complex_id and f.vs = t.vs group by t.complex_id, t.vs""",
+    TREE,
+)
+def simplex_cofaces(spark, sf_dir):
+    """Every simplex to dimension 3 with the number of its cofaces, 0 for maximal ones, and the value at which the first appears."""
+    tree = cut_lineage(homology.simplex_tree(_inside(spark, sf_dir), ["complex_id"], 3))
+    up = homology.cofaces(tree, ["complex_id"]).groupBy("complex_id", "vertices").agg(F.count(F.lit(1)).alias("n_cofaces"), F.round(F.min("value"), 6).alias("first_value"))
+    return tree.join(up, ["complex_id", "vertices"], "left").select("complex_id", F.array_join("vertices", ",").alias("vertices"), F.coalesce("n_cofaces", F.lit(0)).alias("n_cofaces"), "first_value")
 
 
 def _bars(spark, sf_dir, maxdim: int = 0, name: str = "correlation_distance") -> DataFrame:
@@ -559,14 +580,26 @@ def inf_cap(spark, sf_dir):
     return _round(homology.cap_infinite(_bars(spark, sf_dir)), "death")
 
 
-@query("select dim, px, py, round(sum(pow(d, 2) * exp(-(pow(px * 0.25 - birth, 2) + pow(py * 0.25 - d, 2)) / 0.02) / (2 * pi() * 0.01)), 3) as value from (select dim, birth, least(death, 1.0) - birth as d from bars) cross join (select cast(unnest(range(0, 5)) as int) as px) cross join (select cast(unnest(range(0, 5)) as int) as py) group by dim, px, py", H0)
+GRID = homology_sql.SKELETON + """,
+gp as (select unnest(range(0, 500)) as p),
+bx as materialized (select dim, birth, least(death, 1.0) as death, count(*) as n from sk group by dim, birth, least(death, 1.0)),
+gx as materialized (select dim, birth, death, n, p as px, exp(-pow(p / 499.0 - birth, 2) / 0.02) / (sqrt(2 * pi()) * 0.1) as g from bx cross join gp),
+gl as materialized (select dim, birth, death, p as py, exp(-pow(p / 499.0 - (death - birth), 2) / 0.02) / (sqrt(2 * pi()) * 0.1) as g from bx cross join gp),
+gd as materialized (select dim, birth, death, p as py, exp(-pow(p / 499.0 - death, 2) / 0.02) / (sqrt(2 * pi()) * 0.1) as g from bx cross join gp)"""
+
+
+def _skeleton(spark, sf_dir) -> DataFrame:
+    return homology.cap_infinite(homology.skeleton_persistence(_inside(spark, sf_dir), ["complex_id"]))
+
+
+@query("select gx.dim, cast(px as int) as px, cast(py as int) as py, round(sum(n * pow(gx.death - gx.birth, 2) * gx.g * gl.g), 1) as value from gx join gl using (dim, birth, death) where gx.dim = 1 group by gx.dim, px, py", GRID, recursive=True)
 def persistence_image(spark, sf_dir):
-    return _round(homology.persistence_image(_bars(spark, sf_dir), ["dim"], 0, 0.1, 5), "value", digits=3)
+    return _round(homology.persistence_image(_skeleton(spark, sf_dir), ["dim"], 1, 0.1, 500), "value", digits=1)
 
 
 def _points(spark, sf_dir) -> DataFrame:
     """All bars of the weight-filtered groups as points (birth, death), infinite deaths at 1; a diagram for each dimension."""
-    bars = homology.cap_infinite(homology.skeleton_persistence(_inside(spark, sf_dir), ["complex_id"]))
+    bars = _skeleton(spark, sf_dir)
     number = F.row_number().over(Window.partitionBy("complex_id", "dim").orderBy("birth", "death"))
     return cut_lineage(bars.select("dim", (F.col("complex_id") * 1000 + number).alias("id"), F.col("birth").alias("x"), F.col("death").alias("y")))
 
@@ -638,9 +671,9 @@ def diagrams(spark, sf_dir):
     return homology.diagrams(_bars(spark, sf_dir), ["complex_id"]).select("complex_id", "dim", F.array_join(F.transform("diagram", death), ",").alias("deaths"))
 
 
-@query("select dim, px, py, round(sum(exp(-(pow(px * 0.25 - birth, 2) + pow(py * 0.25 - death, 2)) / 0.02)) / (2 * pi() * 0.01) / count(*), 5) as value from (select * from bars where death < 'inf') cross join (select cast(unnest(range(0, 5)) as int) as px) cross join (select cast(unnest(range(0, 5)) as int) as py) group by dim, px, py", H0)
+@query("select gx.dim, cast(px as int) as px, cast(py as int) as py, round(sum(n * gx.g * gd.g) / any_value(total), 5) as value from gx join gd using (dim, birth, death) join (select dim, sum(n) as total from bx group by dim) using (dim) where gx.dim = 0 group by gx.dim, px, py", GRID, recursive=True)
 def persistence_density(spark, sf_dir):
-    return _round(homology.persistence_density(_bars(spark, sf_dir), ["dim"], 0, 0.1, 5), "value", digits=5)
+    return _round(homology.persistence_density(_skeleton(spark, sf_dir), ["dim"], 0, 0.1, 500), "value", digits=5)
 
 
 @query("select x.complex_id, x.node as a, y.node as b, coalesce(w, cast('inf' as double)) as w from m x join m y on x.complex_id = y.complex_id and x.node < y.node left join e on e.a = x.node and e.b = y.node")
