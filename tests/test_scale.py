@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from topograph.operators import cluster, components, neighborhood
+from topograph.operators import cluster, components, filtration, homology, neighborhood
 
 
 def component_roots(links, nodes):
@@ -120,3 +120,74 @@ def test_seed_expansion_is_greedy(spark, cap, monkeypatch):
     for s in seeds:
         own = sorted((x["rank"], x["node"]) for x in got if x["seed"] == s)
         assert own == list(enumerate(grown(edges, s, cap))), s
+
+
+@pytest.mark.parametrize("method", ["hop_distance", "weighted_shortest_path"])
+def test_paths_of_large_groups_are_those_of_the_matrix(spark, method, monkeypatch):
+    r = random.Random(7)
+    edges, members = [], []
+    for g, (n, m) in enumerate([(1, 0), (2, 0), (5, 4), (30, 40), (60, 80)]):
+        members += [(g, f"v{g}_{i}") for i in range(n)]
+        edges += [(f"v{g}_{a}", f"v{g}_{b}", r.choice([None, 0.0, 0.3, 0.9, 0.97, 1.0])) for a, b in {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)}]
+    edges += [(f"v3_{i}", f"v3_{i + 1}", 0.97) for i in range(29)]  # a long way of short edges
+    unique = {tuple(sorted(e[:2])): (*sorted(e[:2]), e[2]) for e in edges}
+    df = spark.createDataFrame(list(unique.values()), "a string, b string, w double")
+    groups = spark.createDataFrame(members, "g long, node string")
+    own = lambda: {(x["g"], x["i"], x["j"]): x["d"] for x in filtration.distances(df, groups, ["g"], method).collect()}
+    small = own()
+    monkeypatch.setattr(filtration, "MATRIX_MEMBERS", 3)
+    large = own()
+    assert small.keys() == large.keys() and len(small) == 1 + 10 + 435 + 1770
+    assert all(small[k] == pytest.approx(large[k], abs=1e-9) for k in small)
+    for x, y, d in ((0, 29, None), (3, 7, None)):
+        assert small[(3, *sorted((f"v3_{x}", f"v3_{y}")))] == pytest.approx(nearest(unique, 3, x, y, method), abs=1e-9), d
+
+
+def nearest(edges, g, x, y, method):
+    """One pair by repeated relaxation."""
+    far = {f"v{g}_{x}": 0.0}
+    for _ in range(40):
+        for a, b, w in edges.values():
+            step = 1.0 if method == "hop_distance" else max(1e-6, 1 - (w or 0.0))
+            for u, v in ((a, b), (b, a)):
+                if u in far and far[u] + step < far.get(v, math.inf):
+                    far[v] = far[u] + step
+    return far[f"v{g}_{y}"]
+
+
+def test_kernel_grids_are_sums_of_gaussians(spark):
+    r = random.Random(5)
+    bars = [("a", 1, r.random() / 2, r.random() / 2 + 0.5) for _ in range(50)] + [("a", 1, 0.25, 0.75)] * 20 + [("b", 1, 0.1, math.inf), ("b", 0, 0.0, 0.5)]
+    df = spark.createDataFrame(bars, "g string, dim int, birth double, death double").repartition(7)
+    at = lambda i: i / 8
+    bump = lambda x, y: math.exp(-(x * x + y * y) / (2 * 0.2**2)) / (2 * math.pi * 0.2**2)
+    image = {(x["g"], x["px"], x["py"]): x["value"] for x in homology.persistence_image(df, ["g"], 1, 0.2, 9).collect()}
+    heavy = {(x["g"], x["px"], x["py"]): x["value"] for x in homology.persistence_image(df, ["g"], 1, 0.2, 9, weight=F.col("life") + 1).collect()}
+    thick = {(x["g"], x["px"], x["py"]): x["value"] for x in homology.persistence_density(df, ["g"], 1, 0.2, 9).collect()}
+    for g in "ab":
+        own = [(b, min(d, 1.0) - b) for k, dim, b, d in bars if k == g and dim == 1]
+        finite = [(b, d) for k, dim, b, d in bars if k == g and dim == 1 and d < math.inf]
+        for i in range(9):
+            for j in range(9):
+                assert image[g, i, j] == pytest.approx(sum(life * life * bump(at(i) - b, at(j) - life) for b, life in own))
+                assert heavy[g, i, j] == pytest.approx(sum((life + 1) * bump(at(i) - b, at(j) - life) for b, life in own))
+                if finite:
+                    assert thick[g, i, j] == pytest.approx(sum(bump(at(i) - b, at(j) - d) for b, d in finite) / len(finite))
+    assert len(image) == 162 and len(thick) == 81
+
+
+def test_simplex_tree_of_any_dimension(spark):
+    r = random.Random(9)
+    edges = [("g", a, b, round(r.random(), 3)) for a, b in itertools.combinations([f"n{i}" for i in range(9)], 2) if r.random() < 0.8] + [("h", "x", "y", None)]
+    d = {frozenset(e[1:3]): 1 - (1.0 if e[3] is None else e[3]) for e in edges}
+    df = spark.createDataFrame(edges, "g string, a string, b string, w double")
+    tree = homology.simplex_tree(df, ["g"], 5)
+    got = {(x["g"], tuple(x["vertices"])): (x["dim"], x["value"]) for x in tree.collect()}
+    expected = {("h", ("x",)): (0, 0.0), ("h", ("y",)): (0, 0.0), ("h", ("x", "y")): (1, 0.0)}
+    for k in range(1, 7):
+        for v in itertools.combinations([f"n{i}" for i in range(9)], k):
+            if all(frozenset(p) in d for p in itertools.combinations(v, 2)):
+                expected["g", v] = (k - 1, max([d[frozenset(p)] for p in itertools.combinations(v, 2)], default=0.0))
+    assert got == expected and max(x[0] for x in got.values()) >= 4
+    up = {(x["g"], tuple(x["vertices"]), tuple(x["coface"])) for x in homology.cofaces(tree, ["g"]).collect()}
+    assert up == {(g, v[:i] + v[i + 1 :], v) for g, v in expected for i in range(len(v)) if len(v) > 1}

@@ -31,10 +31,9 @@ def components(links: DataFrame, nodes: DataFrame, group: list[str]) -> DataFram
     rounds grow with the logarithm of a component's size, not with its diameter. Sums of a node are combined before the shuffle,
     and a node with a third of all links is only ever joined to one row.
     """
-    spark_links = links.filter("id <> other").select(*group, F.greatest("id", "other").alias("id"), F.least("id", "other").alias("root")).distinct()
-    now = cut_lineage(spark_links)
+    now = cut_lineage(links.filter("id <> other").select(*group, F.greatest("id", "other").alias("id"), F.least("id", "other").alias("root")).distinct())
     while True:
-        turned = cut_lineage(_small_star(_large_star(now, group), group))
+        turned = cut_lineage(_small_star(_large_star(now, group), group), instead_of=now)
         # hung: all ids hang on one root, which hangs on none
         stars = turned.groupBy(*group, "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
         if stars and turned.join(turned.select(*group, F.col("id").alias("root")), [*group, "root"], "left_semi").isEmpty():

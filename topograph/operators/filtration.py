@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from topograph.functions.lineage import cut_lineage
 from topograph.operators.graph import weight
 from topograph.schema import FILTRATIONS
 
@@ -55,11 +57,11 @@ def distance_matrix(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, filtrat
 
 def subgraph_matrix(rows: pd.DataFrame, filtration: str) -> tuple[list[str], np.ndarray]:
     """rows of one subgraph: members as (a = b = node, w null), edges as (a, b, w), marked by is_edge."""
-    names = rows.loc[~rows["is_edge"], "a"].tolist()
+    first, flags = rows["a"].to_numpy(), rows["is_edge"].to_numpy(bool)
+    names = first[~flags].tolist()
     at = {n: k for k, n in enumerate(names)}
-    edges = rows[rows["is_edge"]]
-    i, j = (np.array([at[x] for x in edges[c]], np.int64) for c in ("a", "b"))
-    return names, distance_matrix(len(names), i, j, edges["w"].to_numpy(np.float64), filtration)
+    i, j = (np.fromiter((at[x] for x in c[flags]), np.int64) for c in (first, rows["b"].to_numpy()))
+    return names, distance_matrix(len(names), i, j, rows["w"].to_numpy(np.float64)[flags], filtration)
 
 
 def with_members(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
@@ -86,21 +88,85 @@ def correlation_distance_stats(edges: DataFrame, members: DataFrame, group: list
     return rows.select(*group, "n", mean.alias("distance_mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("distance_std"))
 
 
+#: Groups of more members have their paths found by joins instead of a matrix in one task; both give the same distances.
+MATRIX_MEMBERS = 256
+
+
 def distances(edges: DataFrame, members: DataFrame, group: list[str], filtration: str) -> DataFrame:
-    """Long form (group, i, j, d) with i < j by name, for bounded subgraphs."""
-    from topograph.functions.grouped import map_groups
+    """Long form (group, i, j, d) with i < j by name; pairs that no path joins are one further than the group's furthest pair."""
+    from topograph.operators.graph import induced_edges
 
     check_filtration(filtration)
-    rows = with_members(edges, members, group)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    if filtration in ("correlation_distance", "binary"):
+        far = F.lit(1.0) - (weight(1.0) if filtration == "correlation_distance" else F.lit(1.0))
+        near = induced_edges(edges, members.select(*group, "node"), group).filter("a <> b").select(*group, F.col("a").alias("i"), F.col("b").alias("j"), far.alias("d"))
+        return _pairs(members, group).join(near, [*group, "i", "j"], "left").select(*group, "i", "j", F.coalesce("d", F.lit(1.0)).alias("d"))
+    length = F.lit(1.0) if filtration == "hop_distance" else F.greatest(F.lit(LEAST_LENGTH), 1.0 - weight(0.0))
+    near = paths(edges, members, group, length)
+    furthest = F.max("d").over(Window.partitionBy(*group))
+    return _pairs(members, group).join(near, [*group, "i", "j"], "left").select(*group, "i", "j", F.coalesce("d", furthest + 1, F.lit(1.0)).alias("d"))
 
-    def run(key: tuple, part: pd.DataFrame):
-        names, d = subgraph_matrix(part, filtration)
-        for x, y in zip(*np.triu_indices(len(names), 1)):
-            a, b = sorted((names[x], names[y]))
-            yield (*key, a, b, float(d[x, y]))
 
-    return map_groups(rows, group, run, ", ".join([f"{g} {types[g]}" for g in group] + ["i string, j string, d double"]), order=["is_edge", "pos", "a"])
+def _pairs(members: DataFrame, group: list[str]) -> DataFrame:
+    """Pairs i < j of each group's members: the result's own rows."""
+    one = lambda name: members.select(*group, F.col("node").alias(name)).distinct()
+    return one("i").join(one("j"), group).filter("i < j")
+
+
+def paths(edges: DataFrame, members: DataFrame, group: list[str], length: Column) -> DataFrame:
+    """(group, i, j, d), i < j by name: the shortest paths inside each group's subgraph, where there is one. length: of an edge, from its w; above 0."""
+    from topograph.operators.graph import induced_edges
+
+    own = cut_lineage(members.select(*group, "node").distinct())
+    large = own.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MATRIX_MEMBERS).select(*group)
+    lengths = cut_lineage(induced_edges(edges, own, group).filter("a <> b").select(*group, "a", "b", length.alias("w")))
+    return _matrix_paths(lengths.join(large, group, "left_anti"), group).union(_table_paths(lengths.join(large, group, "left_semi"), group))
+
+
+def _matrix_paths(lengths: DataFrame, group: list[str]) -> DataFrame:
+    """Paths of bounded groups, a matrix each."""
+    from topograph.functions.grouped import map_groups
+
+    types = {f.name: f.dataType.simpleString() for f in lengths.schema.fields}
+
+    def run(key: tuple, part: pd.DataFrame):
+        a, b = part["a"].to_numpy(), part["b"].to_numpy()
+        names = sorted({*a, *b})
+        at = {n: k for k, n in enumerate(names)}
+        i, j = (np.fromiter((at[x] for x in c), np.int64) for c in (a, b))
+        d = np.full((len(names), len(names)), np.inf)
+        d[i, j] = d[j, i] = part["w"].to_numpy()
+        d = floyd_warshall(d)
+        for x, y in zip(*np.nonzero(np.triu(np.isfinite(d), 1))):
+            yield (*key, names[x], names[y], float(d[x, y]))
+
+    return map_groups(lengths, group, run, ", ".join([f"{g} {types[g]}" for g in group] + ["i string, j string, d double"]))
+
+
+def _table_paths(lengths: DataFrame, group: list[str]) -> DataFrame:
+    """Paths of groups of any size: all sources at once, by frontiers.
+
+    A row per source and node it reaches; a round sends the rows of the next bucket of distances, those at most a bucket's width above
+    the group's nearest open row, over their edges, and keeps what is shorter. A bucket is as wide as the group's mean edge: short edges
+    settle inside a bucket, and few rows are sent again. A round joins on (group, node) and shuffles by (group, source, node); nothing
+    of a group meets in one task but the edges of a node.
+    """
+    links = cut_lineage(lengths.select(*group, F.col("a").alias("node"), F.col("b").alias("nbr"), "w").union(lengths.select(*group, F.col("b").alias("node"), F.col("a").alias("nbr"), "w")))
+    width = cut_lineage(lengths.groupBy(*group).agg(F.avg("w").alias("width")))
+    state = links.select(*group, F.col("node").alias("source"), "node").distinct().select(*group, "source", "node", F.lit(0.0).alias("d"), F.lit(True).alias("open"))
+    state = cut_lineage(state)
+    while True:
+        nearest = state.filter("open").groupBy(*group).agg(F.min("d").alias("nearest")).join(width, group).select(*group, (F.col("nearest") + F.col("width")).alias("upto"))
+        nearest = cut_lineage(nearest)  # a row a group
+        if nearest.isEmpty():
+            return state.filter("source < node").select(*group, F.col("source").alias("i"), F.col("node").alias("j"), "d")
+        marked = state.join(nearest, group, "left").withColumn("sent", F.col("open") & (F.col("d") <= F.col("upto")))
+        sent = marked.filter("sent").select(*group, "source", "node", "d").join(links, [*group, "node"])
+        reached = sent.select(*group, "source", F.col("nbr").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("d") + F.col("w")).alias("new"), F.lit(False).alias("waits"))
+        known = marked.select(*group, "source", "node", F.col("d").alias("old"), F.lit(None).cast("double").alias("new"), (F.col("open") & ~F.coalesce("sent", F.lit(False))).alias("waits"))
+        met = known.union(reached).groupBy(*group, "source", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"), F.max("waits").alias("waits"))
+        shorter = F.coalesce(F.col("new") < F.coalesce("old", F.lit(float("inf"))), F.lit(False))
+        state = cut_lineage(met.select(*group, "source", "node", F.least("old", "new").alias("d"), (shorter | F.col("waits")).alias("open")), instead_of=state)
 
 
 def distance_sums(edges: DataFrame, members: DataFrame, group: list[str], filtration: str) -> DataFrame:
@@ -128,21 +194,6 @@ def infinite_adjacency(edges: DataFrame, members: DataFrame, group: list[str]) -
 
 
 def path_distances(edges: DataFrame, members: DataFrame, group: list[str], weighted: bool = True) -> DataFrame:
-    """All-pairs shortest paths (group, i, j, d), i < j by name, inside bounded subgraphs; infinity where there is none."""
-    from topograph.functions.grouped import map_groups
-
-    rows = with_members(edges, members, group)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def run(key: tuple, part: pd.DataFrame):
-        names = part.loc[~part["is_edge"], "a"].tolist()
-        at = {n: k for k, n in enumerate(names)}
-        d = np.full((len(names), len(names)), np.inf)
-        for a, b, w in part.loc[part["is_edge"], ["a", "b", "w"]].itertuples(index=False):
-            if a != b:
-                d[at[a], at[b]] = d[at[b], at[a]] = w if weighted else 1.0
-        d = floyd_warshall(d)
-        for x, y in zip(*np.triu_indices(len(names), 1)):
-            yield (*key, *sorted((names[x], names[y])), float(d[x, y]))
-
-    return map_groups(rows, group, run, ", ".join([f"{g} {types[g]}" for g in group] + ["i string, j string, d double"]), order=["is_edge", "pos", "a"])
+    """All-pairs shortest paths (group, i, j, d), i < j by name, of summed weights inside each group; infinity where there is none."""
+    near = paths(edges, members, group, F.col("w") if weighted else F.lit(1.0))
+    return _pairs(members, group).join(near, [*group, "i", "j"], "left").select(*group, "i", "j", F.coalesce("d", F.lit(float("inf"))).alias("d"))
