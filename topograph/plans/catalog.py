@@ -551,33 +551,36 @@ def subgraph_feature_table(spark, sf_dir):
     return _round(rows, "density", "mean_degree", "mean_strength", "mean_clustering")
 
 
-@query("select complex_id, round(sum(v), 4) as landscape_l1, round(max(v), 6) as landscape_max from ls where level <= 5 group by complex_id", H0 + """,
-fin as (select complex_id, birth, death, min(birth) over (partition by complex_id) as lo, max(death) over (partition by complex_id) as hi from bars where death < 'inf'),
-ls as (select complex_id, s, v, row_number() over (partition by complex_id, s order by v desc) as level from (select complex_id, s, sqrt(2) * greatest(0, least(lo + s * (hi - lo) / 101 - birth, death - (lo + s * (hi - lo) / 101))) as v from fin cross join (select unnest(range(1, 101)) as s)))""")
+#: bars: all bars to dimension 2 under correlation distance.
+DIAGRAMS = (homology_sql.CORRELATION, homology_sql.BARS, "bars as (select complex_id, dim, birth, death from fb)")
+
+
+@query("select complex_id, round(sum(v), 4) as landscape_l1, round(max(v), 6) as landscape_max from ls where level <= 5 group by complex_id", *DIAGRAMS, """fin as (select complex_id, birth, death, min(birth) over (partition by complex_id) as lo, max(death) over (partition by complex_id) as hi from bars where dim = 1 and death < 'inf'),
+ls as (select complex_id, s, v, row_number() over (partition by complex_id, s order by v desc) as level from (select complex_id, s, sqrt(2) * greatest(0, least(lo + s * (hi - lo) / 101 - birth, death - (lo + s * (hi - lo) / 101))) as v from fin cross join (select unnest(range(1, 101)) as s)))""", recursive=True)
 def landscape_from_bars(spark, sf_dir):
-    return _round(_round(homology.landscape_features(_bars(spark, sf_dir), ["complex_id"], dim=0), "landscape_max"), "landscape_l1", digits=4)
+    return _round(_round(homology.landscape_features(_bars(spark, sf_dir, 2), ["complex_id"], dim=1), "landscape_max"), "landscape_l1", digits=4)
 
 
-@query("select complex_id, dim, row_number() over (partition by complex_id, dim order by birth, death) as row, birth, round(case when death < 'inf' then death else coalesce(2 * max(death) filter (where death < 'inf') over (partition by complex_id, dim), 2) end, 6) as end_at, death = 'inf' as infinite from bars", H0)
+@query("select complex_id, dim, row_number() over (partition by complex_id, dim order by birth, death) as row, round(birth, 6) as birth, round(case when death < 'inf' then death else coalesce(2 * max(death) filter (where death < 'inf') over (partition by complex_id, dim), 2) end, 6) as end_at, death = 'inf' as infinite from bars", *DIAGRAMS, recursive=True)
 def barcode_rows(spark, sf_dir):
-    return _round(homology.barcode_rows(_bars(spark, sf_dir), ["complex_id"]).withColumnRenamed("end", "end_at"), "end_at")
+    return _round(homology.barcode_rows(_bars(spark, sf_dir, 2), ["complex_id"]).withColumnRenamed("end", "end_at"), "birth", "end_at")
 
 
-@query("select complex_id, dim, count(*) filter (where birth <= 0.6 and death > 0.65) as betti from bars group by complex_id, dim", H0)
+@query("select complex_id, dim, count(*) filter (where birth <= 0.6 and death > 0.65) as betti from bars group by complex_id, dim", *DIAGRAMS, recursive=True)
 def betti_numbers(spark, sf_dir):
-    return homology.betti_numbers(_bars(spark, sf_dir), ["complex_id"], 0.6, 0.65)
+    return homology.betti_numbers(_bars(spark, sf_dir, 2), ["complex_id"], 0.6, 0.65)
 
 
-@query("select 'box' as filter, complex_id, birth, round(death, 6) as death from bars where dim = 0 and birth < 0.62 and death > 0.55 union all select 'life', complex_id, birth, round(death, 6) from bars where death - birth > 0.5 union all select 'births', complex_id, birth, round(death, 6) from bars where dim = 0 and birth < 0.99", H0)
+@query("select 'box' as filter, complex_id, round(birth, 6) as birth, round(death, 6) as death from bars where dim = 1 and birth < 0.62 and death > 0.55 union all select 'life', complex_id, round(birth, 6), round(death, 6) from bars where death - birth > 0.5 union all select 'births', complex_id, round(birth, 6), round(death, 6) from bars where dim = 1 and birth < 0.99", *DIAGRAMS, recursive=True)
 def bar_filters(spark, sf_dir):
-    bars = cut_lineage(_bars(spark, sf_dir))
-    named = lambda name, df: _round(df.select(F.lit(name).alias("filter"), "complex_id", "birth", "death"), "death")
-    return named("box", homology.box_filter(bars, 0, 0.62, 0.55)).union(named("life", homology.lifetime_filter(bars, 0.5))).union(named("births", homology.births_below(bars, 0, 0.99)))
+    bars = cut_lineage(_bars(spark, sf_dir, 2))
+    named = lambda name, df: _round(df.select(F.lit(name).alias("filter"), "complex_id", "birth", "death"), "birth", "death")
+    return named("box", homology.box_filter(bars, 1, 0.62, 0.55)).union(named("life", homology.lifetime_filter(bars, 0.5))).union(named("births", homology.births_below(bars, 1, 0.99)))
 
 
-@query("select complex_id, dim, birth, round(case when death = 'inf' then 1.0 else death end, 6) as death from bars", H0)
+@query("select complex_id, dim, round(birth, 6) as birth, round(case when death = 'inf' then 1.0 else death end, 6) as death from bars", *DIAGRAMS, recursive=True)
 def inf_cap(spark, sf_dir):
-    return _round(homology.cap_infinite(_bars(spark, sf_dir)), "death")
+    return _round(homology.cap_infinite(_bars(spark, sf_dir, 2)), "birth", "death")
 
 
 GRID = homology_sql.SKELETON + """,
@@ -658,17 +661,17 @@ def persistence_pairs(spark, sf_dir):
     return homology.subgraph_pairs(edges, _members(spark, sf_dir, edges), ["complex_id"], "hop_distance", 1).select("complex_id", "dim", "birth", "death", F.array_join("creator", ",").alias("creator"), F.array_join("destroyer", ",").alias("destroyer"))
 
 
-@query("select ie.complex_id, a, b, w from ie semi join bars y on y.complex_id = ie.complex_id and y.death < 'inf' and cast(y.death as float) = cast(1.0 - ie.w as float)", H0)
+@query("select ie.complex_id, a, b, w from ie semi join bars y on y.complex_id = ie.complex_id and y.death < 'inf' and cast(y.death as float) = cast(1.0 - ie.w as float)", *DIAGRAMS, recursive=True)
 def edges_at_deaths(spark, sf_dir):
-    """The edges whose distances end dimension-0 bars."""
+    """The edges whose distances end bars."""
     inside = _inside(spark, sf_dir)
-    return homology.edges_at(inside, _bars(spark, sf_dir), ["complex_id"])
+    return homology.edges_at(inside, _bars(spark, sf_dir, 2), ["complex_id"])
 
 
-@query("select complex_id, dim, string_agg(case when death < 'inf' then cast(cast(round(death * 10000) as bigint) as varchar) else 'inf' end, ',' order by birth, death) as deaths from bars group by complex_id, dim", H0)
+@query("select complex_id, dim, string_agg(cast(cast(round(birth * 10000) as bigint) as varchar) || '-' || case when death < 'inf' then cast(cast(round(death * 10000) as bigint) as varchar) else 'inf' end, ',' order by birth, death) as points from bars group by complex_id, dim", *DIAGRAMS, recursive=True)
 def diagrams(spark, sf_dir):
-    death = lambda p: F.when(p["death"] < float("inf"), F.round(p["death"] * 10000).cast("long").cast("string")).otherwise("inf")
-    return homology.diagrams(_bars(spark, sf_dir), ["complex_id"]).select("complex_id", "dim", F.array_join(F.transform("diagram", death), ",").alias("deaths"))
+    part = lambda v: F.when(v < float("inf"), F.round(v * 10000).cast("long").cast("string")).otherwise("inf")
+    return homology.diagrams(_bars(spark, sf_dir, 2), ["complex_id"]).select("complex_id", "dim", F.array_join(F.transform("diagram", lambda p: F.concat_ws("-", part(p["birth"]), part(p["death"]))), ",").alias("points"))
 
 
 @query("select gx.dim, cast(px as int) as px, cast(py as int) as py, round(sum(n * gx.g * gd.g) / any_value(total), 5) as value from gx join gd using (dim, birth, death) join (select dim, sum(n) as total from bx group by dim) using (dim) where gx.dim = 0 group by gx.dim, px, py", GRID, recursive=True)
