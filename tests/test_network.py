@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topograph.functions import logistic
 from topograph.functions.controls import Adjacency, grow, match
@@ -131,6 +132,14 @@ def test_distributed_metrics_equal_those_in_a_task(spark, monkeypatch):
     for small, large in zip(got[200_000], got[0]):
         assert [m[:2] for m in small] == [m[:2] for m in large] and np.allclose([m[2:] for m in small], [m[2:] for m in large])
     assert got[0][0] and not got[0][2]
+    halves = df.withColumn("half", F.when(F.col("k") % 2 == 0, "even").otherwise("odd")).withColumn("other", (F.col("q") > 0).cast("int")).withColumn("flat", F.lit(0.1))
+    models = {"all": ["p", "q", "flat"], "even": ["p"], "odd": ["p", "q"], "mixed": ["p"]}
+    how = {"parts": ("half", {"all": "even", "even": "even", "odd": "odd", "mixed": "odd"}), "labels": {"mixed": "other"}}
+    both = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(modelling, "ROWS_PER_TASK", most)
+        both.append(sorted(tuple(m) for m in modelling.repeat_metrics(halves.repartition(3), models, "k", "y", Splits(3), {m: i for i, m in enumerate(models)}, steps=30, **how).collect()))
+    assert len(both[0]) > 6 and [m[:2] for m in both[0]] == [m[:2] for m in both[1]] and np.allclose([m[2:] for m in both[0]], [m[2:] for m in both[1]])
     monkeypatch.setattr(modelling, "ROWS_PER_TASK", 200_000)
     means = modelling.mean_metrics(modelling.repeat_metrics(df, {"one": ["p"]}, "k", "y", Splits(2), 5), ["one", "none"]).collect()
     assert {m["model"]: (len(m["auroc_values"]), m["n_repeats"]) for m in means} == {"one": (2, 2), "none": (0, 0)}

@@ -730,12 +730,29 @@ def _proteins(spark, sf_dir, edges) -> DataFrame:
     return rows.withColumn("protein_in_any_complex", (F.col("complex_membership_count") >= 30).cast("int"))
 
 
-@query()
+def _logistic_sql() -> str:
+    """The published descent as a recursive query: a row of weights a repeat, a step of all repeats a round."""
+    names, splits, six = PROTEIN_FEATURES, Splits(3), range(len(PROTEIN_FEATURES))
+    z = ", ".join(f"(cast({c} as double) - avg(cast({c} as double)) filter (where not t) over r) / coalesce(nullif(stddev_pop(cast({c} as double)) filter (where not t) over r, 0), 1) as z{i}" for i, c in enumerate(names))
+    score = "1 / (1 + exp(-greatest(-20.0, least(20.0, s.b + " + " + ".join(f"s.w{i} * z{i}" for i in six) + "))))"
+    down = ", ".join(f"any_value(s.w{i}) - 0.1 * (avg(({score} - y) * z{i}) + 0.001 * any_value(s.w{i}))" for i in six)
+    return f"""fe as (select feat.node as protein, degree, strength, clustering, degree + 1 as ego_nodes, degree + triangles as ego_edges, 2.0 * (degree + triangles) / ((degree + 1) * degree) as local_density, cast(coalesce(n_memberships, 0) >= 30 as int) as y from feat left join mc on member = feat.node),
+sp as (select *, row_number() over (partition by repeat order by md5('7|' || repeat || '|' || protein), protein) <= greatest(1, round_even(count(*) over (partition by repeat) * {splits.test_fraction}, 0)) as t from fe cross join (select unnest(range(0, {splits.repeats})) as repeat)),
+zs as materialized (select repeat, protein, y, t, {z} from sp window r as (partition by repeat)),
+de as (select repeat, 0 as k, {", ".join(f"cast(0 as double) as w{i}" for i in six)}, cast(0 as double) as b from (select distinct repeat from zs)
+  union all select s.repeat, any_value(s.k) + 1, {down}, any_value(s.b) - 0.1 * avg({score} - y) from de s join zs on zs.repeat = s.repeat where not t and s.k < 400 group by s.repeat),
+sc as (select zs.repeat, protein, y, {score} as p from zs join de s on s.repeat = zs.repeat and s.k = 400 where t),
+me as (select repeat, (sum(case when y = 1 then up else 0 end) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) as auroc, avg(seen / down) filter (where y = 1) as ap
+  from (select *, row_number() over (partition by repeat order by p, protein) as up, row_number() over d as down, sum(y) over (d rows unbounded preceding) as seen from sc window d as (partition by repeat order by p desc, protein)) group by repeat)"""
+
+
+@query("select 'protein_baseline' as model, round(avg(auroc), 3) as mean_auroc, round(avg(ap), 3) as mean_average_precision, count(*) as n_repeats from me", _logistic_sql(), recursive=True)
 def logistic_metrics(spark, sf_dir):
     from topograph.plans.modelling import mean_metrics, repeat_metrics
 
     rows = cut_lineage(_proteins(spark, sf_dir, _graph(spark, sf_dir)))
-    return mean_metrics(repeat_metrics(rows, {"protein_baseline": PROTEIN_FEATURES}, "protein", "protein_in_any_complex", Splits(3), 7), ["protein_baseline"]).drop("auroc_values", "average_precision_values")
+    means = mean_metrics(repeat_metrics(rows, {"protein_baseline": PROTEIN_FEATURES}, "protein", "protein_in_any_complex", Splits(3), 7), ["protein_baseline"])
+    return _round(means.drop("auroc_values", "average_precision_values"), "mean_auroc", "mean_average_precision", digits=3)
 
 
 @query()
