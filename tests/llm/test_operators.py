@@ -385,10 +385,45 @@ def test_lm_score(docs, rows, empty):
         x = got[i]
         assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (fold(i) == 0, len(ts), sum(counts[t] > 0 for t in ts), n)
         assert math.isclose(x["base_score"], sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), rel_tol=1e-9)
-        assert x["score"] < 0
+    model = interpolated(tokens, fold)
+    for i, ts in tokens.items():
+        assert math.isclose(got[i]["score"], model(ts), rel_tol=1e-6), i
     assert score(empty).count() == 0
 
 
+def interpolated(tokens, fold):
+    """The model's log10 probability of a token sequence: plain counts, EM over all tokens of the deleted documents."""
+
+    def count(docs):
+        words, pairs = collections.Counter(), collections.Counter()
+        for ts in docs:
+            words.update(ts)
+            words["start",] += 1  # a document's start as a context
+            pairs.update(zip([("start",), *ts], ts))
+        return words, pairs
+
+    bucket = lambda c: min(c.bit_length(), 23)
+    train, rest = count(ts for i, ts in tokens.items() if fold(i)), count(ts for i, ts in tokens.items() if fold(i) > 1)
+    size = lambda words: sum(c for w, c in words.items() if w != ("start",))
+    n_types = len(train[0]) - 1
+    events = collections.Counter((rest[1][u, w], rest[0][u], rest[0][w]) for i, ts in tokens.items() if fold(i) == 1 for u, w in zip([("start",), *ts], ts))
+    terms = lambda w, pair, context, word, n: [w[0] * pair / context if context else 0.0, w[1] * word / n, w[2] / (n_types + 1)]
+    weights = [[0.0, 0.5, 0.5]] + [[1 / 3] * 3] * 23
+    for _ in range(12):
+        sums = collections.defaultdict(lambda: [0.0] * 3)
+        for (pair, context, word), n in events.items():
+            t = terms(weights[bucket(context)], pair, context, word, size(rest[0]))
+            for k in range(3):
+                sums[bucket(context)][k] += n * t[k] / sum(t)
+        new = [[x / sum(sums[b]) for x in sums[b]] if b in sums else weights[b] for b in range(24)]
+        change = max(abs(x - y) for v, w in zip(new, weights) for x, y in zip(v, w))
+        weights = new
+        if change < 1e-4:
+            break
+    weights = [[a * (1 - 1e-6), b * (1 - 1e-6), c * (1 - 1e-6) + 1e-6] for a, b, c in weights]
+    return lambda ts: sum(math.log10(sum(terms(weights[bucket(train[0][u])], train[1][u, w], train[0][u], train[0][w], size(train[0])))) for u, w in zip([("start",), *ts], ts))
+
+
 def test_lm_weights_maximise_held_out_likelihood(spark):
     from topograph.llm.lm_score import BUCKETS, fit_weights
 
