@@ -75,3 +75,25 @@ def test_broken_pages_take_linear_time(unit):
     begun = time.time()
     assert main_text(page).startswith("These are the first words of the article, whole.")
     assert time.time() - begun < 30
+
+
+PROSE = "<p>" + "The quiet river ran past the old mill and on to the sea. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("tag", ["nav", "aside", "footer", "header", "menu", "form"])
+def test_boilerplate_that_is_never_closed_does_not_swallow_the_article(tag):
+    from topograph.llm.html_extract import main_text
+
+    want = main_text(f"<article>{PROSE}</article>")
+    assert want.count("quiet") == 4
+    assert main_text(f"<body><{tag}><a href='/'>Home</a><article>{PROSE}</article></body>") == want
+    assert main_text(f"<body><{tag}><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul><article>{PROSE}") == want
+    assert main_text(f"<body><article>{PROSE}</article><{tag}><a href='/'>Home</a>") == want
+
+
+@pytest.mark.parametrize("name", ["kommentare", "leser-kommentar", "werbung", "anzeige", "commentaires", "publicidad", "comentarios", "pubblicita", "fusszeile", "navegacion"])
+def test_names_of_other_languages(name):
+    from topograph.llm.html_extract import main_text
+
+    other = f"<div class='{name}'><p>Noch ein Satz von vielen Worten, der nicht zum Artikel gehört.</p></div>"
+    assert main_text(f"<body>{other}<article>{PROSE}</article>{other}</body>") == main_text(f"<article>{PROSE}</article>")

@@ -521,6 +521,23 @@ def test_token_counts_of_hot_contents(spark, monkeypatch):
     assert len(got) == 60 and all(got[i] == few[i] for i in few) and got[59] == got[1]
 
 
+def test_warc_reader_holds_one_member_at_a_time(monkeypatch):
+    """Records come as they are read, and those before damage inside a member too."""
+    from topograph.llm import warc
+
+    members = [warc.member(warc.record(i, None, b"p%d" % i * 500, hashlib.sha1(b"p%d" % i * 500).hexdigest(), None, False, "2024-01-01T00:00:00Z")) for i in range(50)]
+    opened, real = [], warc._member_at
+    monkeypatch.setattr(warc, "_member_at", lambda data, at: opened.append(at) or real(data, at))
+    found = warc.salvaged(b"".join(members))
+    assert next(found).head["page-id"] == "0" and len(opened) == 1
+    assert [int(x.head["page-id"]) for x in found] == list(range(1, 50)) and len(opened) == 50
+    long = warc.member(b"".join(warc.record(i, None, bytes([i]) * 4000, hashlib.sha1(bytes([i]) * 4000).hexdigest(), None, False, "2024-01-01T00:00:00Z") for i in range(30)))
+    assert [x.head["page-id"] for x in warc.salvaged(long)] == [str(i) for i in range(30)]
+    cut = list(warc.salvaged(long[: len(long) // 2] + b"\xff" * 20 + members[0]))
+    assert isinstance(cut[-2], warc.Gap) and cut[-1].head["page-id"] == "0"
+    assert 5 < len(cut) < 30 and [x.head["page-id"] for x in cut[:-2]] == [str(i) for i in range(len(cut) - 2)]
+
+
 def test_warc_salvage():
     import gzip
 

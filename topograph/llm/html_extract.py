@@ -9,7 +9,7 @@ neighbours' terminals, and a maximum flow over what is left.
 
 Names (classes, ids, roles) are weak witnesses.  They are read by whole words; words after a modifier (has-, no-,
 with-) don't count, and boilerplate words are void beside content words.  An element that holds the core of the
-page is a wrapper, whose names and form tag don't count: the core is the article or main element with most prose, else
+page is a wrapper, whose names and form tag don't count, nor does its tag if it is never closed: the core is the article or main element with most prose, else
 the first heading, else an element with half of the page's prose (unless it is named for adverts or comments).
 
 Null or empty html gives an empty text, as do pages without content; unclosed tags, cut-off pages and very long
@@ -57,20 +57,26 @@ _NEXT, _SIBLING = 0.8, 0.6
 _PROSE_WORDS, _PROSE_LINKS, _WRAPPER_WORDS = 8, 0.3, 50
 
 #: Words of names: of adverts and comments, of other boilerplate (also as the beginning of a longer word), of content, and modifiers.
-_ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments reply replies discussion disqus respond".split())
-_BOILERPLATE = frozenset("promo promos promotion banner cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar rail footer masthead share sharing social related recommended popup modal overlay subscribe subscription newsletter signup login search widget widgets pagination pager copyright complementary contentinfo toolbar".split())
-_STEMS = ("advert", "breadcrumb", "comment", "copyright", "disqus", "footer", "navbar", "navigation", "newsletter", "pagination", "sidebar", "sponsor", "subscri")
+_ADVERTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments reply replies discussion disqus respond "
+    "werbung anzeige anzeigen kommentar kommentare antworten publicite commentaire commentaires publicidad anuncio anuncios comentario comentarios pubblicita annuncio commento commenti".split()
+)
+_BOILERPLATE = frozenset(
+    "promo promos promotion banner cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar rail footer masthead share sharing social related recommended popup modal overlay subscribe subscription newsletter signup login search widget widgets pagination pager copyright complementary contentinfo toolbar "
+    "hinweis hinweise fusszeile kopfzeile seitenleiste brotkrumen anmeldung suche teilen impressum pied entete barre partage recherche avis cabecera lateral compartir buscar aviso avisos navegacion piede intestazione cerca condividi avviso".split()
+)
+_STEMS = ("advert", "breadcrumb", "comment", "copyright", "disqus", "footer", "kommentar", "navbar", "navigation", "newsletter", "pagination", "seitenleiste", "sidebar", "sponsor", "subscri", "werbe")
 _CONTENT = frozenset("article main post entry story content body text prose".split())
 _MODIFIERS = frozenset("has no not non with without is hide hides hidden show shows enable disable js".split())
 
 
 class _Node:
-    __slots__ = ("tag", "up", "depth", "verdict", "advert", "hidden", "score", "prose", "wrapper")
+    __slots__ = ("tag", "up", "depth", "verdict", "advert", "hidden", "score", "prose", "wrapper", "closed")
 
     def __init__(self, tag: str, up: "_Node | None", verdict: int = 0, advert: bool = False):
         self.tag, self.up, self.depth, self.verdict, self.advert = tag, up, up.depth + 1 if up else 0, verdict, advert
         self.hidden = tag in _HIDDEN or (up is not None and up.hidden)
-        self.score, self.prose, self.wrapper = 0.0, 0, False
+        self.score, self.prose, self.wrapper, self.closed = 0.0, 0, False, False
 
 
 def name_verdict(names: str) -> tuple[int, bool]:
@@ -82,7 +88,7 @@ def name_verdict(names: str) -> tuple[int, bool]:
             continue
         stems = [any(w.startswith(s) for s in _STEMS) for w in words]
         bad |= any(w in _BOILERPLATE or w in _ADVERTS or s for w, s in zip(words, stems)) or words[:2] in (["site", "header"], ["page", "header"], ["skip", "link"])
-        advert |= any(w in _ADVERTS or w.startswith(("advert", "comment", "sponsor")) for w in words)
+        advert |= any(w in _ADVERTS or w.startswith(("advert", "comment", "kommentar", "sponsor", "werbe")) for w in words)
         good |= any(w in _CONTENT for w in words)
     if bad and not (good and not advert):
         return -1, advert
@@ -181,7 +187,7 @@ def blocks(page: str) -> list[tuple[str, float, _Node]]:
             while node.up is not None and node.tag != tag:
                 node = node.up
             if node.up is not None:
-                here = node.up
+                node.closed, here = True, node.up
     read(page[text_from:])
     flush()
     _judge(nodes)
@@ -193,7 +199,8 @@ def _judge(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
         if node.up is not None:
             node.up.prose += node.prose
-    outside = lambda n: n.up is None or (n.tag not in ("nav", "footer", "aside") and outside(n.up))  # noqa: E731  at most MAX_DEPTH steps
+    # a menu that is never closed holds what follows it by mistake; at most MAX_DEPTH steps
+    outside = lambda n: n.up is None or ((n.tag not in ("nav", "footer", "aside") or not n.closed) and outside(n.up))
     cores = [n for n in nodes if n.tag in ("article", "main") and not n.advert and n.prose and outside(n)]
     core = max(cores, key=lambda n: n.prose) if cores else next((n for n in nodes if n.tag == "h1" and not n.hidden), None) or next((n for n in nodes if n.tag == "h2" and not n.hidden), None)
     above = core.up if core is not None else None
@@ -204,7 +211,7 @@ def _judge(nodes: list[_Node]) -> None:
         if core is None and not node.advert and node.prose >= _WRAPPER_WORDS and 2 * node.prose > every:
             node.wrapper = True
         own = _TAGS.get(node.tag, 0.0)
-        if (node.tag == "header" and node.up.score > 0) or (node.wrapper and node.tag in ("form", "fieldset", "header")):
+        if (node.tag == "header" and node.up.score > 0) or (node.wrapper and (node.tag in ("form", "fieldset", "header") or not node.closed)):
             own = 0.0  # the heading of an article, not of the page; or what holds the whole page
         if node.verdict > 0:
             own += _GOOD

@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "file string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, gap_reason string"
 #: Bytes of an archive file, unless a single record has more: a reading task holds one file.
 FILE_BYTES = 64 << 20
+#: Rows of a batch that a reading task gives back.
+ROWS = 1000
 _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
 
@@ -97,6 +101,23 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     members.write.option("lineSep", "\x00").option("compression", "none").partitionBy("archive").text(path)
 
 
+class Record(NamedTuple):
+    """A record and its place, or that of the member that holds it."""
+
+    head: dict[str, str]
+    block: bytes
+    begin: int
+    end: int
+
+
+class Gap(NamedTuple):
+    """A quarantined range of bytes."""
+
+    begin: int
+    end: int
+    reason: str
+
+
 @dataclass
 class Salvage:
     """Records and gaps of one archive file."""
@@ -144,14 +165,13 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return head, block, end + 4
 
 
-def _inside(data: bytes, begin: int, end: int, out: Salvage, whole: bool = True) -> None:
-    """Reads the records of a member that lies at [begin, end) in the file; they and gaps between them are given its place."""
+def _inside(data: bytes, begin: int, end: int, whole: bool = True) -> Iterator[Record | Gap]:
+    """The records of a member that lies at [begin, end) in the file; they and gaps between them are given its place."""
     at = 0
     while at < len(data):
         got = _record_at(data, at)
         if not isinstance(got, str):
-            out.records.append(got[:2])
-            out.places.append((begin, end))
+            yield Record(*got[:2], begin, end)
             at = got[2]
             continue
         nxt = at + 1
@@ -159,48 +179,55 @@ def _inside(data: bytes, begin: int, end: int, out: Salvage, whole: bool = True)
             nxt += 1
         nxt = len(data) if nxt < 0 else nxt
         if whole or nxt < len(data):
-            out.gaps.append((begin, end, got))
+            yield Gap(begin, end, got)
         at = nxt
 
 
-def salvage(content: bytes) -> Salvage:
-    """Reads an archive file, compressed, plain or mixed, through any damage."""
-    out, at, view, n = Salvage(), 0, memoryview(content), len(content)
+def salvaged(content: bytes) -> Iterator[Record | Gap]:
+    """Reads an archive file, compressed, plain or mixed, through any damage: one record or gap at a time, so that no more than a
+    member's records are held. Each position where a member or version line could begin is tried once while a gap is open."""
+    at, view, n = 0, memoryview(content), len(content)
     bad, reason = -1, ""  # where the open gap began
-
-    def close(upto: int) -> None:
-        nonlocal bad
-        if bad >= 0:
-            out.gaps.append((bad, upto, reason))
-            bad = -1
-
     while at < n:
+        good: Iterable[Record | Gap] = ()
+        end, why = -1, "no member or version line"
         if content[at : at + 3] == b"\x1f\x8b\x08":
-            data, end, whole = _member_at(view, at)
+            data, stop, whole = _member_at(view, at)
             if whole:
-                close(at)
-                _inside(data, at, end, out)
-                at = end
-                continue
+                good, end = _inside(data, at, stop), stop
+            elif bad < 0 and data:
+                yield from _inside(data, at, n, whole=False)  # records that were complete before the damage
             why = "bad gzip member"
-            if bad < 0 and data:
-                _inside(data, at, n, out, whole=False)  # records that were complete before the damage
         elif content[at : at + 5] == b"WARC/":
             got = _record_at(content, at)
-            if not isinstance(got, str):
-                close(at)
-                out.records.append(got[:2])
-                out.places.append((at, got[2]))
-                at = got[2]
-                continue
-            why = got
-        else:
-            why = "no member or version line"
+            if isinstance(got, str):
+                why = got
+            else:
+                good, end = [Record(*got[:2], at, got[2])], got[2]
+        if end >= 0:
+            if bad >= 0:
+                yield Gap(bad, at, reason)
+                bad = -1
+            yield from good
+            at = end
+            continue
         if bad < 0:
             bad, reason = at, why
         found = [p for p in (content.find(b"\x1f\x8b\x08", at + 1), content.find(b"WARC/", at + 1)) if p >= 0]
         at = min(found, default=n)
-    close(n)
+    if bad >= 0:
+        yield Gap(bad, n, reason)
+
+
+def salvage(content: bytes) -> Salvage:
+    """Everything salvaged() finds."""
+    out = Salvage()
+    for x in salvaged(content):
+        if isinstance(x, Gap):
+            out.gaps.append(tuple(x))
+        else:
+            out.records.append((x.head, x.block))
+            out.places.append((x.begin, x.end))
     return out
 
 
@@ -216,24 +243,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: int(x) if x is not None and re.fullmatch(r"-?\d+", x) else None
         schema = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("gap_reason", pa.string())])
+
+        def row(name: str, x: Record | Gap) -> tuple:
+            if isinstance(x, Gap):
+                return (name, None, None, None, None, None, None, *x)
+            kind, digest = x.head.get("warc-type"), x.head.get("warc-payload-digest", "").removeprefix("sha1:")
+            if kind == "revisit":
+                length = re.search(rb"\r\nContent-Length: *(\d+)", x.block, re.I)
+                size = int(length[1]) if length else None
+            else:
+                payload = payload_of(x.head, x.block)
+                size, own = len(payload), hashlib.sha1(payload).hexdigest()
+                if digest and own != digest:
+                    return (name, None, None, None, None, None, None, x.begin, x.end, f"wrong payload digest of page {x.head.get('page-id')}")
+                digest = own
+            return (name, number(x.head.get("page-id")), x.head.get("warc-target-uri"), size, digest, kind, number(x.head.get("refers-to-page-id")), None, None, None)
+
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got, rows = salvage(content.as_buffer().to_pybytes()), []
-                for (head, block), place in zip(got.records, got.places):
-                    kind, digest = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind == "revisit":
-                        length = re.search(rb"\r\nContent-Length: *(\d+)", block, re.I)
-                        size = int(length[1]) if length else None
-                    else:
-                        payload = payload_of(head, block)
-                        size, own = len(payload), hashlib.sha1(payload).hexdigest()
-                        if digest and own != digest:
-                            got.gaps.append((*place, f"wrong payload digest of page {head.get('page-id')}"))
-                            continue
-                        digest = own
-                    rows.append((name, number(head.get("page-id")), head.get("warc-target-uri"), size, digest, kind, number(head.get("refers-to-page-id")), None, None, None))
-                rows += [(name, None, None, None, None, None, None, a, b, why) for a, b, why in got.gaps]
-                if rows:
+                found = salvaged(content.as_buffer().to_pybytes())
+                while rows := [row(name, x) for x in islice(found, ROWS)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return files.mapInArrow(run, READ_SCHEMA)
