@@ -26,6 +26,13 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[sc.applicationId]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted at exit."""
+    path = f"{shared_root(spark)}/topograph-tables/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """df, computed once and read from a table: what follows plans over a scan, however deep the plan before was.
 
@@ -33,8 +40,7 @@ def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame
     a loop. instead_of: an earlier result that df replaces; its files are deleted once df is written.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/topograph-tables/{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topograph.functions.lineage import cut_lineage
+from topograph.functions.lineage import cut_lineage, scratch_path
 from topograph.operators import cluster, components, features, filtration, graph, homology, neighborhood, ranking, sampling, sets
 from topograph.plans import experiments, homology_sql
 from topograph.schema import PH_COLUMNS, PROTEIN_FEATURES, DecisionConfig, ExplorationConfig, Splits, SweepConfig
-from topograph.sources import star_schema
+from topograph.sources import network, sinks, star_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -724,6 +724,100 @@ def random_graph(spark, sf_dir):
     return _round(graph.random_graph(spark, 100, 0.2, 11), "w")
 
 
+@query("select a, b, w from e where w is not null")
+def edge_file_scan(spark, sf_dir):
+    """The network written as a tab-separated edge list and read again."""
+    path = scratch_path(spark)
+    _graph(spark, sf_dir).select("a", "b", "w").write.option("sep", "\t").csv(path)
+    return graph.canonical_edges(network.read_edges(spark, path)).select("a", "b", "w")
+
+
+@query("select a, b, count(*) as n from e group by a, b")
+def pair_file_scan(spark, sf_dir):
+    """The same without weights, with a header whose names don't count."""
+    path = scratch_path(spark)
+    _graph(spark, sf_dir).select(F.col("b").alias("x"), F.col("a").alias("y")).write.option("sep", "\t").option("header", True).csv(path)
+    rows = graph.canonical_edges(network.read_edges(spark, path, header=True, weighted=False))
+    return rows.filter("w is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select members, n, count(*) as n_groups from (select string_agg(member, ' ' order by pos) as members, count(*) as n from cm group by complex_id) group by members, n")
+def complex_file_scan(spark, sf_dir):
+    """The groups written as lines of names and read again; numbers of lines are dense."""
+    path = scratch_path(spark)
+    lines = _groups(spark, sf_dir).groupBy("complex_id").agg(F.sort_array(F.collect_list(F.struct("pos", "member"))).alias("m"))
+    lines.select(F.array_join(F.col("m").getField("member"), "\t").alias("value")).write.text(path)
+    rows = network.read_complexes(spark, path).groupBy("complex_id").agg(F.sort_array(F.collect_list(F.struct("pos", "member"))).alias("m"))
+    return rows.groupBy(F.array_join(F.col("m").getField("member"), " ").alias("members"), F.size("m").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+@query("select min(k) as lowest, max(k) as highest, count(*) as n from (select row_number() over () - 1 as k from (select distinct complex_id from cm))")
+def complex_line_numbers(spark, sf_dir):
+    """Groups read from many files are numbered from 0 without gaps; blank lines have no number."""
+    path = scratch_path(spark)
+    lines = _groups(spark, sf_dir).groupBy("complex_id").agg(F.array_join(F.collect_list("member"), " ").alias("value"))
+    lines.select(F.explode(F.array(F.col("value"), F.lit(" "))).alias("value")).repartition(7).write.text(path)
+    found = network.read_complexes(spark, path, r"\s+").select("complex_id").distinct()
+    return found.agg(F.min("complex_id").alias("lowest"), F.max("complex_id").alias("highest"), F.count(F.lit(1)).alias("n"))
+
+
+LINES = """ln as (select l_orderkey as k, row_number() over o as i, l_partkey as p, lead(l_partkey) over o as q, lead(l_discount) over o as v from lineitem window o as (partition by l_orderkey order by l_linenumber, l_partkey, l_discount))"""
+
+
+@query(f"select least({_base('p')}, {_base('q')}) as a, greatest({_base('p')}, {_base('q')}) as b, max(struct_pack(k := k, i := i, w := v)).w as w, min(struct_pack(k := k, i := i, w := v)).k as first_order from ln where q is not null group by 1, 2", LINES)
+def last_edge_weights(spark, sf_dir):
+    """Neighbouring lines of orders as a list of pairs with repeats: of a pair the last row's weight counts."""
+    lines = star_schema.table(spark, sf_dir, "lineitem")
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount")
+    rows = lines.select("l_orderkey", F.row_number().over(after).alias("i"), "l_partkey", F.lead("l_partkey").over(after).alias("q"), F.lead("l_discount").over(after).alias("v")).filter("q is not null")
+    named = rows.select(star_schema.part_name(F.col("l_partkey")).alias("ProteinA"), star_schema.part_name(F.col("q")).alias("ProteinB"), F.col("v").alias("SemSim"), F.struct(F.col("l_orderkey").alias("k"), "i").alias("ord"))
+    return graph.canonical_edges(named).select("a", "b", "w", F.col("first_ord.k").alias("first_order"))
+
+
+@query("select member, row_number() over (order by first) - 1 as place from (select member, min(struct_pack(k := complex_id, p := pos)) as first from cm group by member)")
+def first_seen_members(spark, sf_dir):
+    """Members in the order of their first appearance in the groups."""
+    found = sets.first_seen(_groups(spark, sf_dir)).select("member", "first")
+    return ranking.ranked(found, [F.col("first")], "place").select("member", "place")
+
+
+@query("select * from pf")
+def table_sink(spark, sf_dir):
+    """The feature table written as CSV with a header and read again."""
+    rows, path = protein_feature_table(spark, sf_dir), scratch_path(spark)
+    sinks.write_table(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("select cast(count(*) as double) as num_complexes, round(avg(size), 6) as mean_complex_size, round(avg(covered::int), 6) as fraction_complexes_fully_covered, round(sum(observed) / sum(size), 6) as fraction_complex_members_observed from cov")
+def report_sink(spark, sf_dir):
+    """A report written as JSON and read again."""
+    rows, path = complex_coverage(spark, sf_dir), f"{scratch_path(spark)}/report.json"
+    sinks.write_json(spark, rows.first().asDict(), path)  # a row of four figures
+    return spark.read.schema(rows.schema).option("multiLine", True).json(path)
+
+
+@query("select x.idx as row, y.idx as column, coalesce(w, 1) as value from sym join (select node, row_number() over (order by node) - 1 as idx from nodes) x on x.node = sym.node join (select node, row_number() over (order by node) - 1 as idx from nodes) y on y.node = sym.nbr")
+def matrix_sink(spark, sf_dir):
+    """The adjacency written as compressed rows and read again, a row a cell."""
+    path = scratch_path(spark)
+    sinks.write_matrix(_graph(spark, sf_dir), path)
+    cells = spark.read.parquet(path).select("row", F.explode(F.arrays_zip("columns", "values")).alias("c"))
+    return cells.select("row", F.col("c.columns").alias("column"), F.col("c.values").alias("value"))
+
+
+@query(
+    f"""select complex_id, node from (select *, row_number() over (partition by complex_id, hub order by {_md5(7, "node")}, node) as drawn from
+  (select *, by_degree <= 2 as hub from (select m.complex_id, m.node, count(*) over (partition by m.complex_id) as n, row_number() over (partition by m.complex_id order by coalesce(degree, 0) desc, m.node) as by_degree
+   from m left join (select complex_id, node, count(*) as degree from (select complex_id, a as node from ie union all select complex_id, b from ie) group by complex_id, node) g on g.complex_id = m.complex_id and g.node = m.node)))
+  where n <= 4 or hub or drawn <= 2"""
+)
+def ph_sample(spark, sf_dir):
+    """At most 4 members a group, 2 of them hubs: the sample is the operator."""
+    edges = _graph(spark, sf_dir)
+    return homology.sample_for_ph(edges, _members(spark, sf_dir, edges).select("complex_id", "node"), ["complex_id"], 4, 7, 2)
+
+
 def _proteins(spark, sf_dir, edges) -> DataFrame:
     """Features with the label 'many memberships': every node of this network has some."""
     rows = features.protein_features(edges, _groups(spark, sf_dir))

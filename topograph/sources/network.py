@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topograph.schema import EDGE_FILE, PAIR_FILE
 
@@ -26,12 +27,12 @@ def read_complexes(spark: SparkSession, path: str, delimiter: str = "\t", keep_e
     tokens = lines.select("line", F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), delimiter).alias("members"))
     if not keep_empty:
         tokens = tokens.withColumn("members", F.filter("members", lambda m: m != "")).filter(F.size("members") > 0)
-    # Line numbers rise with the file; dense ids come from counts per partition, not from one sorted task.
-    part = F.shiftright("line", 33)
-    counts = tokens.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("line")).alias("lines"))
-    before = counts.select("part", "n").alias("p").join(counts.select(F.col("part").alias("q"), F.col("n").alias("m")), F.col("q") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
-    ids = counts.join(before, "part").select(F.posexplode("lines").alias("at", "line"), "before").select("line", (F.col("before") + F.col("at")).alias("complex_id"))
-    return tokens.join(ids, "line").select("complex_id", F.posexplode("members").alias("pos", "member"))
+    # Line numbers rise with the file; dense ids come from counts per split, not from one sorted task.
+    tokens = tokens.withColumn("part", F.shiftright("line", 33))
+    counts = tokens.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.join(counts.select(F.col("part").alias("q"), F.col("n").alias("m")), F.col("q") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1
+    return tokens.withColumn("at", at).join(before, "part").select((F.col("before") + F.col("at")).alias("complex_id"), F.posexplode("members").alias("pos", "member"))
 
 
 def toy_network(spark: SparkSession) -> DataFrame:
