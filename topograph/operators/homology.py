@@ -109,7 +109,7 @@ def subgraph_pairs(edges: DataFrame, members: DataFrame, group: list[str], filtr
 
 
 def point_cloud_bars(points: DataFrame, group: list[str], vector: str, maxdim: int = 1) -> DataFrame:
-    """Rips persistence of the Euclidean distances of each group's points."""
+    """Rips persistence of the Euclidean distances of each group's points, which meet in one task: bound them first (landmarks)."""
 
     def run(key: tuple, part: pd.DataFrame):
         x = np.stack(part[vector].to_list()).astype(np.float64)
@@ -120,6 +120,14 @@ def point_cloud_bars(points: DataFrame, group: list[str], vector: str, maxdim: i
     return map_groups(rows, group, run, f"{_keys(rows, group)}, dim int, birth double, death double")
 
 
+def landmarks(points: DataFrame, group: list[str], key: str, most: int, seed: int = 7) -> DataFrame:
+    """At most so many points of each group, by hash order: bounds what point_cloud_bars() holds of a group."""
+    from topograph.functions.hashing import digest
+
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(digest(seed, F.col(key)), key))
+    return points.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
+
+
 def skeleton_persistence(edges: DataFrame, group: list[str]) -> DataFrame:
     """Persistence of each group's graph filtered by its weights themselves; a node is born with its lightest edge."""
 

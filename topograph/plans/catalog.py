@@ -561,6 +561,21 @@ def landscape_from_bars(spark, sf_dir):
     return _round(_round(homology.landscape_features(_bars(spark, sf_dir, 2), ["complex_id"], dim=1), "landscape_max"), "landscape_l1", digits=4)
 
 
+@query("select complex_id, cast((level - 1) * 100 + s - 1 as int) as place, round(v, 5) as value from ls where level <= 5", *DIAGRAMS, """fin as (select complex_id, birth, death, min(birth) over (partition by complex_id) as lo, max(death) over (partition by complex_id) as hi from bars where dim = 1 and death < 'inf'),
+ls as (select complex_id, s, v, row_number() over (partition by complex_id, s order by v desc) as level from (select complex_id, s, sqrt(2) * greatest(0, least(lo + s * (hi - lo) / 101 - birth, death - (lo + s * (hi - lo) / 101))) as v from fin cross join (select unnest(range(1, 101)) as s)))""", recursive=True)
+def landscape_vectors(spark, sf_dir):
+    """The flat vectors, a row a value."""
+    vectors = homology.landscape_vectors(_bars(spark, sf_dir, 2), ["complex_id"], dim=1)
+    return _round(vectors.select("complex_id", F.posexplode("landscape").alias("place", "value")), "value", digits=5)
+
+
+@query("select complex_id, dim, count(*) as n, round(min(death), 6) as first_death from fb group by complex_id, dim", _shortest("1", "+"), homology_sql.pair_distances(), homology_sql.BARS, recursive=True)
+def hop_bars(spark, sf_dir):
+    """Bars to dimension 2 under hop distances."""
+    bars = _bars(spark, sf_dir, 2, "hop_distance")
+    return bars.groupBy("complex_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("death"), 6).alias("first_death"))
+
+
 @query("select complex_id, dim, row_number() over (partition by complex_id, dim order by birth, death) as row, round(birth, 6) as birth, round(case when death < 'inf' then death else coalesce(2 * max(death) filter (where death < 'inf') over (partition by complex_id, dim), 2) end, 6) as end_at, death = 'inf' as infinite from bars", *DIAGRAMS, recursive=True)
 def barcode_rows(spark, sf_dir):
     return _round(homology.barcode_rows(_bars(spark, sf_dir, 2), ["complex_id"]).withColumnRenamed("end", "end_at"), "birth", "end_at")
@@ -650,6 +665,25 @@ def point_cloud_h1(spark, sf_dir):
     return homology.point_cloud_bars(star_schema.table(spark, sf_dir, "embeddings"), ["label"], "embedding", 1)
 
 
+LANDMARKS = 16
+
+
+@query()
+def point_cloud_landmarks(spark, sf_dir):
+    """Bars of the point cloud of each label's landmarks: the sample is the operator."""
+    rows = star_schema.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    bars = homology.point_cloud_bars(homology.landmarks(rows, ["label"], "vec_id", LANDMARKS), ["label"], "v", 2)
+    return _round(bars, "birth", "death", digits=5)
+
+
+ORACLE["point_cloud_landmarks"] = f"""with recursive
+pt as materialized (select label, vec_id, embedding::double[] as v from embeddings qualify row_number() over (partition by label order by {_md5(7, "vec_id")}, vec_id) <= {LANDMARKS}),
+m as (select label as complex_id, lpad(cast(vec_id as varchar), 20, '0') as node, v from pt),
+pd as materialized (select x.complex_id, x.node as i, y.node as j, list_distance(x.v, y.v) as d from m x join m y on x.complex_id = y.complex_id and x.node < y.node),
+{homology_sql.BARS}
+select complex_id as label, dim, round(birth, 5) as birth, round(death, 5) as death from fb"""
+
+
 @query("select complex_id, dim, birth, death from sk", homology_sql.SKELETON, recursive=True)
 def skeleton_bars(spark, sf_dir):
     return homology.skeleton_persistence(_inside(spark, sf_dir), ["complex_id"])
