@@ -24,7 +24,7 @@ def ranked_within(rows: DataFrame, group: list[str], order: list[Column], name:
     """rows with their place (from 0) in each group; a group may fill any number of ranges."""
     if not group:
         return ranked(rows, order, name)
-    every = cut_lineage(ranked(rows, [*[F.col(g) for g in group], *order], "__of_all"))
+    every = ranked(rows, [*[F.col(g) for g in group], *order], "__of_all")  # read twice, from the table that ranked() has written
     first = every.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min("__of_all").alias("__first"))
     same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
     return every.join(first, same).select(*rows.columns, (F.col("__of_all") - F.col("__first")).alias(name))
