@@ -191,3 +191,22 @@ def test_simplex_tree_of_any_dimension(spark):
     assert got == expected and max(x[0] for x in got.values()) >= 4
     up = {(x["g"], tuple(x["vertices"]), tuple(x["coface"])) for x in homology.cofaces(tree, ["g"]).collect()}
     assert up == {(g, v[:i] + v[i + 1 :], v) for g, v in expected for i in range(len(v)) if len(v) > 1}
+
+
+def _star(spark, folder, parts):
+    """Orders of given parts; all are finished."""
+    lines = [(k, p, 0.01 * (1 + (k + p) % 9)) for k, own in enumerate(parts) for p in own]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_discount double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k, "F") for k in range(len(parts))], "o_orderkey long, o_orderstatus string").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_edges_come_from_more_tasks_of_larger_tables(spark, tmp_path, monkeypatch):
+    from topograph.sources import star_schema
+
+    folder = _star(spark, tmp_path, [(k, k + 1, k + 2) for k in range(40)])
+    whole = sorted(map(tuple, star_schema.edges(spark, folder).collect()))
+    monkeypatch.setattr(star_schema, "TASK_LINES", 10)
+    dealt = star_schema.edges(spark, folder)
+    assert dealt.rdd.getNumPartitions() == 13  # 120 lines
+    assert sorted(map(tuple, dealt.collect())) == whole
