@@ -210,3 +210,26 @@ def test_edges_come_from_more_tasks_of_larger_tables(spark, tmp_path, monkeypatc
     dealt = star_schema.edges(spark, folder)
     assert dealt.rdd.getNumPartitions() == 13  # 120 lines
     assert sorted(map(tuple, dealt.collect())) == whole
+
+
+def test_edge_lists_tell_parts_of_seven_digits_apart(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as driver
+
+    folder = _star(spark, tmp_path, [(999_998, 1_000_000), (999_998, 1_000_001), (100_000, 1_000_005), (100_000, 100_001), (1_000_000, 1_000_010)])
+    db = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        db.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
+    for name in ("ppi_edges", "edge_file_scan", "pair_file_scan"):
+        rows = driver.queries()[name](spark, folder)
+        got = sorted(map(tuple, rows.collect()))
+        assert got == sorted(db.execute(f"select {', '.join(rows.columns)} from ({driver.oracle_sql()[name]})").fetchall()), name
+
+
+def test_neighbours_of_repeated_edges(spark):
+    from topograph.operators import sets
+
+    rows = spark.createDataFrame([("A", "B", 0.5), ("A", "B", 0.7), ("A", "C", 0.1)], "a string, b string, w double")
+    members = spark.createDataFrame([("A",), ("B",)], "node string")
+    assert [tuple(x) for x in sets.neighbours_within(rows, members).collect()] == [("A", ["B", "B"])]
