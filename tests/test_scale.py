@@ -233,3 +233,33 @@ def test_neighbours_of_repeated_edges(spark):
     rows = spark.createDataFrame([("A", "B", 0.5), ("A", "B", 0.7), ("A", "C", 0.1)], "a string, b string, w double")
     members = spark.createDataFrame([("A",), ("B",)], "node string")
     assert [tuple(x) for x in sets.neighbours_within(rows, members).collect()] == [("A", ["B", "B"])]
+
+
+def test_filled_seeds_look_no_further(spark, monkeypatch):
+    from topograph.operators import neighborhood
+
+    rng = random.Random(5)
+    pairs = {(f"n{i:02d}", f"n{j:02d}"): rng.randint(1, 9) / 10 for i in range(40) for j in range(i + 1, 40) if rng.random() < (0.5 if i < 12 and j < 12 else 0.04)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a string, b string, w double")
+    near = {}
+    for (a, b), w in pairs.items():
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    seeds = spark.createDataFrame([(n,) for n in near], "seed string")
+    cap, sizes, cut = 6, [], neighborhood.cut_lineage
+    monkeypatch.setattr(neighborhood, "cut_lineage", lambda df: sizes.append(cut(df)) or sizes[-1])
+    strength = {n: round(sum(links.values()), 9) for n, links in near.items()}
+    want = set()
+    for seed in near:
+        shell, seen, out = {seed}, {seed}, []
+        for hop in (1, 2, 3):
+            best = {}
+            for n in shell:
+                for m, w in near[n].items():
+                    if m not in seen:
+                        best[m] = max(best.get(m, 0.0), w)
+            out += sorted(best, key=lambda m: (-best[m], -strength[m], m))
+            shell, seen = set(best), seen | set(best)
+        want |= {(seed, n, k) for k, n in enumerate([seed, *out][:cap])}
+    assert {tuple(x) for x in neighborhood.ego_capped(edges, seeds, cap, 3).collect()} == want
+    assert [x.count() <= (cap - 1) * len(near) for x in sizes] == [True, True]  # what is kept of the shells
