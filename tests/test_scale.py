@@ -263,3 +263,20 @@ def test_filled_seeds_look_no_further(spark, monkeypatch):
         want |= {(seed, n, k) for k, n in enumerate([seed, *out][:cap])}
     assert {tuple(x) for x in neighborhood.ego_capped(edges, seeds, cap, 3).collect()} == want
     assert [x.count() <= (cap - 1) * len(near) for x in sizes] == [True, True]  # what is kept of the shells
+
+
+def test_cosines_by_blocks(spark, monkeypatch):
+    from topograph.operators import ranking
+
+    rng = random.Random(6)
+    rows = [(k % 3, k, [rng.gauss(0, 1) for _ in range(5)] if k % 11 else [0.0] * 5) for k in range(90)] + [(2, 90, None), (4, 91, [1.0] * 5)]
+    monkeypatch.setattr(ranking, "BLOCK", 20)
+    monkeypatch.setattr(ranking, "STRIP", 7)
+    got = {tuple(x)[:3]: x["cosine"] for x in ranking.cosines(spark.createDataFrame(rows, "label int, id long, v array<double>"), "label").collect()}
+    want = {}
+    for g, i, v in rows:
+        for h, j, o in rows:
+            if g == h and i < j:
+                size = math.hypot(*(v or [0])) * math.hypot(*(o or [0]))
+                want[g, i, j] = sum(map(float.__mul__, v, o)) / size if size else 0.0
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
