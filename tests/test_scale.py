@@ -280,3 +280,30 @@ def test_cosines_by_blocks(spark, monkeypatch):
                 size = math.hypot(*(v or [0])) * math.hypot(*(o or [0]))
                 want[g, i, j] = sum(map(float.__mul__, v, o)) / size if size else 0.0
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+#: Rows of a graph whose names stand for several nodes: repeats, a turned pair, loops.
+REPEATED = [("a", "b", 0.5), ("a", "b", 0.7), ("b", "c", 0.4), ("a", "c", 0.9), ("d", "c", 0.3), ("b", "d", 0.2), ("d", "b", 0.6), ("a", "d", 0.8), ("c", "c", 0.1), ("c", "c", 0.35), ("d", "e", 0.45), ("f", "f", 0.25)]
+
+
+def test_features_of_repeated_edges_and_loops(spark):
+    from topograph.operators import graph
+
+    edges = spark.createDataFrame(REPEATED, "a string, b string, w double")
+    count, roots = {}, {}
+    for p, q, r in itertools.product(REPEATED, repeat=3):
+        if p[1] == q[0] and r[0] == p[0] and r[1] == q[1]:
+            for node in (p[0], p[1], q[1]):
+                count[node] = count.get(node, 0) + 1
+                roots[node] = roots.get(node, 0.0) + (p[2] * q[2] * r[2]) ** (1 / 3)
+    degree = {n: sum((a == n) + (b == n) for a, b, _ in REPEATED) for n in "abcdef"}
+    got = {x["node"]: x for x in graph.node_features(edges, repeated=True).collect()}
+    assert len(got) == 6 and graph.node_features(edges, repeated=True).count() == 6
+    for n in "abcdef":
+        k = degree[n]
+        assert (got[n]["degree"], got[n]["triangles"]) == (k, count.get(n, 0))
+        assert math.isclose(got[n]["clustering"], 2 * roots.get(n, 0.0) / 0.9 / (k * (k - 1)) if k >= 2 else 0.0, abs_tol=1e-12)
+    assert graph.node_features(edges).count() == 6  # two loops at a node make no second row
+    plain = edges.filter("(a, b) in (('a', 'b'), ('b', 'c'), ('a', 'c'), ('a', 'd')) and w <> 0.7")
+    same = lambda df: {tuple(round(v, 12) if isinstance(v, float) else v for v in x) for x in df.collect()}
+    assert same(graph.node_features(plain)) == same(graph.node_features(plain, repeated=True))
