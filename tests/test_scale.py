@@ -307,3 +307,13 @@ def test_features_of_repeated_edges_and_loops(spark):
     plain = edges.filter("(a, b) in (('a', 'b'), ('b', 'c'), ('a', 'c'), ('a', 'd')) and w <> 0.7")
     same = lambda df: {tuple(round(v, 12) if isinstance(v, float) else v for v in x) for x in df.collect()}
     assert same(graph.node_features(plain)) == same(graph.node_features(plain, repeated=True))
+
+
+def test_simplices_of_repeated_edges_and_loops(spark):
+    edges = spark.createDataFrame([(1, *row) for row in REPEATED], "g long, a string, b string, w double")
+    members = spark.createDataFrame([(1, n) for n in "abcdefg"] + [(2, "a")], "g long, node string")
+    arcs = [(a, b) for a, b, _ in REPEATED]
+    three = [(p, q, r) for p, q, r in itertools.product(arcs, repeat=3) if p[1] == q[0] and r == (p[0], q[1])]
+    four = sum(u[0] == q[1] and v == (p[0], u[1]) and s == (p[1], u[1]) for p, q, r in three for u, v, s in itertools.product(arcs, repeat=3))
+    got = {x["g"]: (x["n_vertices"], x["n_edges"], x["n_triangles"], x["n_tetrahedra"]) for x in homology.simplex_counts(edges, ["g"], members).collect()}
+    assert got == {1: (7, len(arcs), len(three), four), 2: (1, 0, 0, 0)} and four
