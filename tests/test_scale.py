@@ -317,3 +317,12 @@ def test_simplices_of_repeated_edges_and_loops(spark):
     four = sum(u[0] == q[1] and v == (p[0], u[1]) and s == (p[1], u[1]) for p, q, r in three for u, v, s in itertools.product(arcs, repeat=3))
     got = {x["g"]: (x["n_vertices"], x["n_edges"], x["n_triangles"], x["n_tetrahedra"]) for x in homology.simplex_counts(edges, ["g"], members).collect()}
     assert got == {1: (7, len(arcs), len(three), four), 2: (1, 0, 0, 0)} and four
+
+
+def test_loops_of_a_skeleton_end_components():
+    from topograph.functions.rips import skeleton_bars
+
+    births, rows = {"a": 0.1, "b": 0.1, "c": 0.2, "d": 0.3}, [(0.1, "a", "b"), (0.2, "b", "c"), (0.5, "a", "c"), (0.3, "d", "d"), (0.4, "c", "c"), (0.6, "b", "b")]
+    inf = float("inf")
+    assert sorted(skeleton_bars(births, rows, loops_end=True)) == [(0, 0.1, 0.4), (1, 0.5, inf), (1, 0.6, inf)]
+    assert sorted(skeleton_bars(births, rows)) == [(0, 0.1, inf), (0, 0.3, inf), (1, 0.3, inf), (1, 0.4, inf), (1, 0.5, inf), (1, 0.6, inf)]
