@@ -326,3 +326,20 @@ def test_loops_of_a_skeleton_end_components():
     inf = float("inf")
     assert sorted(skeleton_bars(births, rows, loops_end=True)) == [(0, 0.1, 0.4), (1, 0.5, inf), (1, 0.6, inf)]
     assert sorted(skeleton_bars(births, rows)) == [(0, 0.1, inf), (0, 0.3, inf), (1, 0.3, inf), (1, 0.4, inf), (1, 0.5, inf), (1, 0.6, inf)]
+
+
+def test_paths_take_the_shortest_of_repeated_edges(spark):
+    import numpy as np
+
+    rows = [("a", "b", 0.5), ("a", "b", 0.9), ("a", "b", 0.2), ("b", "c", 0.4), ("c", "b", 0.7), ("c", "c", 0.9), ("c", "d", -0.5)]
+    edges = spark.createDataFrame(rows, "a string, b string, w double")
+    members = spark.createDataFrame([(1, n) for n in "abcd"], "g long, node string")
+    got = {(x["i"], x["j"]): round(x["d"], 9) for x in filtration.distances(edges.filter("w > 0"), members.filter("node <> 'd'"), ["g"], "weighted_shortest_path").collect()}
+    assert got == {("a", "b"): 0.1, ("b", "c"): 0.3, ("a", "c"): 0.4}
+    listed = [(n, n, None, False, k) for k, n in enumerate("abcd")] + [(*row, True, 0) for row in rows]
+    i, j = (np.array(["abcd".index(row[k]) for row in rows]) for k in (0, 1))
+    for name, ab in (("weighted_shortest_path", 0.1), ("correlation_distance", 0.1), ("hop_distance", 1.0)):
+        for order in (1, -1):
+            d = filtration.listed_matrix([*listed[:4], *listed[4:][::order]], name)[1]
+            assert round(d[0][1], 9) == ab and np.array_equal(d, filtration.distance_matrix(4, i[::order], j[::order], np.array([row[2] for row in rows])[::order], name))
+    assert d[2][3] == 1.0 and filtration.listed_matrix(listed, "correlation_distance")[1][2][3] == 1.5
