@@ -343,3 +343,27 @@ def test_paths_take_the_shortest_of_repeated_edges(spark):
             d = filtration.listed_matrix([*listed[:4], *listed[4:][::order]], name)[1]
             assert round(d[0][1], 9) == ab and np.array_equal(d, filtration.distance_matrix(4, i[::order], j[::order], np.array([row[2] for row in rows])[::order], name))
     assert d[2][3] == 1.0 and filtration.listed_matrix(listed, "correlation_distance")[1][2][3] == 1.5
+
+
+def test_edges_inside_groups_are_looked_up_once(spark, monkeypatch):
+    from topograph.operators import features
+
+    calls, real = [], features.induced_edges
+    for module in (features, homology):
+        monkeypatch.setattr(module, "induced_edges", lambda *a: calls.append(1) or real(*a))
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.4), ("c", "d", 0.9), ("e", "f", 0.3)], "a string, b string, w double")
+    members = spark.createDataFrame([(1, n) for n in "abcd"] + [(2, n) for n in "abef"], "g long, node string")
+    got = {x["g"]: x for x in features.subgraph_features(edges, members, ["g"], cap=4).collect()}
+    assert len(calls) == 1
+    assert [(got[g]["num_edges"], got[g]["num_connected_components"], got[g]["full_num_nodes"]) for g in (1, 2)] == [(3, 1, 4), (2, 2, 4)]
+    assert math.isclose(got[1]["distance_matrix_mean"], 2 * (0.5 + 0.6 + 0.1 + 3) / 16)
+
+
+def test_components_walked_or_contracted(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(g, f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for g, n in ((1, 5), (2, 12), (3, 30)) for _ in range(n // 2)]
+    edges = spark.createDataFrame(sorted({(min(a, b), max(a, b), 0.5) for _, a, b in rows}), "a string, b string, w double")
+    members = spark.createDataFrame([(g, f"n{i:02d}") for g, n in ((1, 5), (2, 12), (3, 30)) for i in range(n)], "g long, node string")
+    walked = sorted(map(tuple, components.subgraph_components(edges, members, ["g"]).collect()))
+    monkeypatch.setattr(components, "WALKED_MEMBERS", 10)
+    assert walked == sorted(map(tuple, components.subgraph_components(edges, members, ["g"]).collect())) and len(walked) == 3
