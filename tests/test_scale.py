@@ -367,3 +367,22 @@ def test_components_walked_or_contracted(spark, monkeypatch):
     walked = sorted(map(tuple, components.subgraph_components(edges, members, ["g"]).collect()))
     monkeypatch.setattr(components, "WALKED_MEMBERS", 10)
     assert walked == sorted(map(tuple, components.subgraph_components(edges, members, ["g"]).collect())) and len(walked) == 3
+
+
+def test_expansion_in_memory_and_by_joins(spark, monkeypatch):
+    from topograph.operators import neighborhood
+
+    rng = random.Random(9)
+    rows = [(f"n{i:02d}", f"n{j:02d}", rng.randint(1, 6) / 6) for i in range(60) for j in range(i + 1, 60) if rng.random() < 0.2]
+    edges = spark.createDataFrame(rows + [("x", "y", 0.5)], "a string, b string, w double")
+    seeds = spark.createDataFrame([(f"n{i:02d}",) for i in range(60)] + [("y",)], "seed string")
+    left, real = [], neighborhood._walks_by_joins
+    monkeypatch.setattr(neighborhood, "_walks_by_joins", lambda lists, seeds, cap: left.append(seeds.count()) or real(lists, seeds, cap))
+    got = {}
+    monkeypatch.setattr(neighborhood, "SHARED_LEAST", 2)
+    for links, first in ((0, 12), (10**6, 12), (10**6, 2)):
+        monkeypatch.setattr(neighborhood, "SHARED_LINKS", links)
+        monkeypatch.setattr(neighborhood, "SHARED_FIRST", first)
+        got[links, first] = sorted(map(tuple, neighborhood.seed_expansion(edges, seeds, 9).collect()))
+    assert got[0, 12] == got[10**6, 12] == got[10**6, 2] and len(got[0, 12]) == 60 * 9 + 2
+    assert left[0] == 61 and len(left) == 2 and 0 < left[1] < 61  # of all, and of those that need more than two links of a node
