@@ -386,3 +386,12 @@ def test_expansion_in_memory_and_by_joins(spark, monkeypatch):
         got[links, first] = sorted(map(tuple, neighborhood.seed_expansion(edges, seeds, 9).collect()))
     assert got[0, 12] == got[10**6, 12] == got[10**6, 2] and len(got[0, 12]) == 60 * 9 + 2
     assert left[0] == 61 and len(left) == 2 and 0 < left[1] < 61  # of all, and of those that need more than two links of a node
+
+
+def test_samples_of_whole_graphs_join_no_edges(spark, monkeypatch):
+    rng = random.Random(10)
+    edges = spark.createDataFrame(sorted({(1, f"n{rng.randrange(20):02d}", f"n{rng.randrange(20, 40)}", 0.5) for _ in range(90)}), "g long, a string, b string, w double")
+    nodes = spark.createDataFrame([(1, f"n{i:02d}") for i in range(40)] + [(2, "n01")], "g long, node string")
+    want = sorted(map(tuple, homology.sample_for_ph(edges.drop("g"), nodes, ["g"], 12, hubs=4).collect()))
+    monkeypatch.setattr(homology, "induced_edges", None)
+    assert sorted(map(tuple, homology.sample_for_ph(edges.drop("g"), nodes, ["g"], 12, hubs=4, inside=edges).collect())) == want and len(want) == 13
