@@ -395,3 +395,18 @@ def test_samples_of_whole_graphs_join_no_edges(spark, monkeypatch):
     want = sorted(map(tuple, homology.sample_for_ph(edges.drop("g"), nodes, ["g"], 12, hubs=4).collect()))
     monkeypatch.setattr(homology, "induced_edges", None)
     assert sorted(map(tuple, homology.sample_for_ph(edges.drop("g"), nodes, ["g"], 12, hubs=4, inside=edges).collect())) == want and len(want) == 13
+
+
+def test_point_distances_by_blocks():
+    """600 vectors: the differences of all pairs at once are 184 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(600, 64))
+    tracemalloc.start()
+    d = homology.point_distances(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120 << 20
+    assert (d == np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).astype(np.float32)).all()
