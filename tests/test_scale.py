@@ -410,3 +410,16 @@ def test_point_distances_by_blocks():
     tracemalloc.stop()
     assert most < 120 << 20
     assert (d == np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).astype(np.float32)).all()
+
+
+def test_triangles_deal_out_no_wedges(spark):
+    """Wedges were dealt out by both open ends, a row each with all weights; repeated edges still count each time."""
+    from topograph.operators import graph
+
+    r = random.Random(6)
+    rows = [(*sorted(r.sample("ABCDEFGHIJ", 2)), float(k)) for k in range(40)]
+    edges = spark.createDataFrame(rows, "a string, b string, w double").repartition(3)
+    found = graph.triangles(edges)
+    assert "wp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(tuple(sorted(x[2] for x in three)) for three in itertools.combinations(rows, 3) if len({n for x in three for n in x[:2]}) == 3 and len({x[:2] for x in three}) == 3)
+    assert want and sorted(tuple(sorted((x["w_xy"], x["w_xz"], x["w_yz"]))) for x in found.collect()) == want
