@@ -145,6 +145,22 @@ def test_distributed_metrics_equal_those_in_a_task(spark, monkeypatch):
     assert {m["model"]: (len(m["auroc_values"]), m["n_repeats"]) for m in means} == {"one": (2, 2), "none": (0, 0)}
 
 
+def test_a_descent_step_is_one_job(spark, monkeypatch):
+    """Hundreds of steps follow one another, so what each costs beside its sums counts."""
+    from topograph.plans import modelling
+    from topograph.schema import Splits
+
+    monkeypatch.setattr(modelling, "ROWS_PER_TASK", 0)
+    df = spark.range(60).select("id", (F.col("id") % 7).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y")).repartition(3)
+    sc, jobs = spark.sparkContext, []
+    for steps in (2, 12):
+        sc.setJobGroup(f"steps {steps}", "")
+        modelling.repeat_metrics(df, {"one": ["p"]}, "id", "y", Splits(2), 5, steps=steps)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"steps {steps}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 10
+
+
 def test_sampling(spark, edges):
     assert sampling.subsample_edges(edges, 0.5, 1).count() == 3 and sampling.subsample_nodes(edges, 0.5, 1).count() == 3
     assert [x["node"] for x in sampling.hubs(edges, 0.1).collect()] == ["A"]
