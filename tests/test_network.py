@@ -145,6 +145,15 @@ def test_distributed_metrics_equal_those_in_a_task(spark, monkeypatch):
     assert {m["model"]: (len(m["auroc_values"]), m["n_repeats"]) for m in means} == {"one": (2, 2), "none": (0, 0)}
 
 
+def test_triangles_intersect_lists_by_hashes(spark):
+    """Comparing every name of a list with every one of another grows with the cube of a hub's links; pairs that repeat still count each time."""
+    rows = [("a", "b", 0.1), ("b", "c", 0.2), ("a", "c", 0.3), ("a", "c", 0.4), ("b", "d", 0.5), ("c", "d", None), ("a", "e", 0.6), ("a", "a", 0.7)]
+    found = graph.triangles(spark.createDataFrame(rows, "a string, b string, w double"))
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((tuple(sorted(r[:3])), tuple(sorted(r[3:]))) for r in found.collect())
+    assert got == [(("a", "b", "c"), (0.1, 0.2, 0.3)), (("a", "b", "c"), (0.1, 0.2, 0.4)), (("b", "c", "d"), (0.2, 0.5, 1.0))]
+
+
 def test_a_descent_step_is_one_job(spark, monkeypatch):
     """Hundreds of steps follow one another, so what each costs beside its sums counts."""
     from topograph.plans import modelling
