@@ -438,7 +438,7 @@ def _differences(spark, folder, name):
         db.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
     rows = driver.queries()[name](spark, folder)
     got = collections.Counter(map(tuple, rows.collect()))
-    want = collections.Counter(db.execute(f"select {', '.join(rows.columns)} from ({driver.oracle_sql()[name]})").fetchall())
+    want = collections.Counter(db.execute(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in rows.columns)} from ({driver.oracle_sql()[name]})").fetchall())
     return (got - want) + (want - got)
 
 
@@ -446,6 +446,6 @@ def _differences(spark, folder, name):
 SHARED_NAMES = [(100_000, 1_000_003, 1_000_004, 1_000_011), (1_000_000, 1_000_001, 1_000_002, 1_000_012, 1_000_025), (100_000, 100_001, 1_000_010), (100_002, 1_000_021), (100_001, 100_002, 1_000_000, 1_000_020)]
 
 
-@pytest.mark.parametrize("name", ["corr_distance_stats", "ego_radius_1_cap", "ego_radius_2_cap", "top_weighted_neighbors"])
+@pytest.mark.parametrize("name", ["corr_distance_stats", "ego_radius_1_cap", "ego_radius_2_cap", "top_weighted_neighbors", "matrix_sink"])
 def test_queries_of_shared_names_are_their_sql(spark, tmp_path, name):
     assert not _differences(spark, _star(spark, tmp_path, SHARED_NAMES), name)

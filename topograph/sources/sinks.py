@@ -32,13 +32,17 @@ def append_text(df: DataFrame, path: str) -> None:
     df.write.mode("append").text(path)
 
 
-def compressed_rows(edges: DataFrame) -> DataFrame:
-    """The symmetric adjacency by rows: row, columns (rising) and values, numbered in the order of names. Absent cells aren't stored."""
+def compressed_rows(edges: DataFrame, repeated: bool = False) -> DataFrame:
+    """The symmetric adjacency by rows: row, columns (rising) and values, numbered in the order of names. Absent cells aren't stored.
+
+    repeated: a name stands for several nodes. Then each edge is stored in both directions, equal ones and loops too, as a sparse matrix holds entries that are to be added.
+    """
     from topograph.operators.graph import node_set, symmetric
     from topograph.operators.sets import index_dictionary
 
     index = index_dictionary(node_set(edges))
-    cells = symmetric(edges).distinct().join(index, "node").withColumnRenamed("idx", "row").join(index.select(F.col("node").alias("nbr"), F.col("idx").alias("column")), "nbr")
+    cells = symmetric(edges) if repeated else symmetric(edges).distinct()
+    cells = cells.join(index, "node").withColumnRenamed("idx", "row").join(index.select(F.col("node").alias("nbr"), F.col("idx").alias("column")), "nbr")
     packed = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("column", F.coalesce("w", F.lit(1.0)).alias("value")))).alias("cells"))  # a row of the matrix: a node's degree
     return packed.select("row", F.transform("cells", lambda c: c["column"]).alias("columns"), F.transform("cells", lambda c: c["value"]).alias("values"))
 
@@ -50,9 +54,9 @@ def matrix_lines(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("row", line.alias("value"))
 
 
-def write_matrix(edges: DataFrame, path: str, dense: bool = False) -> None:
-    """The adjacency as compressed rows in Parquet, or as dense text, a line per row."""
-    rows = compressed_rows(edges)
+def write_matrix(edges: DataFrame, path: str, dense: bool = False, repeated: bool = False) -> None:
+    """The adjacency as compressed rows in Parquet, or as dense text, a line per row. repeated: as compressed_rows() says."""
+    rows = compressed_rows(edges, repeated)
     if dense:
         matrix_lines(rows, rows.count()).repartitionByRange("row").sortWithinPartitions("row").select("value").write.mode("overwrite").text(path)
     else:
