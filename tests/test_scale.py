@@ -446,6 +446,29 @@ def _differences(spark, folder, name):
 SHARED_NAMES = [(100_000, 1_000_003, 1_000_004, 1_000_011), (1_000_000, 1_000_001, 1_000_002, 1_000_012, 1_000_025), (100_000, 100_001, 1_000_010), (100_002, 1_000_021), (100_001, 100_002, 1_000_000, 1_000_020)]
 
 
-@pytest.mark.parametrize("name", ["corr_distance_stats", "ego_radius_1_cap", "ego_radius_2_cap", "top_weighted_neighbors", "matrix_sink"])
+@pytest.mark.parametrize("name", ["corr_distance_stats", "ego_radius_1_cap", "ego_radius_2_cap", "top_weighted_neighbors", "matrix_sink", "simplex_enumeration", "simplex_cofaces"])
 def test_queries_of_shared_names_are_their_sql(spark, tmp_path, name):
     assert not _differences(spark, _star(spark, tmp_path, SHARED_NAMES), name)
+
+
+def test_simplices_listed_or_joined(spark, monkeypatch):
+    r = random.Random(3)
+    plain = [(2, a, b, round(r.random(), 3)) for a, b in itertools.combinations("abcdefg", 2) if r.random() < 0.8]
+    for repeated in (True, False):
+        edges = spark.createDataFrame([(1, *row) for row in REPEATED if repeated] + plain, "g long, a string, b string, w double")
+        tree = lambda: sorted((x["g"], x["dim"], tuple(x["vertices"]), tuple(x["prefix"]), x["value"]) for x in homology.simplex_tree(edges, ["g"], 3, repeated=repeated).collect())  # noqa: E731, B023
+        counts = lambda: sorted((x["g"], tuple(x["vertices"]), x["n_cofaces"], x["first_value"] or 0.0) for x in homology.coface_counts(edges, ["g"], 3, repeated).collect())  # noqa: E731, B023
+        monkeypatch.setattr(homology, "LISTED_EDGES", 512)
+        listed = tree(), counts()
+        monkeypatch.setattr(homology, "LISTED_EDGES", 0)
+        assert (tree(), counts()) == listed
+    assert any(dim == 3 for _, dim, *_ in listed[0])
+
+
+def test_simplices_are_not_dealt_out(spark, monkeypatch):
+    tables = []
+    real = homology.cut_lineage
+    monkeypatch.setattr(homology, "cut_lineage", lambda df, **kw: tables.append(real(df, **kw)) or tables[-1])
+    edges = spark.createDataFrame([(1, a, b, 0.5) for a, b in itertools.combinations("abcdef", 2)], "g long, a string, b string, w double")
+    assert homology.coface_counts(edges, ["g"], 3).count() == 6 + 15 + 20 + 15
+    assert sorted(t.count() for t in tables) == [0, 15]  # edges, and no large group: no table of simplices
