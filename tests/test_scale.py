@@ -472,3 +472,11 @@ def test_simplices_are_not_dealt_out(spark, monkeypatch):
     edges = spark.createDataFrame([(1, a, b, 0.5) for a, b in itertools.combinations("abcdef", 2)], "g long, a string, b string, w double")
     assert homology.coface_counts(edges, ["g"], 3).count() == 6 + 15 + 20 + 15
     assert sorted(t.count() for t in tables) == [0, 15]  # edges, and no large group: no table of simplices
+
+
+def test_skeletons_of_many_groups_need_no_frames(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, *row) for row in REPEATED] + [(2, "x", "y", 0.5)], "g long, a string, b string, w double")
+    want = sorted(map(tuple, homology.skeleton_persistence(edges, ["g"], loops_end=True).collect()))
+    monkeypatch.setattr(homology, "map_groups", None)  # a frame a group
+    assert sorted(map(tuple, homology.skeleton_persistence(edges, ["g"], loops_end=True).collect())) == want
+    assert [x[1:] for x in want if x[0] == 2] == [(0, 0.5, float("inf"))]
