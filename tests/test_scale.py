@@ -480,3 +480,38 @@ def test_skeletons_of_many_groups_need_no_frames(spark, monkeypatch):
     monkeypatch.setattr(homology, "map_groups", None)  # a frame a group
     assert sorted(map(tuple, homology.skeleton_persistence(edges, ["g"], loops_end=True).collect())) == want
     assert [x[1:] for x in want if x[0] == 2] == [(0, 0.5, float("inf"))]
+
+
+def test_walks_by_joins_keep_no_tables_of_rounds(spark, monkeypatch):
+    from topograph.functions import lineage
+
+    rng = random.Random(12)
+    rows = [(f"n{i:02d}", f"n{j:02d}", rng.randint(1, 6) / 6) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.3]
+    edges = spark.createDataFrame(rows, "a string, b string, w double")
+    seeds = spark.createDataFrame([(f"n{i:02d}",) for i in range(40)], "seed string")
+    want = sorted(map(tuple, neighborhood.seed_expansion(edges, seeds, 12).collect()))
+    monkeypatch.setattr(neighborhood, "SHARED_LINKS", 0)
+    monkeypatch.setattr(neighborhood, "PAGE_LINKS", 2)
+    monkeypatch.setattr(neighborhood, "WAVE_SEEDS", 25)
+    before = len(lineage._written)
+    found = neighborhood.seed_expansion(edges, seeds, 12)
+    assert len(lineage._written) - before == 5  # all links, their pages, whom to ask ahead, and a table a wave
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 480
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    from topograph.functions import lineage
+
+    seen, real = [], spark.conf.get(lineage.SHUFFLE_CLEANUP)
+
+    class Spy:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            if name == "write":
+                seen.append(spark.conf.get(lineage.SHUFFLE_CLEANUP))
+            return getattr(self.of, name)
+
+    assert lineage.cut_lineage(Spy(spark.range(5))).count() == 5
+    assert seen == ["true"] and spark.conf.get(lineage.SHUFFLE_CLEANUP) == real
