@@ -515,3 +515,14 @@ def test_tables_leave_no_shuffle_files(spark):
 
     assert lineage.cut_lineage(Spy(spark.range(5))).count() == 5
     assert seen == ["true"] and spark.conf.get(lineage.SHUFFLE_CLEANUP) == real
+
+
+def test_cosines_send_vectors_by_their_groups_blocks(spark, monkeypatch):
+    from topograph.operators import ranking
+
+    rows = spark.createDataFrame([(k % 30, k, [1.0, float(k)]) for k in range(300)], "label int, id long, v array<double>")
+    tables, real = [], ranking.cut_lineage
+    monkeypatch.setattr(ranking, "cut_lineage", lambda df: tables.append(real(df)) or tables[-1])
+    monkeypatch.setattr(ranking, "BLOCK", 20)
+    assert ranking.cosines(rows, "label").count() == 30 * 45
+    assert tables[-1].count() == 30  # a block a group of 10, however many groups there are
